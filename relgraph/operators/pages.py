@@ -249,7 +249,7 @@ def article_text(html: Column) -> Column:
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     text = F.regexp_replace(text, r"[ \t\r\n]*\n[ \t\r\n]*", "\n")
-    return or_blank(F.trim(F.lit(" \n"), text))
+    return or_blank(F.trim(text, F.lit(" \n")))
 
 
 # --- reports ---------------------------------------------------------------------------

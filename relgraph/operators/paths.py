@@ -120,7 +120,7 @@ def neighbourhood(
         if kept >= limit:
             break
         frontier = grown if others_exist else hits.select("start", "tip", "path_nodes", "path_edges")
-    return found.select("depth", "path_key", "path_nodes", "path_edges")
+    return found.select("depth", "path_key", "path_nodes", "path_edges").orderBy("depth", "path_key")
 
 
 def named_neighbourhood(
@@ -187,7 +187,9 @@ def member_paths(
             beside = steps.join(linked.withColumnRenamed("node_id", "next"), "next", "left_semi")
             through = through.unionByName(beside.select(F.col("tip").alias("node_id")))
         found = found.unionByName(listed(first_starts(with_linked(through)), 2, limit - kept))
-    return found.select("start", "depth", "path_key", "path_nodes", "path_edges")
+    return found.select("start", "depth", "path_key", "path_nodes", "path_edges").orderBy(
+        "depth", "start", "path_key"
+    )
 
 
 def with_edge_count(steps: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from relgraph.operators.pages import (
     is_below,
     step,
 )
+from relgraph.session import cut
 
 # Places, labels and defaults that decide the results.
 LIST_BODY = step(ident="list-result-sect")
@@ -196,6 +197,8 @@ def detail_profiles(elements: DataFrame, base: Column, name: Column | None = Non
     contact lists; contact lists and later items win. Absent parts are null.
     ``base`` is the address of the page, as a column over ``page_id``.
     """
+    # four branches read the elements; the pages are parsed once
+    elements = cut(elements.where(F.col("tag").isin("li", "strong", "span", "img")), "elements")
     profile, contact = step("div", cls="profile_area"), step("div", cls="contact_area")
     career, photo = step("div", cls="career_area"), step("div", cls="photo_area")
     profile_list = inside(profile, step("ul", cls="profile_list"))

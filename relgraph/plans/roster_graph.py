@@ -10,6 +10,8 @@ from relgraph.functions import roster
 from relgraph.functions.roster import or_blank, present
 from relgraph.operators import groups, tables
 from relgraph.operators.relations import family_edges, person_nodes
+from relgraph.session import cut
+from relgraph.sources.writers import write_graph
 
 
 @dataclass
@@ -21,6 +23,32 @@ class Graph:
     sets: DataFrame | None = None
 
 
+    def stored(self, path: str) -> Graph:
+        """Written below ``path`` and read back, for the queries that walk it.
+
+        Edges and key sets are laid out by type, so a walk over some types opens
+        only their files.
+        """
+        spark = self.nodes.sparkSession
+        write_graph(self.nodes, self.edges, path)
+        sets = None
+        if self.sets is not None:
+            self.sets.write.mode("overwrite").partitionBy("etype").parquet(f"{path}/sets")
+            sets = spark.read.schema(self.sets.schema).parquet(f"{path}/sets")
+        return Graph(
+            spark.read.schema(self.nodes.schema).parquet(f"{path}/nodes"),
+            spark.read.schema(self.edges.schema).parquet(f"{path}/edges"),
+            sets,
+        )
+
+
+def member_names(nodes: DataFrame) -> DataFrame:
+    """``(id, name)`` of the member nodes, for searches."""
+    return nodes.where(F.array_contains("labels", "Member")).select(
+        F.col("key").alias("id"), F.col("props")["name"].alias("name")
+    )
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """Roster rows with id, sido, district, count and terms taken from their texts."""
     return rows.select(
@@ -155,7 +183,8 @@ def roster_graph(rows: DataFrame, region_mode: str = "literal") -> Graph:
     Invalid records still add their party and region. Edges exist only between
     existing nodes; the derived relations stay folded (`relgraph.operators.groups`).
     """
-    rows = parsed(rows)
+    # every node and edge family below reads the parsed rows
+    rows = cut(parsed(rows), "roster")
     people = members(rows)
     region_rows = regions(rows)
     contains = containment(region_rows)

@@ -46,13 +46,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage.
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from the written table.
 
-    The files outlive the executors that wrote them, so later stages of a loop
-    never recompute earlier ones.
+    Later stages start from the files, which outlive the executors that wrote
+    them; being columnar, each later branch reads only its own columns. Row order
+    is not kept.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
