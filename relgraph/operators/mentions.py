@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relgraph.functions.roster import present
+from relgraph.skew import spread
 
 SMALL_DICTIONARY = 64
 """Up to this many names one substring test per name and text is cheapest."""
 
+MOST_INITIALS = 256
+
 
 def name_dictionary(roster: DataFrame, column: str = "name") -> DataFrame:
     """Distinct non-blank names; people of one name become one entry."""
@@ -33,7 +36,7 @@ def match_names(
     """
     few = [r[0] for r in names.select("name").limit(SMALL_DICTIONARY + 1).collect()]
     if len(few) <= SMALL_DICTIONARY:
-        return docs.withColumn(out, names_contained(F.col(text), few))
+        return spread(docs).withColumn(out, names_contained(F.col(text), few))
     return match_names_by_grams(docs, names, key, text, out)
 
 
@@ -47,12 +50,14 @@ def match_names_by_grams(
     of text and name is ever tried by substring search.
     """
     known = name_dictionary(names)
-    lengths = [r[0] for r in known.select(F.char_length("name").alias("n")).distinct().collect()]
     grams = F.array().cast("array<string>")
-    for n in sorted(lengths):
-        # the lookahead has no width, so matches start at every character
-        windows = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    for n, initials in _lengths(known):
+        # the lookahead has no width, so a window may start at every fitting character
+        windows = F.regexp_extract_all(
+            F.col(text), F.lit(f"(?s)(?=({initials}.{{{n - 1}}}))"), F.lit(1)
+        )
         grams = F.concat(grams, F.array_distinct(windows))
+    docs = spread(docs)
     hits = (
         docs.select(key, F.explode(grams).alias("name"))
         .join(known, "name")
@@ -64,6 +69,27 @@ def match_names_by_grams(
     )
 
 
+def _lengths(known: DataFrame) -> list[tuple[int, str]]:
+    """Each name length with a pattern for the first characters of its names.
+
+    Only windows that start like some name are listed. The characters come from
+    an alphabet and are few; where they are not, any character may start a window.
+    """
+    first = F.substring("name", 1, 1)
+    rows = (
+        known.select(F.char_length("name").alias("n"), first.alias("c"))
+        .distinct()
+        .groupBy("n")
+        .agg(F.count("*").alias("size"), F.slice(F.collect_list("c"), 1, MOST_INITIALS + 1).alias("cs"))
+        .orderBy("n")
+        .collect()
+    )
+    return [
+        (r.n, "." if r["size"] > MOST_INITIALS else "[" + "".join(f"\\x{{{ord(c):x}}}" for c in r.cs) + "]")
+        for r in rows
+    ]
+
+
 def pairs_of(names: Column) -> Column:
     """Array of ``struct(name1, name2)`` with name1 < name2, from a sorted array."""
     return F.flatten(

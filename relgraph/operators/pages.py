@@ -1,11 +1,12 @@
 """Web pages as a table of elements, and reports over that table.
 
-elements: ``page_id, seq, tag, step, ancestors, attrs, text``.
+elements: ``page_id, seq, tag, step, trail, above, attrs, text``.
 
 * ``seq`` numbers the elements of a page in document order; 0 is the page itself
   (tag ``#document``).
 * ``step`` describes an element as ``tag .class .class #id`` with a blank after
-  each part; ``ancestors`` lists ``(seq, step)`` from the outermost inward.
+  each part; ``trail`` holds the steps of its ancestors, each after a slash, and
+  ``above`` their numbers, both from the outermost inward.
 * ``text`` joins the stripped texts below the element without separator; for the
   page itself it is the unstripped text, for a script or style its content.
 """
@@ -14,12 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from relgraph.functions import web
 from relgraph.functions.roster import or_blank, present
+from relgraph.skew import spread
 
 # Elements without content, and texts that belong to no other element.
 VOID_TAGS = {
@@ -33,6 +36,16 @@ DOCUMENT, TEXT = "#document", "#text"
 ROWS_PER_BATCH = 4000
 
 
+class _Open(NamedTuple):
+    seq: int
+    tag: str
+    step: str
+    attrs: dict[str, str]
+    trail: str
+    above: list[int]
+    first_string: int
+
+
 class _PageReader(HTMLParser):
     """Turns the tag events of one page into rows; unclosed tags end with their parent."""
 
@@ -41,41 +54,38 @@ class _PageReader(HTMLParser):
         self.keep = keep
         self.rows: list[tuple] = []
         self.strings: list[tuple[str, str]] = []
-        self.open: list[dict] = []
+        self.open: list[_Open] = []
         self.count = 0
         self._push(DOCUMENT, {})
 
-    def _push(self, tag: str, attrs: dict) -> None:
-        words = [tag] + ["." + c for c in attrs.get("class", "").split()]
+    def _push(self, tag: str, attrs: dict[str, str]) -> None:
+        step = tag + " "
+        if attrs.get("class"):
+            step += "".join(f".{c} " for c in attrs["class"].split())
         if attrs.get("id"):
-            words.append("#" + attrs["id"])
-        trail = [(e["seq"], e["step"]) for e in self.open]
-        self.open.append(
-            {
-                "seq": self.count,
-                "tag": tag,
-                "step": "".join(w.replace("/", "") + " " for w in words),
-                "attrs": attrs,
-                "trail": trail,
-                "from": len(self.strings),
-            }
-        )
-        self.count += 1
+            step += f"#{attrs['id']} "
+        trail, above = self._place()
+        seq, self.count = self.count, self.count + 1
+        step = step.replace("/", "")
+        self.open.append(_Open(seq, tag, step, attrs, trail, above, len(self.strings)))
+
+    def _place(self) -> tuple[str, list[int]]:
+        if not self.open:
+            return "", []
+        up = self.open[-1]
+        return f"{up.trail}/{up.step}", up.above + [up.seq]
 
     def _pop(self) -> None:
         e = self.open.pop()
-        if self.keep is not None and e["tag"] not in self.keep:
+        if self.keep is not None and e.tag not in self.keep:
             return
-        inside = [s for s, owner in self.strings[e["from"] :] if owner in ("", e["tag"])]
-        raw = e["tag"] == DOCUMENT or e["tag"] in OWN_TEXT_TAGS
-        text = "".join(inside if raw else (s.strip() for s in inside))
-        self.rows.append((e["seq"], e["tag"], e["step"], e["trail"], list(e["attrs"].items()), text))
+        inside = [s for s, owner in self.strings[e.first_string :] if not owner or owner == e.tag]
+        raw = e.tag == DOCUMENT or e.tag in OWN_TEXT_TAGS
+        text = "".join(inside if raw else [s.strip() for s in inside])
+        self.rows.append((e.seq, e.tag, e.step, e.trail, e.above, list(e.attrs.items()), text))
 
     def handle_starttag(self, tag, attrs):
-        named: dict[str, str] = {}
-        for key, value in attrs:
-            named[key] = value or ""
-        self._push(tag, named)
+        self._push(tag, {key: value or "" for key, value in attrs})
         if tag in VOID_TAGS:
             self._pop()
 
@@ -85,17 +95,16 @@ class _PageReader(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag):
-        if any(e["tag"] == tag for e in self.open):
-            while self.open[-1]["tag"] != tag:
+        if any(e.tag == tag for e in self.open):
+            while self.open[-1].tag != tag:
                 self._pop()
             self._pop()
 
     def handle_data(self, data):
-        top = self.open[-1]["tag"]
+        top = self.open[-1].tag
         self.strings.append((data, top if top in OWN_TEXT_TAGS else ""))
         if self.keep is None or TEXT in self.keep:
-            trail = [(e["seq"], e["step"]) for e in self.open]
-            self.rows.append((self.count, TEXT, TEXT + " ", trail, [], data))
+            self.rows.append((self.count, TEXT, TEXT + " ", *self._place(), [], data))
             self.count += 1
 
     def finish(self) -> list[tuple]:
@@ -111,8 +120,8 @@ def html_elements(
     """Parse each page once; ``keep`` names the tags that become rows (all when None)."""
     key_type = pages.schema[key].dataType.simpleString()
     schema = (
-        f"{key} {key_type}, seq int, tag string, step string, "
-        "ancestors array<struct<seq:int,step:string>>, attrs map<string,string>, text string"
+        f"{key} {key_type}, seq int, tag string, step string, trail string, above array<int>, "
+        "attrs map<string,string>, text string"
     )
     wanted = None if keep is None else set(keep)
 
@@ -128,14 +137,14 @@ def html_elements(
 
         for batch in batches:
             if shape is None:
-                step = pa.struct([("seq", pa.int32()), ("step", pa.string())])
                 shape = pa.schema(
                     [
                         (key, batch.schema.field(key).type),
                         ("seq", pa.int32()),
                         ("tag", pa.string()),
                         ("step", pa.string()),
-                        ("ancestors", pa.list_(step)),
+                        ("trail", pa.string()),
+                        ("above", pa.list_(pa.int32())),
                         ("attrs", pa.map_(pa.string(), pa.string())),
                         ("text", pa.string()),
                     ]
@@ -144,14 +153,13 @@ def html_elements(
                 reader = _PageReader(wanted)
                 reader.feed(page or "")
                 for row in reader.finish():
-                    trail = [{"seq": s, "step": t} for s, t in row[3]]
-                    rows.append((ident, *row[:3], trail, *row[4:]))
+                    rows.append((ident, *row))
                     if len(rows) >= ROWS_PER_BATCH:
                         yield flush()
         if rows:
             yield flush()
 
-    return pages.select(key, html).mapInArrow(parse, schema)
+    return spread(pages.select(key, html)).mapInArrow(parse, schema)
 
 
 # --- tests on the place of an element -------------------------------------------------
@@ -179,12 +187,8 @@ def directly(*steps: str) -> str:
     return "".join(steps)
 
 
-def trail() -> Column:
-    return F.concat(F.lit("/"), F.array_join(F.transform("ancestors", lambda a: a["step"]), "/"))
-
-
 def path() -> Column:
-    return F.concat(trail(), F.lit("/"), F.col("step"))
+    return F.concat("trail", F.lit("/"), "step")
 
 
 def is_at(pattern: str) -> Column:
@@ -194,17 +198,18 @@ def is_at(pattern: str) -> Column:
 
 def is_below(pattern: str) -> Column:
     """The element has an ancestor at the place."""
-    return trail().rlike(pattern + "(?:/|$)")
+    return F.col("trail").rlike(pattern + "(?:/|$)")
 
 
 def ancestors_like(pattern: str) -> Column:
     """Sequence numbers of the ancestors whose own step fits, outermost first."""
-    fit = F.filter("ancestors", lambda a: F.concat(F.lit("/"), a["step"]).rlike("^" + pattern + "$"))
-    return F.transform(fit, lambda a: a["seq"])
+    steps = F.transform(F.split(F.substring("trail", 2, 1 << 30), "/"), lambda s: F.concat(F.lit("/"), s))
+    marked = F.zip_with("above", steps, lambda n, s: F.when(s.rlike("^" + pattern + "$"), n))
+    return F.array_compact(marked)
 
 
-def parent() -> Column:
-    return F.element_at("ancestors", -1)
+def parent_step() -> Column:
+    return F.substring_index("trail", "/", -1)
 
 
 def step_tag(step_text: Column) -> Column:
@@ -290,7 +295,7 @@ def links(elements: DataFrame, key: str = "page_id") -> DataFrame:
 
 def images(elements: DataFrame, base: Column, key: str = "page_id") -> DataFrame:
     """Every image with its absolute address and its parent."""
-    up = parent()["step"]
+    up = parent_step()
     return elements.where(F.col("tag") == "img").select(
         key,
         "seq",
@@ -430,7 +435,7 @@ def keyword_texts(
         "seq",
         F.explode(hits).alias("keyword"),
         F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"),
-        step_tag(parent()["step"]).alias("parent_tag"),
+        step_tag(parent_step()).alias("parent_tag"),
     )
     if n is None:
         return found

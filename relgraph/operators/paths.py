@@ -146,6 +146,7 @@ def member_paths(
     a path starts at least one, so the ``limit`` smallest starts cover the result
     and only their paths are made.
     """
+    spark = nodes.sparkSession
     members = nodes.where(F.array_contains("labels", "Member")).select("node_id")
     is_member = members.withColumnRenamed("node_id", "next")
     steps = _both_ways(edges).select("tip", "next")
@@ -157,28 +158,36 @@ def member_paths(
     def with_linked(ids: DataFrame) -> DataFrame:
         return ids if linked is None else ids.unionByName(linked)
 
-    def first_starts(ids: DataFrame) -> DataFrame:
-        return cut(
-            ids.join(members, "node_id", "left_semi").distinct().orderBy("node_id").limit(limit)
-        )
-
-    def listed(starts: DataFrame, length: int, room: int) -> DataFrame:
-        small = limit <= BROADCAST_PATHS
-        paths = _start(starts)
-        for _ in range(length):
-            paths = cut(_grow(paths, edges, sets, small))
-            small = paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
-        return cut(
-            paths.join(members.withColumnRenamed("node_id", "tip"), "tip", "left_semi")
-            .withColumn("depth", F.lit(length))
-            .withColumn("path_key", path_key())
-            .orderBy("start", "path_key")
-            .limit(room)
-        )
+    def first_starts(ids: DataFrame) -> list[str]:
+        rows = ids.join(members, "node_id", "left_semi").distinct().orderBy("node_id").limit(limit)
+        return [r[0] for r in rows.collect()]
+
+    def listed(starts: list[str], length: int, room: int) -> tuple[DataFrame | None, int]:
+        """Paths of the smallest starts first: a few starts with many paths may fill the room."""
+        found, kept, taken = None, 0, 0
+        while taken < len(starts) and kept < room:
+            batch = starts[taken : taken + max(1, 3 * taken)]
+            taken += len(batch)
+            paths = _start(spark.createDataFrame([(s,) for s in batch], "node_id string"))
+            for _ in range(length):
+                small = paths.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+                paths = _grow(paths, edges, sets, small)
+                if length > 1:
+                    paths = cut(paths, "paths")
+            hits = cut(
+                paths.join(members.withColumnRenamed("node_id", "tip"), "tip", "left_semi")
+                .withColumn("depth", F.lit(length))
+                .withColumn("path_key", path_key())
+                .orderBy("start", "path_key")
+                .limit(room - kept),
+                "paths",
+            )
+            kept += hits.count()
+            found = hits if found is None else found.unionByName(hits)
+        return found, kept
 
     direct = with_linked(to_member.select(F.col("tip").alias("node_id")))
-    found = listed(first_starts(direct), 1, limit)
-    kept = found.count()
+    found, kept = listed(first_starts(direct), 1, limit)
     if kept < limit:
         # a middle node with two edges to members joins each of them to a member
         middles = with_edge_count(to_member).where(F.col("n") >= 2).select(F.col("tip").alias("next"))
@@ -186,7 +195,10 @@ def member_paths(
         if linked is not None:
             beside = steps.join(linked.withColumnRenamed("node_id", "next"), "next", "left_semi")
             through = through.unionByName(beside.select(F.col("tip").alias("node_id")))
-        found = found.unionByName(listed(first_starts(with_linked(through)), 2, limit - kept))
+        longer, _ = listed(first_starts(with_linked(through)), 2, limit - kept)
+        found = longer if found is None else found if longer is None else found.unionByName(longer)
+    if found is None:
+        found = _start(members.limit(0)).withColumns({"depth": F.lit(0), "path_key": F.lit("")})
     return found.select("start", "depth", "path_key", "path_nodes", "path_edges").orderBy(
         "depth", "start", "path_key"
     )

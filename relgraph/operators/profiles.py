@@ -53,8 +53,9 @@ def member_list(
     """
     row_of = F.element_at(ancestors_like(step("tr")), -1)
     parts = elements.where(F.col("tag").isin("td", "th", "a") & (F.size(ancestors_like(step("tr"))) > 0))
+    # one shuffle by page serves the grouping and both windows
     rows = (
-        parts.select(
+        parts.repartition(key).select(
             key,
             row_of.alias("row_seq"),
             is_below(LIST_BODY).alias("listed"),
@@ -130,7 +131,7 @@ def photo_cards(elements: DataFrame, key: str = "page_id") -> DataFrame:
     card = F.when(is_at(CARD), F.col("seq")).otherwise(
         F.when(is_below(CARD), F.element_at(ancestors_like(step("a", cls="nassem_reslut_pic")), 1))
     )
-    owned = elements.withColumn("card", card).where(F.col("card").isNotNull())
+    owned = elements.withColumn("card", card).where(F.col("card").isNotNull()).repartition(key)
 
     def first(value: Column, test: Column) -> Column:
         return or_blank(F.min_by(F.when(test, value), F.when(test, F.col("seq"))))

@@ -12,6 +12,24 @@ behind broadcasting the hot rows.
 """
 
 
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input of heavy per-row work one task per core.
+
+    An input below one usual split per core is read by fewer tasks than there are
+    cores. It is small by that very check, so moving it costs little; a larger
+    input is left as it is.
+    """
+    context = df.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores)
+
+
 def lookup_join(big: DataFrame, unique: DataFrame, key: str, rows: str) -> DataFrame:
     """Inner join of ``big`` to ``unique`` (one row per ``key``).
 

@@ -12,6 +12,7 @@ from relgraph.functions import web
 from relgraph.operators import pages as pg, profiles
 from relgraph.operators.pages import step
 from relgraph.session import cut
+from relgraph.skew import spread
 from workload.base import query, table
 
 PREFIX = "https://members.example.org/22nd/"
@@ -122,7 +123,7 @@ def _text_sql() -> str:
 
 @query(_text_sql())
 def page_text(spark, sf_dir):
-    return page_table(spark, sf_dir).select("page_id", pg.article_text(F.col("html")).alias("text"))
+    return spread(page_table(spark, sf_dir)).select("page_id", pg.article_text(F.col("html")).alias("text"))
 
 
 @query(

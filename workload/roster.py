@@ -522,9 +522,9 @@ def family_graph(spark, sf_dir):
 
 
 @query(
-    """SELECT 'MATCH (a:Person {name: ''' || c_name || '''}), (b:Person {name: ''' || n_name ||
-      '''}) MERGE (a)-[r:지연 {desc: ''' || n_name || ' \''출신', || ''', score: 0}]->(b);' AS value
-       FROM customer JOIN nation ON c_nationkey = n_nationkey""".replace("' \''출신', ||", "' \\\\''출신' ||")
+    r"""SELECT 'MATCH (a:Person {name: ''' || c_name || '''}), (b:Person {name: ''' || n_name ||
+      '''}) MERGE (a)-[r:지연 {desc: ''' || n_name || ' \''출신' || ''', score: 0}]->(b);' AS value
+       FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 )
 def load_statements(spark, sf_dir):
     rel = (
