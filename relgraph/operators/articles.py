@@ -119,11 +119,9 @@ def replace_last_hour(existing: DataFrame, new: DataFrame, now: Column, order: s
     empty batch still drops.
     """
     kept = existing.where(F.col("inserted_at") < now - F.expr("INTERVAL 1 HOUR"))
-    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    last = existing.agg(F.max("id")).first()[0] or 0
     numbered = (
-        serial_ids(new, order, name="_n")
-        .crossJoin(F.broadcast(last))
-        .withColumn("id", F.col("last") + F.col("_n"))
+        serial_ids(new, order, start=last)
         .withColumn("inserted_at", now)
         .withColumn("base_date", run_date(now))
     )

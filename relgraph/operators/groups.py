@@ -22,13 +22,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relgraph.session import cut
-from relgraph.skew import lookup_join
+from relgraph.skew import lookup_join, salted_join
 
 MAX_SUBSET_KEYS = 12
 
 
 def key_sets(pairs: DataFrame, etype: str, member: str, key: str) -> DataFrame:
-    """``(etype, id, probe, build)`` from rows of member and group key."""
+    """``(etype, id, probe, build)`` from rows of member and group key.
+
+    Any number of people may hold a key; one person holds few keys, and repeated
+    rows of a person are folded before they are gathered.
+    """
     keys = (
         pairs.where(F.col(member).isNotNull() & F.col(key).isNotNull())
         .select(F.col(member).alias("id"), F.col(key).cast("string").alias("key"))
@@ -138,8 +142,8 @@ def _by_shared_keys(folded: DataFrame) -> DataFrame:
 def edges_from(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     """``(src, dst, etype)``: all group edges that start at the chosen ids.
 
-    The output is linear in the groups of the chosen people. Keys of the chosen
-    are reduced to distinct ones before they meet the whole table.
+    The output is linear in the groups of the chosen people. Large groups are
+    spread over many tasks.
     """
     asked = (
         sets.join(chosen.select("id").distinct(), "id", "left_semi")
@@ -147,7 +151,7 @@ def edges_from(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     )
     found = sets.select("etype", F.col("id").alias("dst"), F.explode("build").alias("key"))
     return (
-        asked.join(found, ["etype", "key"])
+        salted_join(asked, found, ["etype", "key"], ["dst"])
         .where(F.col("src") != F.col("dst"))
         .select("src", "dst", "etype")
         .distinct()

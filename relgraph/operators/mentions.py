@@ -10,6 +10,9 @@ from relgraph.skew import spread
 SMALL_DICTIONARY = 64
 """Up to this many names one substring test per name and text is cheapest."""
 
+MEDIUM_DICTIONARY = 2000
+"""Up to this many names the text windows are compared inside the row, without a shuffle."""
+
 MOST_INITIALS = 256
 
 
@@ -30,14 +33,23 @@ def match_names(
 ) -> DataFrame:
     """Add the sorted array of dictionary names found in each whole text.
 
-    A dictionary of at most SMALL_DICTIONARY names (the size is checked) is put
-    into the plan as an array, which needs no shuffle. A larger one is matched
-    through `match_names_by_grams`.
+    The size of the dictionary is checked. Up to SMALL_DICTIONARY names are searched
+    one by one; up to MEDIUM_DICTIONARY names are compared with the windows of the
+    text (see `match_names_by_grams`) inside the row. Neither needs a shuffle. A
+    larger dictionary is joined.
     """
-    few = [r[0] for r in names.select("name").limit(SMALL_DICTIONARY + 1).collect()]
+    known = name_dictionary(names)
+    few = [r[0] for r in known.limit(MEDIUM_DICTIONARY + 1).collect()]
     if len(few) <= SMALL_DICTIONARY:
         return spread(docs).withColumn(out, names_contained(F.col(text), few))
-    return match_names_by_grams(docs, names, key, text, out)
+    if len(few) > MEDIUM_DICTIONARY:
+        return match_names_by_grams(docs, names, key, text, out)
+    found = F.array().cast("array<string>")
+    for n in sorted({len(name) for name in few}):
+        same = [name for name in few if len(name) == n]
+        windows = _windows(F.col(text), n, _initials({name[0] for name in same}))
+        found = F.concat(found, F.array_intersect(windows, F.array(*map(F.lit, same))))
+    return spread(docs).withColumn(out, F.sort_array(F.coalesce(found, F.array().cast("array<string>"))))
 
 
 def match_names_by_grams(
@@ -45,18 +57,14 @@ def match_names_by_grams(
 ) -> DataFrame:
     """Same result for a dictionary of any size: an equi-join on text windows.
 
-    For every name length L the windows of L characters of a text are listed in
-    one regex pass and joined to the names of that length on equality, so no pair
+    For every name length L the windows of L characters of a text that start like
+    some name are listed in one regex pass and joined to the names of that length on equality, so no pair
     of text and name is ever tried by substring search.
     """
     known = name_dictionary(names)
     grams = F.array().cast("array<string>")
     for n, initials in _lengths(known):
-        # the lookahead has no width, so a window may start at every fitting character
-        windows = F.regexp_extract_all(
-            F.col(text), F.lit(f"(?s)(?=({initials}.{{{n - 1}}}))"), F.lit(1)
-        )
-        grams = F.concat(grams, F.array_distinct(windows))
+        grams = F.concat(grams, F.array_distinct(_windows(F.col(text), n, initials)))
     docs = spread(docs)
     hits = (
         docs.select(key, F.explode(grams).alias("name"))
@@ -84,10 +92,19 @@ def _lengths(known: DataFrame) -> list[tuple[int, str]]:
         .orderBy("n")
         .collect()
     )
-    return [
-        (r.n, "." if r["size"] > MOST_INITIALS else "[" + "".join(f"\\x{{{ord(c):x}}}" for c in r.cs) + "]")
-        for r in rows
-    ]
+    return [(r.n, "." if r["size"] > MOST_INITIALS else _initials(set(r.cs))) for r in rows]
+
+
+def _initials(characters: set[str]) -> str:
+    if len(characters) > MOST_INITIALS:
+        return "."
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(characters)) + "]"
+
+
+def _windows(text: Column, n: int, initials: str) -> Column:
+    """All windows of ``n`` characters that start with one of the initials."""
+    # the lookahead has no width, so a window may start at every fitting character
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({initials}.{{{n - 1}}}))"), F.lit(1))
 
 
 def pairs_of(names: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relgraph.operators.groups import edges_from
 from relgraph.operators.search import first_match
 from relgraph.session import cut
+from relgraph.skew import salted_join
 
 END_LABELS = ["Member", "Party", "Region", "School"]
 BROADCAST_PATHS = 10_000
@@ -61,9 +62,13 @@ def _grow(frontier: DataFrame, edges: DataFrame, sets: DataFrame | None, small:
                 F.explode(F.array(one, other)).alias("edge"),
             )
         )
-    paths = F.broadcast(frontier) if small else frontier
+    if small:
+        met = steps.join(F.broadcast(frontier), "tip")
+    else:
+        # a node with very many edges is spread over tasks
+        met = salted_join(frontier, steps, ["tip"], ["next"])
     return (
-        steps.join(paths, "tip")
+        met
         .where(~F.array_contains("path_edges", F.col("edge")))
         .select(
             "start",
@@ -247,11 +252,16 @@ def subgraph_json(sub_nodes: DataFrame, sub_edges: DataFrame) -> DataFrame:
     edge = F.struct(
         F.col("src").alias("start"), F.col("dst").alias("end"), "type", F.col("props").alias("properties")
     )
-    node_list = sub_nodes.agg(F.array_sort(F.collect_list(F.to_json(node))).alias("n"))
-    edge_list = sub_edges.agg(F.array_sort(F.collect_list(F.to_json(edge))).alias("e"))
-    return node_list.crossJoin(edge_list).select(
+    parts = sub_nodes.select(F.lit("n").alias("kind"), F.to_json(node).alias("j")).unionByName(
+        sub_edges.select(F.lit("e").alias("kind"), F.to_json(edge).alias("j"))
+    )
+
+    def listed(kind: str) -> Column:
+        mine = F.collect_list(F.when(F.col("kind") == kind, F.col("j")))
+        return F.array_join(F.array_sort(mine), ",")
+
+    return parts.agg(
         F.concat(
-            F.lit('{"nodes":['), F.array_join("n", ","),
-            F.lit('],"relationships":['), F.array_join("e", ","), F.lit("]}"),
+            F.lit('{"nodes":['), listed("n"), F.lit('],"relationships":['), listed("e"), F.lit("]}")
         ).alias("json")
     )

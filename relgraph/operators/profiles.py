@@ -187,8 +187,9 @@ def first_records(members: DataFrame, n: int = 300, key: str = "page_id") -> Dat
 def pages_before_gap(rows: DataFrame, pages: DataFrame, last: int, key: str = "page_id") -> DataFrame:
     """Rows of the pages up to ``last`` and before the first page without rows."""
     empty = pages.select(key).join(rows.select(key).distinct(), key, "left_anti")
-    stop = empty.agg(F.coalesce(F.min(key), F.lit(last + 1)).alias("stop"))
-    return rows.where(F.col(key) <= last).join(F.broadcast(stop), F.col(key) < F.col("stop")).drop("stop")
+    gap = empty.agg(F.min(key)).first()[0]
+    stop = last + 1 if gap is None else min(gap, last + 1)
+    return rows.where(F.col(key) < stop)
 
 
 def detail_profiles(elements: DataFrame, base: Column, name: Column | None = None, key: str = "page_id") -> DataFrame:

@@ -47,6 +47,24 @@ def lookup_join(big: DataFrame, unique: DataFrame, key: str, rows: str) -> DataF
     return on_hot.unionByName(on_rest)
 
 
+SALTS = 32
+
+
+def salted_join(few: DataFrame, many: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Inner join in which one key may hold a large part of ``many``.
+
+    Rows of ``many`` are spread over SALTS parts of their key by a hash of ``by``;
+    each row of ``few`` is repeated once per part. No task then holds more than one
+    part of a key.
+    """
+    parts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    repeated = few.withColumn("_part", F.explode(parts))
+    parted = many.withColumn(
+        "_part", F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(SALTS)).cast("int")
+    )
+    return repeated.join(parted, [*keys, "_part"]).drop("_part")
+
+
 def first_n_per_group(
     df: DataFrame, group: list[str], order: list[Column], n: int, spread: list[str], salts: int = 64
 ) -> DataFrame:

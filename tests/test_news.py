@@ -24,7 +24,7 @@ def test_overlapping_names(spark):
         assert got == {1: ["김민", "김민석", "이재명"], 2: [], 3: []}
 
 
-def test_gram_match_equals_array_match(spark):
+def test_gram_match_equals_array_match(spark, monkeypatch):
     rng = random.Random(1)
     texts = [(i, "".join(rng.choice("ab\nc😀") for _ in range(rng.randrange(60)))) for i in range(80)]
     known = sorted({"".join(rng.choice("ab\nc😀") for _ in range(rng.randrange(1, 5))) for _ in range(40)})
@@ -33,6 +33,9 @@ def test_gram_match_equals_array_match(spark):
     want = {i: sorted(n for n in known if n in t) for i, t in texts}
     for match in (mentions.match_names, mentions.match_names_by_grams):
         assert {r.id: sorted(r.politicians) for r in match(docs, names, "id").collect()} == want
+    monkeypatch.setattr(mentions, "SMALL_DICTIONARY", 3)
+    assert {r.id: sorted(r.politicians) for r in mentions.match_names(docs, names, "id").collect()} == want
+    monkeypatch.setattr(mentions, "MEDIUM_DICTIONARY", 50)
     many = names.unionByName(spark.range(100).select(F.concat(F.lit("zz"), F.col("id")).alias("name")))
     assert {r.id: sorted(r.politicians) for r in mentions.match_names(docs, many, "id").collect()} == want
 

@@ -112,23 +112,35 @@ def article_politician_edges(spark, sf_dir):
     return mentions.mention_edges(art.where(F.size("politicians") >= 2))
 
 
-@query(
-    """
-    WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{4,7}')) AS name FROM benchmark)
-    SELECT name, count(*) AS n_docs FROM words JOIN documents ON contains(text, name) GROUP BY name
-    """
-)
-def name_matches_large_dictionary(spark, sf_dir):
+WORD_COUNTS = """
+WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{4,7}')) AS name FROM benchmark)
+SELECT name, count(*) AS n_docs FROM words JOIN documents ON contains(text, name) GROUP BY name
+"""
+
+
+def _word_counts(spark, sf_dir, match) -> DataFrame:
+    """Documents per capitalised benchmark word; the dictionary grows with the table."""
     words = table(spark, sf_dir, "benchmark").select(
         F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,7}"), F.lit(0))).alias("name")
     )
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = mentions.match_names(docs, mentions.name_dictionary(words), "doc_id")
+    found = match(docs, mentions.name_dictionary(words), "doc_id")
     return found.select(F.explode("politicians").alias("name")).groupBy("name").agg(
         F.count("*").alias("n_docs")
     )
 
 
+@query(WORD_COUNTS)
+def name_matches_large_dictionary(spark, sf_dir):
+    return _word_counts(spark, sf_dir, mentions.match_names)
+
+
+@query(WORD_COUNTS)
+def name_matches_by_join(spark, sf_dir):
+    """The path for a dictionary of any size."""
+    return _word_counts(spark, sf_dir, mentions.match_names_by_grams)
+
+
 @query(
     "WITH d AS (SELECT DISTINCT c_mktsegment AS name FROM customer WHERE c_mktsegment <> '') SELECT name FROM d"
 )

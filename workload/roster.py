@@ -171,6 +171,24 @@ def roster_graph_edges(spark, sf_dir):
     return graph_of(spark, sf_dir).edges.select("src", "dst", "type")
 
 
+@query(
+    f"""WITH {PEOPLE} SELECT DISTINCT 'Member:' || c.c_custkey AS src, 'Party:' || c_mktsegment AS dst
+    FROM customer c WHERE CAST(c_custkey AS VARCHAR) IN (SELECT id FROM members) AND c_mktsegment <> 'MACHINERY'"""
+)
+def edges_with_endpoints(spark, sf_dir):
+    """Edge candidates of all customers, kept where member and party exist as nodes."""
+    graph = graph_of(spark, sf_dir)
+    candidates = tables.edges(
+        table(spark, sf_dir, "customer"),
+        tables.node_id("Member", F.col("c_custkey").cast("string")),
+        tables.node_id("Party", F.col("c_mktsegment")),
+        "BELONGS_TO",
+    )
+    parties = graph.nodes.where(F.col("node_id") != "Party:MACHINERY")
+    kept = tables.with_endpoints(candidates, graph.nodes, parties)
+    return tables.distinct_edges(kept).select("src", "dst")
+
+
 @query(f"WITH {PEOPLE} SELECT DISTINCT party FROM records")
 def party_nodes(spark, sf_dir):
     return roster_graph.parties(roster_graph.parsed(roster_rows(spark, sf_dir)))
