@@ -103,20 +103,16 @@ def related_counts(sets: DataFrame) -> DataFrame:
     its subsets would outgrow the folded sets themselves, and these are joined on
     shared keys instead, with the same result.
     """
-    folded = cut(sets.groupBy("etype", "probe", "build").agg(F.count("*").alias("people")))
+    sets = cut(sets.withColumn("sig", F.to_json(F.struct("etype", "probe", "build"))), "sets")
+    folded = cut(sets.groupBy("sig", "etype", "probe", "build").agg(F.count("*").alias("people")))
     widest = folded.agg(F.max(F.greatest(F.size("probe"), F.size("build")))).first()[0] or 0
     count = _by_subsets if widest <= MAX_SUBSET_KEYS else _by_shared_keys
-    with_id = folded.withColumn("sig", _signature())
-    sized = count(with_id).join(with_id.select("sig", "people"), "sig")
+    sized = count(folded).join(folded.select("sig", "people"), "sig")
     # n counts the person too, who always finds themself
     answers = cut(sized.select("sig", "people", (F.col("n") - 1).alias("n")))
-    return lookup_join(
-        sets.select("etype", "id", _signature().alias("sig")), answers, "sig", "people"
-    ).select("etype", "id", "n")
-
-
-def _signature() -> Column:
-    return F.to_json(F.struct("etype", "probe", "build"))
+    return lookup_join(sets.select("etype", "id", "sig"), answers, "sig", "people").select(
+        "etype", "id", "n"
+    )
 
 
 def _by_subsets(folded: DataFrame) -> DataFrame:

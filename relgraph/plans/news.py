@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,6 +13,8 @@ from relgraph.operators import mentions, scoring, tables
 from relgraph.operators.articles import dedupe_then_cap, usable_articles
 from relgraph.operators.pages import article_text
 from relgraph.plans.roster_graph import Graph
+from relgraph.session import cut
+from relgraph.sources.writers import save_articles, write_graph
 
 
 def collected(articles: DataFrame, sections: list[str], cap: int, now: Column) -> DataFrame:
@@ -41,6 +44,33 @@ def scored_articles(
     return scored.withColumn("base_date", run_date(now))
 
 
+def run(
+    listed: DataFrame,
+    pages: DataFrame,
+    names: DataFrame,
+    sections: list[str],
+    cap: int,
+    now: datetime,
+    table_path: str,
+    graph_path: str,
+    **scoring_options,
+) -> DataFrame:
+    """One news run: collect, read bodies, find names, score, store the table and the graph.
+
+    ``listed(pos, url, section, title, press, date)`` are the articles in list
+    order, ``pages(url, html)`` the fetched pages. The scored articles are written
+    once and feed both stores.
+    """
+    stamp = F.to_timestamp(F.lit(now.strftime("%Y-%m-%d %H:%M:%S")))
+    articles = with_body(collected(listed, sections, cap, stamp), pages)
+    scored = cut(scored_articles(articles, names, stamp, **scoring_options), "scored")
+    scored = scored.withColumn("ordinal", F.col("pos"))
+    save_articles(scored.sparkSession, scored, table_path, now, "ordinal")
+    graph = mention_graph(scored)
+    write_graph(graph.nodes, graph.edges, graph_path)
+    return scored
+
+
 def mention_graph(scored: DataFrame, mode: str = "literal") -> Graph:
     """Article and Politician nodes, mentions, pairs and counted polarity edges.
 

@@ -5,13 +5,19 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import ArrayType
 
 from relgraph.operators.articles import article_rows
 from relgraph.skew import serial_ids
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` with a row counter that fills while any sink runs: ``observation.get["rows"]``."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, UTF-8 as is."""
     df.write.mode("overwrite").json(path)

@@ -10,7 +10,7 @@ from relgraph.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "local[4]", spark__sql__shuffle__partitions="4")
+    session = local_session("tests", "local[8]", spark__sql__shuffle__partitions="4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -16,7 +16,7 @@ from relgraph.plans import news
 from relgraph.session import scratch_path
 from relgraph.sources import writers
 from relgraph.streaming import runs
-from workload.base import query, sql_list, table
+from workload.base import page_text_sql, query, sql_list, table
 
 NAMES = ["That", "This", "From", "With", "Eriner", "Anon", "Tion", "Nicht", "Eren", "License"]
 GOOD = ["erst", "elle", "with", "License", "Eriner"]
@@ -103,12 +103,7 @@ def comention_pairs(spark, sf_dir):
     f"""WITH {BASE} SELECT DISTINCT url, name FROM mentioned"""
 )
 def article_politician_edges(spark, sf_dir):
-    art = section_table(spark, sf_dir).join(
-        mentions.match_names(table(spark, sf_dir, "documents"), names_table(spark), "doc_id").select(
-            F.col("doc_id").alias("pos"), "politicians"
-        ),
-        "pos",
-    )
+    art = mentions.match_names(article_table(spark, sf_dir), names_table(spark), "pos", text="content")
     return mentions.mention_edges(art.where(F.size("politicians") >= 2))
 
 
@@ -375,6 +370,40 @@ def stream_edge_counts(spark, sf_dir):
     return runs.edge_counts(spark, out)
 
 
+PAGE_SECTIONS = ["en", "fr", "de", "es"]
+
+
+@query(
+    f"""WITH bodies AS ({page_text_sql()}),
+    art AS (SELECT p.page_id, p.url, regexp_extract(p.url, '^https?://[^/]+/([a-z]+)/', 1) AS section, b.text AS content,
+              list_sort([n FOR n IN [{sql_list(NAMES)}] IF contains(b.text, n)]) AS politicians
+            FROM pages p JOIN bodies b ON b.page_id = p.page_id),
+    taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY page_id) AS r FROM art
+              WHERE section IN ({sql_list(PAGE_SECTIONS)})) WHERE r <= {CAP})
+    SELECT row_number() OVER (ORDER BY page_id) AS id, url, section AS press, array_to_string(politicians, ',') AS politicians,
+      CASE WHEN len(politicians) < 2 OR content = '' THEN '' WHEN {STARS} = 1 THEN '1 star'
+        ELSE CAST({STARS} AS VARCHAR) || ' stars' END AS sentiment_label FROM taken"""
+)
+def news_run(spark, sf_dir):
+    """The whole run on the given pages: list per section, body text, names, sentiment, both stores."""
+    fetched = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    section = F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1)
+    listed = fetched.select(
+        F.col("page_id").alias("pos"),
+        "url",
+        section.alias("section"),
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
+        section.alias("press"),
+        F.lit(None).cast("string").alias("date"),
+    )
+    out = scratch_path(spark, "news")
+    news.run(
+        listed, fetched, names_table(spark), PAGE_SECTIONS, CAP, NOW, f"{out}/table", f"{out}/graph",
+        positive=GOOD, negative=BAD,
+    )
+    return writers.read_articles(spark, f"{out}/table").select("id", "url", "press", "politicians", "sentiment_label")
+
+
 # --- stored table --------------------------------------------------------------------
 
 STORED = f"""

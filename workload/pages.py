@@ -13,7 +13,7 @@ from relgraph.operators import pages as pg, profiles
 from relgraph.operators.pages import step
 from relgraph.session import cut
 from relgraph.skew import spread
-from workload.base import query, table
+from workload.base import page_text_sql, query, table
 
 PREFIX = "https://members.example.org/22nd/"
 LIST_URL = "https://members.example.org/list"
@@ -39,10 +39,11 @@ def _page_elements(spark, sf_dir, *tags: str) -> DataFrame:
       regexp_extract(url, '^(https?://[^/]+)', 1) || {DECODE.format('href')} AS full_url FROM found"""
 )
 def page_links(spark, sf_dir):
-    found = pg.links(_page_elements(spark, sf_dir, "a"))
-    urls = page_table(spark, sf_dir).select("page_id", "url")
-    return found.join(urls, "page_id").select(
-        "page_id", "href", "text", web.absolute_url(F.col("url"), F.col("href")).alias("full_url")
+    # the address travels in the key, so no join brings it back
+    pages = page_table(spark, sf_dir).select(F.struct("page_id", "url").alias("page"), "html")
+    found = pg.links(pg.html_elements(pages, {"a"}, key="page"), key="page")
+    return found.select(
+        "page.page_id", "href", "text", web.absolute_url(F.col("page.url"), F.col("href")).alias("full_url")
     )
 
 
@@ -104,24 +105,7 @@ def first_examples(spark, sf_dir):
     return found.select("page_id", "place", "rank", pg.attr("href").alias("href"))
 
 
-def _text_sql() -> str:
-    text = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for tag in pg.DROPPED_PARTS:
-        text = rf"regexp_replace({text}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', '', 'g')"
-    body = rf"""CASE WHEN regexp_extract(t, '(?is)<article\b[^>]*>(.*)</article>', 1) <> ''
-      THEN regexp_extract(t, '(?is)<article\b[^>]*>(.*)</article>', 1)
-      WHEN regexp_extract(t, '(?is)<body\b[^>]*>(.*)</body>', 1) <> ''
-      THEN regexp_extract(t, '(?is)<body\b[^>]*>(.*)</body>', 1) ELSE t END"""
-    lines = rf"regexp_replace(b, '(?i)</?(?:{pg.BLOCK_TAGS})\b[^>]*>', chr(10), 'g')"
-    plain = f"regexp_replace({lines}, '<[^>]*>', '', 'g')"
-    for name, char in pg.ENTITIES:
-        plain = f"""replace({plain}, '{name}', '{char.replace("'", "''")}')"""
-    neat = rf"regexp_replace({plain}, '[ \t\r\n]*\n[ \t\r\n]*', chr(10), 'g')"
-    return f"""WITH s AS (SELECT page_id, {text} AS t FROM pages), c AS (SELECT page_id, {body} AS b FROM s)
-    SELECT page_id, trim({neat}, ' ' || chr(10)) AS text FROM c"""
-
-
-@query(_text_sql())
+@query(page_text_sql())
 def page_text(spark, sf_dir):
     return spread(page_table(spark, sf_dir)).select("page_id", pg.article_text(F.col("html")).alias("text"))
 
