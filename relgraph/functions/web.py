@@ -108,8 +108,7 @@ def _without_dot_steps(path: Column) -> Column:
     last = F.element_at(steps, -1)
 
     def walk(kept: Column, step: Column) -> Column:
-        # the first step is the empty text before the leading slash and always stays
-        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
         return (
             F.when(step == "..", up)
             .when(step == ".", kept)
@@ -118,4 +117,6 @@ def _without_dot_steps(path: Column) -> Column:
 
     kept = F.aggregate(steps, F.array().cast("array<string>"), walk)
     closed = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.array_join(closed, "/")
+    joined = F.array_join(closed, "/")
+    # a step up from the root may take the leading slash away
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))

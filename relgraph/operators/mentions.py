@@ -59,7 +59,8 @@ def match_names_by_grams(
 
     For every name length L the windows of L characters of a text that start like
     some name are listed in one regex pass and joined to the names of that length on equality, so no pair
-    of text and name is ever tried by substring search.
+    of text and name is ever tried by substring search. The text is shuffled once
+    by its key to meet its names, unless only the key and the names are used later.
     """
     known = name_dictionary(names)
     grams = F.array().cast("array<string>")

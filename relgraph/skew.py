@@ -98,21 +98,11 @@ def serial_ids(
     range and shifted by the count of all earlier ranges. Only the cut points and
     one count per range leave the executors, and both are bounded by ``buckets``.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order, F.array(*map(F.lit, probs))).alias("cuts")).first()[0]
-    cuts = sorted(set(cuts or []))
-    position = F.lit(0)
-    if cuts:
-        # binary search over the sorted cut points keeps the expression shallow
-        def search(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col(order) <= F.lit(cuts[mid]), search(lo, mid)).otherwise(
-                search(mid + 1, hi)
-            )
-
-        position = search(0, len(cuts))
+    probs = ", ".join(str(i / buckets) for i in range(1, buckets))
+    cuts = df.agg(F.expr(f"percentile_approx(`{order}`, array({probs}))")).first()[0]
+    kind = df.schema[order].dataType.simpleString()
+    points = F.expr(f"array({', '.join(str(c) for c in sorted(set(cuts or [])))})").cast(f"array<{kind}>")
+    position = F.size(F.filter(points, lambda c: c < F.col(order)))
     ranged = df.withColumn("_range", position)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     # at most `buckets` rows: one unpartitioned window over them is cheap

@@ -109,6 +109,23 @@ def test_lookup_join_with_hot_key(spark):
     assert joined.count() == 1000 and joined.where("v != 2 * k").count() == 0
 
 
+def test_salted_join_spreads_a_hot_key(spark):
+    many = spark.range(900).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), "id")
+    few = spark.createDataFrame([(0, "a"), (0, "b"), (700, "c"), (5000, "d")], "k long, v string")
+    joined = skew.salted_join(few, many, ["k"], ["id"])
+    assert sorted(joined.columns) == ["id", "k", "v"]
+    want = few.join(many, "k").select("k", "v", "id")
+    assert sorted(joined.select("k", "v", "id").collect()) == sorted(want.collect())
+    assert joined.count() == 1201
+
+
+def test_small_inputs_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert skew.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
+    large = spark.range(0, 1 << 40, 1, 3)
+    assert skew.spread(large).rdd.getNumPartitions() == 3
+
+
 def scored(spark):
     rows = [
         (1, "u1", ["a", "b"], "5 stars", 0.9), (2, "u2", ["a", "b", "c"], "1 star", 0.8),

@@ -14,6 +14,7 @@ from relgraph.functions import roster, scores
 from relgraph.operators import articles, mentions, scoring, tables
 from relgraph.plans import news
 from relgraph.session import scratch_path
+from relgraph.skew import spread
 from relgraph.sources import writers
 from relgraph.streaming import runs
 from workload.base import page_text_sql, query, sql_list, table
@@ -597,7 +598,7 @@ def mean_pool(spark, sf_dir):
       regexp_extract(text, '{roster.EMAIL_PATTERN}') AS email FROM documents) SELECT * FROM p"""
 )
 def contact_extract(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", roster.phone_in(F.col("text")).alias("phone"), roster.email_in(F.col("text")).alias("email")
     )
 

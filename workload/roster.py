@@ -119,8 +119,11 @@ def graph_of(spark, sf_dir, region_mode="literal") -> roster_graph.Graph:
     return roster_graph.roster_graph(roster_rows(spark, sf_dir), region_mode)
 
 
-def stored_graph(spark, sf_dir) -> roster_graph.Graph:
-    return graph_of(spark, sf_dir).stored(scratch_path(spark, "graph"))
+def stored_graph(spark, sf_dir, with_groups=True) -> roster_graph.Graph:
+    graph = graph_of(spark, sf_dir)
+    if not with_groups:
+        graph.sets = None
+    return graph.stored(scratch_path(spark, "graph"))
 
 
 # --- parsing and base graph -----------------------------------------------------------
@@ -344,11 +347,10 @@ listed AS (SELECT * FROM trails ORDER BY depth, path_key LIMIT 100)
 
 
 def _match_paths(spark, sf_dir, depth=2, with_groups=False):
-    graph = stored_graph(spark, sf_dir)
+    graph = stored_graph(spark, sf_dir, with_groups)
     found = paths.named_neighbourhood(
-        roster_graph.member_names(graph.nodes), graph.nodes, graph.edges, QUERY, depth,
-        sets=graph.sets if with_groups else None,
-    )
+        roster_graph.member_names(graph.nodes), graph.nodes, graph.edges, QUERY, depth, sets=graph.sets
+    )
     return graph, found
 
 
@@ -432,7 +434,7 @@ def member_paths(spark, sf_dir):
 )
 def member_paths_over_parties(spark, sf_dir):
     """Stored edges alone join members only through a party, region or school."""
-    graph = stored_graph(spark, sf_dir)
+    graph = stored_graph(spark, sf_dir, with_groups=False)
     return paths.member_paths(graph.nodes, graph.edges).select("start", "depth", "path_key")
 
 
