@@ -146,7 +146,7 @@ def class_texts(spark, sf_dir):
 
 @query()
 def keyword_texts(spark, sf_dir):
-    """Text nodes with a keyword and their parent; tested against brute force on a fixture."""
+    """Text nodes with a keyword and their parent; its test is a small page with known results."""
     nodes = _page_elements(spark, sf_dir, pg.TEXT)
     return pg.keyword_texts(nodes, ["License", "Nicht", "Avec"]).select("page_id", "keyword", "parent_tag", "text")
 
