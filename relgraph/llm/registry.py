@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relgraph.llm import fingerprints, mixing, native, ngram_join, quality_rules, secret_scan
+from relgraph.llm import (
+    fingerprints,
+    lang_id,
+    mixing,
+    native,
+    ngram_join,
+    quality_rank,
+    quality_rules,
+    secret_scan,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,9 +37,29 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(native.table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (native.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality_rank.quality_scores(docs, labels)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.language_id(native.table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(native.table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
-QUERIES |= {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_secret_scan, op4_fingerprints, op8_mix)}
+QUERIES |= {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_ngram_join,
+        op3_secret_scan,
+        op4_fingerprints,
+        op7_quality_rank,
+        op8_mix,
+        op9_language_id,
+    )
+}

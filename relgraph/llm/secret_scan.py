@@ -202,18 +202,22 @@ def secret_scan(docs: DataFrame, alpha: float = 0.001, rate: float = 0.01) -> Da
     rows = native.staged(scanned(docs))
     tests = rows.select(F.explode("tested.test").alias("t")).select("t.stratum", "t.text_bin")
     # some 40 strata at most: twice the logarithm of a text's length
-    least = thresholds(tests, rate).agg(F.collect_list(F.struct("stratum", "least")).alias("least"))
-    judged = rows.crossJoin(F.broadcast(least))
+    least = {r["stratum"]: r["least"] for r in thresholds(tests, rate).collect()}
+
+    def discovered(test: Column) -> Column:
+        met = F.lit(False)
+        for stratum, text_bin in sorted(least.items()):
+            met = met | ((test["stratum"] == stratum) & (test["text_bin"] >= text_bin))
+        return met
+
     free = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     new = F.filter(
         "tested",
-        lambda w: (w["test.random_p"] >= alpha)
-        & F.exists("least", lambda x: (x["stratum"] == w["test.stratum"]) & (x["least"] <= w["test.text_bin"]))
-        & free(w),
+        lambda w: (w["test"]["random_p"] >= alpha) & discovered(w["test"]) & free(w),
     )
     random = F.transform(new, lambda w: F.struct(w["start"].alias("start"), F.lit(3).alias("kind"), w["end"].alias("end")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return judged.select(
+    return rows.select(
         "doc_id",
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
