@@ -12,10 +12,14 @@ WINDOW = 5
 
 #: Common function words of the languages the rules are meant for.
 STOP_WORDS = (
-    "the and of to in that was for is on with it as be by are this from have not "
-    "der die das und ist von mit den dem ein eine für auf nicht sich im zu des "
-    "le la les et un une des est que pour dans en sur avec du qui "
-    "el los las de y una por con para se no es lo su como"
+    "the and of to in that was for is on with it as be by are this from have not at or an a he she they we you "
+    "which were been has had but his her its their one all would there will so if "
+    "der die das und ist von mit den dem des ein eine einen einer eines für auf nicht sich im zu aus bei als auch "
+    "es an werden wird sie er wir ich hat oder wie um am sind noch nach so zum zur über "
+    "le la les et un une des est que qui pour dans en sur avec du de au aux par pas ne se ce cette il elle on ou "
+    "plus sont son sa ses mais comme nous vous "
+    "el los las de y una por con para se no es lo su como del al más pero sus ha me sin sobre este ya entre "
+    "cuando todo esta ser son dos también fue"
 ).split()
 
 
@@ -32,8 +36,8 @@ RULES = (
     Rule("mean_word_chars", 2.0, 15.0),
     Rule("symbols_per_word", high=0.1),
     Rule("shouts_per_word", high=0.2),
-    Rule("stop_word_ratio", low=0.02),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("stop_word_ratio", low=0.005),
+    Rule("dup_line_ratio", high=0.5),
     Rule("bullet_line_ratio", high=0.9),
     Rule("ellipsis_line_ratio", high=0.3),
 )
@@ -112,7 +116,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_symbols",
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(words).cast("long").alias("n_repeat_words"),
-        F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(words, lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
         "n_shouts",
         F.size(lines).cast("long").alias("n_lines"),
         counted(lambda line: line.rlike(r"^[\x20\x09-\x0D]*[-*•]")).alias("n_bullet_lines"),
