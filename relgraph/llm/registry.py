@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from relgraph.llm import (
     fingerprints,
     lang_id,
+    line_dedup,
     mixing,
     native,
     ngram_join,
+    piece_codec,
     quality_rank,
     quality_rules,
     secret_scan,
+    token_shards,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +40,18 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(native.table(spark, sf_dir, "documents"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.token_shards(native.table(spark, sf_dir, "documents"))
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoded(native.table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(native.table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (native.table(spark, sf_dir, t) for t in ("documents", "labels"))
     return quality_rank.quality_scores(docs, labels)
@@ -58,8 +73,11 @@ QUERIES |= {
         op2_ngram_join,
         op3_secret_scan,
         op4_fingerprints,
+        op5_token_shards,
+        op6_piece_codec,
         op7_quality_rank,
         op8_mix,
         op9_language_id,
+        op10_line_dedup,
     )
 }
