@@ -25,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relgraph.llm import native
 from relgraph.llm.components import components
@@ -116,20 +117,43 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["c", "shingles"])
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverted lists of each batch: a shingle and the documents that have it."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _COMBINE):
+            batch = whole.slice(at, _COMBINE)
+            sets = batch.column(1)
+            lists = sets.flatten().to_numpy(zero_copy_only=False)
+            owners = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+            order = np.argsort(lists, kind="stable")
+            lists, owners = lists[order], owners[order]
+            begin = np.flatnonzero(np.append(True, lists[1:] != lists[:-1])) if len(lists) else np.zeros(0, np.int64)
+            docs = pa.ListArray.from_arrays(pa.array(np.append(begin, len(lists)), pa.int32()), pa.array(owners))
+            yield pa.RecordBatch.from_arrays([pa.array(lists[begin]), docs], names=["h", "docs"])
+
+
 def _merge_short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates that occur often enough on a document's short lists, by a heap merge."""
+    """Candidates that occur often enough on a document's short lists, by a heap merge.
+
+    Of the two documents, the one whose short lists end first in the common order shares with
+    the other only these and some of its own long lists. So the occurrences and the longer of the
+    two rests together bound the overlap, which must reach NUM / (NUM + DEN) of both sizes.
+    """
     for batch in batches:
         a, b = [], []
-        for c, n, lists in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for c, n, rest, lists in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             last, count = None, 0
-            merged = heapq.merge(*(sorted((e["c"], e["n"]) for e in one) for one in lists))
+            merged = heapq.merge(*(sorted((e["c"], e["n"], e["long"]) for e in one) for one in lists))
             for entry in [*merged, None]:
                 if entry == last:
                     count += 1
                     continue
-                if last is not None and count >= min(rare_k(n), rare_k(last[1])):
-                    a.append(c)
-                    b.append(last[0])
+                if last is not None:
+                    size, long = last[1:]
+                    reached = (NUM + DEN) * (count + max(rest, long)) >= NUM * (n + size)
+                    if reached and count >= min(rare_k(n), rare_k(size)):
+                        a.append(c)
+                        b.append(last[0])
                 last, count = entry, 1
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -158,11 +182,15 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("right"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return met.mapInArrow(_probe, "a long, b long")
+    """The pairs (a, b), a staged table, whose sets are similar enough.
+
+    Only sets that some pair needs are moved.
+    """
+    rows = pairs.count()
+    left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("left")).join(_checked(pairs, rows), "a")
+    wanted = pairs.select("b").distinct()
+    right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("right")).join(_checked(wanted, rows), "b", "left_semi")
+    return left.join(right, "b").select("a", "b", "left", "right").mapInArrow(_probe, "a long, b long")
 
 
 def _t(n: Column) -> Column:
@@ -182,14 +210,14 @@ def with_possible_partner(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 
     A partner has at least T shingles, so the smallest K that a pair can be held to is K(T).
     """
-    rows = docs.mapInArrow(_hash_order_postings, "h long, doc long, w int").repartition("h")
-    on_list = F.expr("min(if(w = 0, doc, null))"), F.expr("max(if(w = 0, doc, null))"), F.min("w")
-    lists = rows.groupBy("h").agg(on_list[0].alias("lo"), on_list[1].alias("hi"), on_list[2].alias("mark"))
-    shared = lists.where("lo is not null and (lo != hi or mark < 0)").select("h")
-    credit = rows.where("w >= 0").join(shared.withColumn("common", F.lit(1)), "h", "left").select(
-        "doc", F.when(F.col("w") > 0, F.col("w")).otherwise(F.coalesce("common", F.lit(0))).alias("w")
+    rows = docs.mapInArrow(_hash_order_postings, "h long, doc long, w int").where("h is not null").repartition("h")
+    on_list = Window.partitionBy("h")
+    shared = (
+        (F.min(F.expr("if(w = 0, doc, null)")).over(on_list) != F.max(F.expr("if(w = 0, doc, null)")).over(on_list))
+        | (F.min("w").over(on_list) < 0)
     )
-    total = credit.where("w > 0").groupBy("doc").agg(F.sum("w").alias("shared"))
+    credit = rows.withColumn("shared", shared).where("w > 0 or (w = 0 and shared)").select("doc", F.greatest("w", F.lit(1)).alias("w"))
+    total = credit.groupBy("doc").agg(F.sum("w").alias("shared"))
     met = total.join(sizes.select("doc", "n").distinct(), "doc")
     return met.where(F.col("shared") >= _first_k(_t(F.col("n")))).select("doc").distinct()
 
@@ -212,10 +240,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.join(_checked(chosen, chosen.count()), "doc").select("doc", "text")
     sets = native.staged(texts.mapInArrow(_sets, "c long, shingles array<long>").dropDuplicates(["c"]))
 
-    postings = sets.select("c", F.explode("shingles").alias("h"))
-    common = postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    batches = sets.mapInArrow(_inverted, "h long, docs array<long>")
+    df = F.sum(F.size("docs")).over(Window.partitionBy("h"))
     ranked = (
-        postings.join(common, "h")
+        batches.withColumn("df", df)
+        .where("df > 1")
+        .select("h", "df", F.explode("docs").alias("c"))
         .groupBy("c")
         .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("lists"))
         .join(sets.select("c", F.size("shingles").cast("long").alias("n")), "c")
@@ -223,47 +253,53 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # own shingles are on no other list and stand first
         .withColumn("short", F.col("n") - _t(F.col("n")) + _rare_k(F.col("n")) - F.col("own"))
         .where(F.col("short") >= _rare_k(_t(F.col("n"))))
+        # own shingles are in no overlap, so they bound the size of a partner
+        .withColumn("most", F.floor((NUM + DEN) * (F.col("n") - F.col("own")) / NUM) - F.col("n"))
+        .where(DEN * F.col("most") >= NUM * F.col("n"))
+        .withColumn("long", F.greatest(F.lit(0), F.size("lists") - F.col("short")))
     )
     short = native.staged(
-        ranked.select("c", "n", (F.col("own") / F.col("n")).alias("odd"),
+        ranked.select("c", "n", "most", "long", (F.col("own") / F.col("n")).alias("odd"),
                       F.explode(F.slice("lists", F.lit(1), F.col("short").cast("int"))).alias("x"))
-        .select("c", "n", "odd", F.col("x.h").alias("h"))
+        .select("c", "n", "most", "long", "odd", F.col("x.h").alias("h"))
     )
 
     heads = short.groupBy("h").agg(F.min(F.struct("odd", "c")).alias("head"))
     votes = short.join(heads, "h").where(F.col("c") != F.col("head.c")).groupBy("c", F.col("head.c").alias("b")).count()
     best = votes.groupBy("c").agg(F.max(F.struct("count", -F.col("b"))).alias("best"))
     star = best.select(F.col("c").alias("a"), (-F.col("best.col2")).alias("b"))
-    first = native.staged(_links(star, sets))
+    first = native.staged(_links(native.staged(star), sets))
 
     grouped = native.staged(components(first))
     labelled = short.join(grouped.withColumnRenamed("node", "c"), "c", "left").withColumn(
         "component", F.coalesce("component", "c")
     )
     mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    open_lists = native.staged(labelled.join(mixed.select("h"), "h").select("h", "c", "n", "component"))
+    open_lists = native.staged(labelled.join(mixed.select("h"), "h").select("h", "c", "n", "most", "long", "component"))
     # inverted lists in parts of about _CHUNK entries
     parts = open_lists.groupBy("h").agg(F.ceil(F.count("*") / _CHUNK).alias("parts"))
     inverted = (
         open_lists.join(parts, "h")
         .groupBy("h", F.pmod(F.xxhash64("c"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("c", "n", "component")).alias("entries"))
+        .agg(F.collect_list(F.struct("c", "n", "most", "long", "component")).alias("entries"))
     )
     others = F.filter(
         "entries",
         lambda e: (e["component"] != F.col("component"))
         & (e["c"] < F.col("c"))
         & (DEN * e["n"] >= NUM * F.col("n"))
-        & (NUM * e["n"] <= DEN * F.col("n")),
+        & (e["n"] <= F.col("most"))
+        & (NUM * F.col("n") <= DEN * e["n"])
+        & (F.col("n") <= e["most"]),
     )
     queries = (
         open_lists.join(inverted, "h")
-        .select("c", "n", F.transform(others, lambda e: F.struct(e["c"], e["n"])).alias("others"))
+        .select("c", "n", "long", F.transform(others, lambda e: F.struct(e["c"], e["n"], e["long"])).alias("others"))
         .where(F.size("others") > 0)
-        .groupBy("c", "n")
+        .groupBy("c", "n", "long")
         .agg(F.collect_list("others").alias("lists"))
     )
-    candidates = queries.select("c", "n", "lists").mapInArrow(_merge_short_lists, "a long, b long").distinct()
+    candidates = queries.select("c", "n", "long", "lists").mapInArrow(_merge_short_lists, "a long, b long").distinct()
     second = _links(native.staged(candidates), sets)
     return classes, native.staged(first.unionByName(second))
 
@@ -287,3 +323,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return known.unionByName(
         unnamed.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     )
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that link, over others or not, with a smaller doc_id.
+
+    All columns are kept; of several rows with one doc_id one stays, and rows without an id stay.
+    """
+    found = native.staged(jaccard_components(docs))
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    rest = docs.join(_checked(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    named = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if named[0] != named[1]:
+        unnamed = rest.where("doc_id is null")
+        rest = rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    return rest
