@@ -17,7 +17,7 @@ THRESHOLD = 0.3
 SAMPLE_PER_LABEL = 6000
 """Labelled documents of each label that are learned from, at most about so many."""
 
-_PAIRS = 40_000
+_PAIRS = 20_000
 _STEPS = 400
 
 #: Byte classes whose shares are features.
@@ -40,11 +40,16 @@ _N_CLASSES = len(_CLASSES) + 1
 FEATURES = [*_CLASSES, "no_text", "log_words", "few_words", "word_bytes", "distinct", "echo", "top_word", "line_words", "dup_lines"]
 
 
-def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of the bytes."""
-    upto = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * _UP.upto(len(data)), out=upto[1:])
-    return scramble((upto[ends] - upto[starts]) * _DOWN.upto(len(data) + 1)[starts])
+class _Spans:
+    """64-bit hashes of spans of some bytes, from sums that are made once."""
+
+    def __init__(self, data: np.ndarray):
+        self.upto = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUE[data] * _UP.upto(len(data)), out=self.upto[1:])
+        self.down = _DOWN.upto(len(data) + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return scramble((self.upto[ends] - self.upto[starts]) * self.down[starts])
 
 
 def _distinct_share(keys: np.ndarray) -> tuple[float, float]:
@@ -64,7 +69,8 @@ def features(texts: pa.Array) -> np.ndarray:
         rows = found[first : first + n]
         rows[:, : _N_CLASSES - 1] = counts[:, 1:] / np.maximum(sizes, 1)[:, None]
         starts, ends = word_spans(data, offsets)
-        words = _keys(data, starts, ends)
+        keys = _Spans(data)
+        words = keys(starts, ends)
         breaks = np.flatnonzero(data == 10)
         at, line_at = np.searchsorted(starts, offsets), np.searchsorted(breaks, offsets)
         for i in range(n):
@@ -85,7 +91,7 @@ def features(texts: pa.Array) -> np.ndarray:
             heads, tails = np.append(offsets[i], inner + 1), np.append(inner, offsets[i + 1])
             filled = tails > heads
             here[7] = np.log1p((b - a) / len(heads))
-            here[8] = 1 - _distinct_share(_keys(data, heads[filled], tails[filled]))[0]
+            here[8] = 1 - _distinct_share(keys(heads[filled], tails[filled]))[0]
     return found
 
 
