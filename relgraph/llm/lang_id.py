@@ -174,6 +174,52 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Netwo
     return train(x, label, languages)
 
 
+def _lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def _verdicts(applied: Applied | None, texts: pa.Array, lettered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a batch."""
+    names = np.full(len(texts), UNDETERMINED, object)
+    scores = np.zeros(len(texts))
+    keep = lettered.to_numpy(zero_copy_only=False).astype(bool)
+    if applied is None:
+        return names, scores
+    languages = np.array(applied.net.languages, object)
+    for first, data, offsets in pieces(texts):
+        windows, row, length = windows_of(data, offsets)
+        n = len(offsets) - 1
+        total = np.zeros((n, len(languages)))
+        for at in range(0, len(windows), 512):
+            part = slice(at, at + 512)
+            np.add.at(total, row[part], applied(windows[part]) * length[part, None])
+        best = total.argmax(1)
+        here = keep[first : first + n]
+        names[first : first + n][here] = languages[best[here]]
+        score = total[np.arange(n), best] / np.maximum(total.sum(1), 1e-9)
+        scores[first : first + n][here] = np.minimum(1.0, score[here])
+    return names, scores
+
+
+def accepted(docs: DataFrame, least: float = 0.35, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` whose language is determined with a score of at least ``least``.
+
+    All columns are kept as they are, whatever their names; nothing is shuffled.
+    """
+    net = learn(docs.where(~held_out()).select("lang", "text", F.col("doc_id").alias("key")), per_language)
+    width = len(docs.columns)
+    at = docs.columns.index("text")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        applied = Applied(net) if net else None
+        for batch in batches:
+            names, scores = _verdicts(applied, batch.column(at), batch.column(width))
+            good = (names != UNDETERMINED) & (scores >= least)
+            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(good, pa.bool_()))
+
+    return docs.select("*", _lettered().alias("_lettered")).mapInArrow(chosen, docs.schema)
+
+
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred and score of every whole text.
 
@@ -184,27 +230,10 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         applied = Applied(net) if net else None
         for batch in batches:
-            names = np.full(batch.num_rows, UNDETERMINED, object)
-            scores = np.zeros(batch.num_rows)
-            lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if applied is not None:
-                for first, data, offsets in pieces(batch.column(1)):
-                    windows, row, length = windows_of(data, offsets)
-                    n = len(offsets) - 1
-                    total = np.zeros((n, len(net.languages)))
-                    for at in range(0, len(windows), 512):
-                        part = slice(at, at + 512)
-                        np.add.at(total, row[part], applied(windows[part]) * length[part, None])
-                    weight = np.maximum(total.sum(1), 1e-9)
-                    best = total.argmax(1)
-                    keep = lettered[first : first + n]
-                    names[first : first + n][keep] = np.array(net.languages, object)[best[keep]]
-                    scores[first : first + n][keep] = np.minimum(1.0, total[np.arange(n), best] / weight)[keep]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"]
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+            names, scores = _verdicts(applied, batch.column(1), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _lettered().alias("lettered"))
     return rows.mapInArrow(scored, "doc_id long, lang_pred string, score double")
 
 

@@ -179,3 +179,27 @@ def mix(
         F.col("row.source").alias("source"),
         *([F.col("row.carried").alias("carried")] if keep else []),
     )
+
+
+def mixed(docs: DataFrame, share: float = 1.0, most: int = MOST, seed: int = 20260) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; all columns are kept.
+
+    Copies are worked out on slim rows and meet the texts once, by id and a hash of the text.
+    Rows that are equal in both share their copies.
+    """
+    doc, text_hash = F.col("doc_id"), F.xxhash64("text")
+    slim = docs.select("doc_id", "source", "text", text_hash.alias("text_hash"))
+    copies = mix(slim, share, most, seed, keep=["text_hash"])
+    by_key = native.staged(
+        copies.groupBy(F.col("doc_id").alias("_doc"), F.col("carried.text_hash").alias("_hash")).agg(
+            F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
+        )
+    )
+    keyed = docs.withColumn("_text_hash", text_hash)
+    if not by_key.where("_rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "_text_hash"])
+    met = keyed.join(
+        by_key.where("_copies > 0"), doc.eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
+    )
+    repeated = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

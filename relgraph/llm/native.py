@@ -30,14 +30,29 @@ def uniform(seed: int, *keys: Column) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, set for checkpoints as well.
+
+    Without the setting (tests) a new temporary folder is taken, once for a session.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this session wrote, on whatever storage it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, written once to the folder named by ``spark.checkpoint.dir``.
 
     The files are on shared storage, so they outlive lost executors, and Spark's cleaner
-    removes them with the frame. Without the setting (tests) a new folder is taken.
+    removes them with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
