@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -42,14 +43,15 @@ RULES = (
     Rule("ellipsis_line_ratio", high=0.3),
 )
 
-METRICS: dict[str, Column] = {
-    "mean_word_chars": F.col("word_chars") / F.col("n_words"),
-    "symbols_per_word": F.col("n_symbols") / F.col("n_words"),
-    "shouts_per_word": F.col("n_shouts") / F.col("n_words"),
-    "stop_word_ratio": F.col("n_stop_words") / F.col("n_words"),
-    "dup_line_ratio": F.col("n_dup_lines") / F.col("n_lines"),
-    "bullet_line_ratio": F.col("n_bullet_lines") / F.col("n_lines"),
-    "ellipsis_line_ratio": F.col("n_ellipsis_lines") / F.col("n_lines"),
+#: Ratios over nothing are null, and pass no rule.
+METRICS: dict[str, Callable[[], Column]] = {
+    "mean_word_chars": lambda: F.try_divide("word_chars", "n_words"),
+    "symbols_per_word": lambda: F.try_divide("n_symbols", "n_words"),
+    "shouts_per_word": lambda: F.try_divide("n_shouts", "n_words"),
+    "stop_word_ratio": lambda: F.try_divide("n_stop_words", "n_words"),
+    "dup_line_ratio": lambda: F.try_divide("n_dup_lines", "n_lines"),
+    "bullet_line_ratio": lambda: F.try_divide("n_bullet_lines", "n_lines"),
+    "ellipsis_line_ratio": lambda: F.try_divide("n_ellipsis_lines", "n_lines"),
 }
 
 
@@ -57,7 +59,7 @@ def compiled(rules: tuple[Rule, ...]) -> Column:
     """One boolean of the whole table; a ratio over nothing passes no rule."""
     passed = F.lit(True)
     for rule in rules:
-        value = METRICS[rule.metric]
+        value = METRICS[rule.metric]()
         if rule.low is not None:
             passed = passed & (value >= F.lit(rule.low))
         if rule.high is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relgraph.llm import (
     fingerprints,
@@ -49,7 +49,8 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(native.table(spark, sf_dir, "documents"))
+    found = line_dedup.line_dedup(native.table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op7_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,3 +82,53 @@ QUERIES |= {
         op10_line_dedup,
     )
 }
+
+ORACLES["op1_quality_rules"] = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM split, unnest(range(1, len(ws) - 3)) AS u(i)),
+twice AS (SELECT doc_id, g FROM windows GROUP BY doc_id, g HAVING count(*) > 1),
+places AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN twice USING (doc_id, g), unnest(range(0, 5)) AS v(k)),
+repeated AS (SELECT doc_id, count(*) AS n_repeat_words FROM places GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(list_filter(ws, lambda w: lower(rtrim(w, '.,;:!?')) IN ({", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)}))) AS n_stop_words,
+    length(t) - length(replace(t, '!', '')) AS n_shouts,
+    len(ls) AS n_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
+  FROM split LEFT JOIN repeated USING (doc_id)),
+failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed
+  AND word_chars / n_words BETWEEN 2.0 AND 15.0 AND n_symbols / n_words <= 0.1 AND n_shouts / n_words <= 0.2
+  AND n_stop_words / n_words >= 0.005 AND n_dup_lines / n_lines <= 0.5 AND n_bullet_lines / n_lines <= 0.9
+  AND n_ellipsis_lines / n_lines <= 0.3 AS kept
+FROM failed"""
+
+ORACLES["op2_ngram_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM split, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS u(i)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+    JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM documents d JOIN reached r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id"""
