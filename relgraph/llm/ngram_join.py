@@ -38,7 +38,7 @@ NUM, DEN = 3, 4
 BROADCAST_ROWS = 1_000_000
 """Up to so many ids (16 MB) are sent to the executors; more are joined by a shuffle."""
 
-_COMBINE = 4096
+_COMBINE = 1024
 """Documents whose postings are combined before the shuffle."""
 
 _CHUNK = 512
