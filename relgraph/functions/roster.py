@@ -101,7 +101,7 @@ def date_or_today(date: Column, now: Column) -> Column:
     return F.coalesce(date, F.date_format(now, "yyyy-MM-dd"))
 
 
-def first_chars(text: Column, n: int = 512) -> Column:
+def first_chars(text: Column, n: int) -> Column:
     """The character window a size-limited model reads."""
     return F.substring(text, 1, n)
 

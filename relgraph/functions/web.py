@@ -30,7 +30,8 @@ def is_picture_path(path: Column) -> Column:
 
 
 def file_ending(url: Column, default: str = ".jpg") -> Column:
-    path = F.try_parse_url(url, F.lit("PATH"))
+    # the general pattern takes any text, so blanks and bad escapes keep their ending
+    path = F.regexp_extract(or_blank(url), URL_PARTS, 3)
     ending = F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]*)$", 1)
     return F.when(present(ending), ending).otherwise(F.lit(default))
 

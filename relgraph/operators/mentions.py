@@ -60,22 +60,22 @@ def match_names_by_grams(
     For every name length L the windows of L characters of a text that start like
     some name are listed in one regex pass and joined to the names of that length on equality, so no pair
     of text and name is ever tried by substring search. The text is shuffled once
-    by its key to meet its names, unless only the key and the names are used later.
+    by its hash to meet its names, which depend on nothing else: ``key`` may repeat or be null.
     """
     known = name_dictionary(names)
     grams = F.array().cast("array<string>")
     for n, initials in _lengths(known):
         grams = F.concat(grams, F.array_distinct(_windows(F.col(text), n, initials)))
-    docs = spread(docs)
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = spread(docs).withColumn("_t1", F.xxhash64(body)).withColumn("_t2", F.xxhash64(F.lit(1), body))
     hits = (
-        docs.select(key, F.explode(grams).alias("name"))
+        docs.select("_t1", "_t2", F.explode(grams).alias("name"))
         .join(known, "name")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("name")).alias(out))
-    )
-    return docs.join(hits, key, "left").withColumn(
-        out, F.coalesce(out, F.array().cast("array<string>"))
+        .groupBy("_t1", "_t2")
+        .agg(F.sort_array(F.collect_set("name")).alias(out))
     )
+    met = docs.join(hits, ["_t1", "_t2"], "left").drop("_t1", "_t2")
+    return met.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
 
 
 def _lengths(known: DataFrame) -> list[tuple[int, str]]:

@@ -114,6 +114,16 @@ class _PageReader(HTMLParser):
         return self.rows
 
 
+def _rows_of(page: str, keep: set[str] | None) -> list[tuple]:
+    """Rows of one page; a page that can't be parsed is a lone root that carries the error."""
+    try:
+        reader = _PageReader(keep)
+        reader.feed(page)
+        return reader.finish()
+    except (AssertionError, ValueError, RecursionError) as error:
+        return [(0, DOCUMENT, DOCUMENT + " ", "", [], [("error", f"{type(error).__name__}: {error}")], "")]
+
+
 def html_elements(
     pages: DataFrame, keep: set[str] | None = None, key: str = "page_id", html: str = "html"
 ) -> DataFrame:
@@ -150,9 +160,7 @@ def html_elements(
                     ]
                 )
             for ident, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                reader = _PageReader(wanted)
-                reader.feed(page or "")
-                for row in reader.finish():
+                for row in _rows_of(page or "", wanted):
                     rows.append((ident, *row))
                     if len(rows) >= ROWS_PER_BATCH:
                         yield flush()

@@ -89,13 +89,13 @@ def neighbourhood(
     edges: DataFrame,
     start: DataFrame,
     depth: int = 2,
-    limit: int = 100,
+    limit: int | None = None,
     sets: DataFrame | None = None,
     labels: list[str] = END_LABELS,
 ) -> DataFrame:
-    """``(depth, path_key, path_nodes, path_edges)``: the ``limit`` first paths from ``start(node_id)``.
+    """``(depth, path_key, path_nodes, path_edges)``: all paths from ``start(node_id)``, or the ``limit`` first.
 
-    The walk stops at the first length that fills the limit. While all end labels
+    With a limit the walk stops at the first length that fills the limit. While all end labels
     count, a next step is only taken from fewer than ``limit`` paths, so the
     frontier stays that small whatever the degree of the nodes behind it.
     """
@@ -116,14 +116,13 @@ def neighbourhood(
             grown.join(ends, "tip", "left_semi")
             .withColumn("depth", F.lit(step))
             .withColumn("path_key", path_key())
-            .orderBy("path_key")
-            .limit(limit - kept)
         )
-        hits = cut(hits)
+        hits = cut(hits if limit is None else hits.orderBy("path_key").limit(limit - kept))
         found = hits if found is None else found.unionByName(hits)
-        kept += hits.count()
-        if kept >= limit:
-            break
+        if limit is not None:
+            kept += hits.count()
+            if kept >= limit:
+                break
         frontier = grown if others_exist else hits.select("start", "tip", "path_nodes", "path_edges")
     return found.select("depth", "path_key", "path_nodes", "path_edges").orderBy("depth", "path_key")
 
@@ -134,7 +133,7 @@ def named_neighbourhood(
     edges: DataFrame,
     query: str,
     depth: int = 2,
-    limit: int = 100,
+    limit: int | None = None,
     sets: DataFrame | None = None,
 ) -> DataFrame:
     """Search, then `neighbourhood` of the first match; no match gives no path."""
@@ -143,9 +142,9 @@ def named_neighbourhood(
 
 
 def member_paths(
-    nodes: DataFrame, edges: DataFrame, limit: int = 200, sets: DataFrame | None = None
+    nodes: DataFrame, edges: DataFrame, limit: int | None = None, sets: DataFrame | None = None
 ) -> DataFrame:
-    """The first ``limit`` paths of length 1 or 2 between any two members.
+    """All paths of length 1 or 2 between any two members, or the first ``limit``.
 
     Paths are ordered by length, start and edge texts. A member that can start such
     a path starts at least one, so the ``limit`` smallest starts cover the result
@@ -153,6 +152,8 @@ def member_paths(
     """
     spark = nodes.sparkSession
     members = nodes.where(F.array_contains("labels", "Member")).select("node_id")
+    if limit is None:
+        return _all_member_paths(members, edges, sets)
     is_member = members.withColumnRenamed("node_id", "next")
     steps = _both_ways(edges).select("tip", "next")
     to_member = steps.join(is_member, "next", "left_semi")
@@ -209,6 +210,16 @@ def member_paths(
     )
 
 
+def _all_member_paths(members: DataFrame, edges: DataFrame, sets: DataFrame | None) -> DataFrame:
+    ends = members.withColumnRenamed("node_id", "tip")
+    paths, found = _start(members), None
+    for length in (1, 2):
+        paths = cut(_grow(paths, edges, sets, False), "paths")
+        hits = paths.join(ends, "tip", "left_semi").withColumns({"depth": F.lit(length), "path_key": path_key()})
+        found = hits if found is None else found.unionByName(hits)
+    return found.select("start", "depth", "path_key", "path_nodes", "path_edges").orderBy("depth", "start", "path_key")
+
+
 def with_edge_count(steps: DataFrame) -> DataFrame:
     return steps.groupBy("tip").agg(F.count("*").alias("n"))
 

@@ -179,7 +179,7 @@ def cards_with_list(cards: DataFrame, listed: DataFrame, page: Column, unit_code
     )
 
 
-def first_records(members: DataFrame, n: int = 300, key: str = "page_id") -> DataFrame:
+def first_records(members: DataFrame, n: int, key: str = "page_id") -> DataFrame:
     """The first ``n`` records in page and index order."""
     return members.orderBy(key, "index").limit(n)
 

@@ -37,7 +37,10 @@ def model_column(text: Column, load: Callable[[], Scorer]) -> Column:
 
 def _safe(model: Scorer, texts: list[str]) -> list[tuple[str, float]]:
     try:
-        return model(texts)
+        found = model(texts)
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} labels for {len(texts)} texts")
+        return found
     except Exception:
         if len(texts) == 1:
             return [("", 0.0)]

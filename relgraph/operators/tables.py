@@ -72,8 +72,9 @@ def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """`latest_rows` over a stored table and a batch; the batch comes later."""
-    old = existing.withColumn("_age", F.lit(0)).withColumn(order, F.lit(None).cast("long"))
-    new = updates.withColumn("_age", F.lit(1)).withColumn(order, F.col(order).cast("long"))
+    kind = updates.schema[order].dataType
+    old = existing.withColumn("_age", F.lit(0)).withColumn(order, F.lit(None).cast(kind))
+    new = updates.withColumn("_age", F.lit(1))
     return latest_rows(old.unionByName(new), keys, ["_age", order]).drop("_age", order)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relgraph.functions import scores
 from relgraph.functions.roster import run_date
@@ -14,7 +14,7 @@ from relgraph.operators.articles import dedupe_then_cap, usable_articles
 from relgraph.operators.pages import article_text
 from relgraph.plans.roster_graph import Graph
 from relgraph.session import cut
-from relgraph.sources.writers import save_articles, write_graph
+from relgraph.sources.writers import folder_exists, save_articles, write_graph
 
 
 def collected(articles: DataFrame, sections: list[str], cap: int, now: Column) -> DataFrame:
@@ -36,7 +36,8 @@ def with_body(articles: DataFrame, pages: DataFrame, most: int | None = None) ->
     if most is not None and most <= MANY_ARTICLES:
         urls = F.broadcast(urls)
     wanted = pages.select("url", "html").join(urls, "url", "left_semi")
-    bodies = wanted.select("url", article_text(F.col("html")).alias("content"))
+    # a page fetched more than once gives the text that sorts last
+    bodies = wanted.select("url", article_text(F.col("html")).alias("content")).groupBy("url").agg(F.max("content").alias("content"))
     return articles.join(bodies, "url", "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
@@ -80,10 +81,41 @@ def run(
     scored = scored.withColumn("ordinal", F.col("pos"))
     save_articles(scored.sparkSession, scored, table_path, now, "ordinal")
     graph = mention_graph(scored)
-    write_graph(graph.nodes, graph.edges, graph_path)
+    merge_graph(scored.sparkSession, graph, graph_path)
     return scored
 
 
+def merge_graph(spark: SparkSession, new: Graph, path: str) -> None:
+    """Add a run's graph to the stored one.
+
+    Nodes merge by id and take the newer properties, edges by their ends and type; counts
+    add up, and the other properties are the newer ones.
+    """
+    if folder_exists(spark, f"{path}/nodes"):
+        old = Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select(*new.edges.columns))
+        new = merged(old, new)
+        # staged first: the files that are read are the ones that are replaced
+        new = Graph(cut(new.nodes, "merged-nodes"), cut(new.edges, "merged-edges"))
+    write_graph(new.nodes, new.edges, path)
+
+
+def merged(old: Graph, new: Graph) -> Graph:
+    """Two graphs as one, see `merge_graph`."""
+
+    def both(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.withColumn("_age", F.lit(0)).unionByName(b.withColumn("_age", F.lit(1)))
+
+    nodes = tables.latest_rows(both(old.nodes, new.nodes), ["node_id"], ["_age"]).select(*new.nodes.columns)
+    keyed = both(old.edges, new.edges).groupBy("src", "dst", "type").agg(
+        F.max_by("props", "_age").alias("props"), F.sum(F.col("props")["count"].cast("long")).alias("n")
+    )
+    rest = F.map_filter("props", lambda k, v: k != "count")
+    counted = F.when(F.col("n").isNull(), F.col("props")).otherwise(
+        F.map_concat(rest, F.create_map(F.lit("count"), F.col("n").cast("string")))
+    )
+    return Graph(nodes, keyed.withColumn("props", counted).select(*new.edges.columns))
+
+
 def mention_graph(scored: DataFrame, mode: str = "literal") -> Graph:
     """Article and Politician nodes, mentions, pairs and counted polarity edges.
 

@@ -14,10 +14,10 @@ def roster_arrays(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read side by side; the place in the file, after the file name, is the
     order. One array cannot be split, so a roster larger than a task should be
-    stored as lines (`roster_lines`).
+    stored as lines (`roster_lines`). A file that is no such array fails the job.
     """
     files = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.from_json("value", ArrayType(ROSTER)).alias("rows")
+        F.input_file_name().alias("file"), F.from_json("value", ArrayType(ROSTER), {"mode": "FAILFAST"}).alias("rows")
     )
     return normal_roster(
         files.select("file", F.posexplode("rows").alias("place", "r")).select(
@@ -26,12 +26,10 @@ def roster_arrays(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def roster_lines(spark: SparkSession, path: str, ordinal: str | None = None) -> DataFrame:
+def roster_lines(spark: SparkSession, path: str, ordinal: str) -> DataFrame:
     """Rosters stored as JSON lines, read in parallel; ``ordinal`` names their order field."""
-    extra = [StructField(ordinal, LongType())] if ordinal else []
-    rows = spark.read.schema(StructType(ROSTER.fields + extra)).json(path)
-    order = F.col(ordinal) if ordinal else F.lit(0).cast("long")
-    return normal_roster(rows.select(order.alias("ordinal"), *[f"`{c}`" for c in ROSTER.fieldNames()]))
+    rows = spark.read.schema(StructType([*ROSTER.fields, StructField(ordinal, LongType())])).json(path)
+    return normal_roster(rows.select(F.col(ordinal).alias("ordinal"), *[f"`{c}`" for c in ROSTER.fieldNames()]))
 
 
 def normal_roster(rows: DataFrame) -> DataFrame:

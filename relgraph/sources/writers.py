@@ -84,8 +84,8 @@ def save_articles(spark: SparkSession, batch: DataFrame, path: str, now: datetim
 
     Rows of one run share their insertion time, so the table is laid out as
     ``base_date/run`` (run = insertion second) and the replace drops whole run
-    folders; no stored row is read or rewritten. Ids go on after the largest id in
-    use. The batch is written before older runs go, and a repeated run overwrites
+    folders; no stored row is read or rewritten. Ids go on after the largest id ever
+    given: each run leaves its last one as a folder name below ``_last_ids``. The batch is written before older runs go, and a repeated run overwrites
     its own folder, so a retry after a lost driver ends in the same table.
     """
     jvm = spark.sparkContext._jvm
@@ -95,21 +95,27 @@ def save_articles(spark: SparkSession, batch: DataFrame, path: str, now: datetim
     run = int(now.timestamp())
     day = now.strftime("%Y%m%d")
     runs = _run_folders(fs, jvm, root)
-    last = 0
-    earlier = [str(p) for p, r in runs if r != run]
-    if earlier:
-        last = spark.read.parquet(*earlier).agg(F.max("id")).first()[0] or 0
+    marks = jvm.org.apache.hadoop.fs.Path(root, "_last_ids")
+    given = [s.getPath().getName().split("-") for s in fs.listStatus(marks)] if fs.exists(marks) else []
+    last = max((int(n) for r, n in given if int(r) != run), default=0)
     own = f"{path}/base_date={day}/run={run}"
     rows = article_rows(serial_ids(batch, order, start=last), "id").withColumn(
         "inserted_at", F.timestamp_seconds(F.lit(run))
     )
     rows.write.mode("overwrite").parquet(own)
+    reached = spark.read.parquet(own).agg(F.max("id")).first()[0] or last
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(marks, f"{run}-{reached}"))
     floor = int((now - timedelta(hours=1)).timestamp())
     for folder, r in runs:
         if r >= floor and r != run:
             fs.delete(folder, True)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def _run_folders(fs, jvm, root) -> list[tuple]:
     if not fs.exists(root):
         return []

@@ -31,7 +31,7 @@ def differences(spark, con, sf_dir, run, sql) -> tuple[str, int]:
     """An empty text when both sides agree, and the row count."""
     df = run(spark, sf_dir)
     names = sorted(df.columns)
-    mine = Counter(tuple(r[n] for n in names) for r in df.collect())
+    mine = Counter(tuple(tuple(r[n]) if isinstance(r[n], list) else r[n] for n in names) for r in df.collect())
     if sql is None:
         return "", sum(mine.values())
     cur = con.execute(sql)

@@ -51,7 +51,7 @@ def test_contacts_and_names(spark):
     assert column(spark, texts, roster.plain_name)[2] == "김기현"
     assert column(spark, ["정의당 더불어민주당", "없음"], roster.party_in) == ["더불어민주당", None]
     assert column(spark, ["a, b,, c ", "", None], roster.items) == [["a", "b", "c"], [], []]
-    assert column(spark, ["가" * 600], lambda c: F.char_length(roster.first_chars(c))) == [512]
+    assert column(spark, ["가" * 600], lambda c: F.char_length(roster.first_chars(c, 512))) == [512]
 
 
 def test_card_number(spark):

@@ -288,7 +288,7 @@ def mapped_text(spark, sf_dir):
 def model_input_window(spark, sf_dir):
     # the 512-character window is the operator itself
     return table(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(roster.first_chars(F.col("text"))).alias("window_md5")
+        "doc_id", F.md5(roster.first_chars(F.col("text"), 512)).alias("window_md5")
     )
 
 

@@ -278,7 +278,7 @@ def roster_assembly(spark, sf_dir):
 @query(f"WITH {MEMBERS}, {CARDS} {ASSEMBLED} ORDER BY page_id, index LIMIT 300")
 def first_records(spark, sf_dir):
     """The record cap of a collection run; the number is the operator."""
-    return profiles.first_records(_assembled(spark, sf_dir))
+    return profiles.first_records(_assembled(spark, sf_dir), 300)
 
 
 @query(

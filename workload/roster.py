@@ -349,7 +349,7 @@ listed AS (SELECT * FROM trails ORDER BY depth, path_key LIMIT 100)
 def _match_paths(spark, sf_dir, depth=2, with_groups=False):
     graph = stored_graph(spark, sf_dir, with_groups)
     found = paths.named_neighbourhood(
-        roster_graph.member_names(graph.nodes), graph.nodes, graph.edges, QUERY, depth, sets=graph.sets
+        roster_graph.member_names(graph.nodes), graph.nodes, graph.edges, QUERY, depth, limit=100, sets=graph.sets
     )
     return graph, found
 
@@ -422,7 +422,7 @@ def khop_with_groups(spark, sf_dir):
 )
 def member_paths(spark, sf_dir):
     graph = stored_graph(spark, sf_dir)
-    return paths.member_paths(graph.nodes, graph.edges, sets=graph.sets).select("start", "depth", "path_key")
+    return paths.member_paths(graph.nodes, graph.edges, limit=200, sets=graph.sets).select("start", "depth", "path_key")
 
 
 @query(
@@ -435,7 +435,7 @@ def member_paths(spark, sf_dir):
 def member_paths_over_parties(spark, sf_dir):
     """Stored edges alone join members only through a party, region or school."""
     graph = stored_graph(spark, sf_dir, with_groups=False)
-    return paths.member_paths(graph.nodes, graph.edges).select("start", "depth", "path_key")
+    return paths.member_paths(graph.nodes, graph.edges, limit=200).select("start", "depth", "path_key")
 
 
 # --- relations between people --------------------------------------------------------------
