@@ -59,51 +59,66 @@ def bands(found: DataFrame) -> DataFrame:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line keys: each line of a bucket with the bucket's smallest and largest key.
+    """Pairs (a, b) of line keys, and whether b is the smallest key of some bucket of both.
 
-    A bucket of n lines gives at most 2n pairs; what is alike there is joined through them.
+    Each line of a bucket meets the bucket's smallest and its largest key, so a bucket of n
+    lines gives at most 2n pairs; what is alike there is joined through them.
     """
     placed = bands(found)
     ends = placed.groupBy("band").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi")
-    met = placed.join(ends, "band").select(F.col("k1").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-    return met.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hubs = F.array(F.struct(F.col("lo").alias("b"), F.lit(True).alias("first")), F.struct(F.col("hi").alias("b"), F.lit(False).alias("first")))
+    met = placed.join(ends, "band").select(F.col("k1").alias("a"), F.inline(hubs)).where("a != b")
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
 
 
 def char_shingles(line: Column) -> Column:
-    """Distinct runs of CHARS characters; a shorter line is its only one."""
+    """Runs of CHARS characters; a shorter line is its only one."""
     return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1)))
+        F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
     )
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Exact Jaccard similarity of two arrays of distinct values."""
-    common = F.size(F.array_intersect(a, b))
-    return common / (F.size(a) + F.size(b) - common)
+    """Exact Jaccard similarity of the sets of two arrays' values, each array made once."""
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return native.let(both, lambda x: F.size(F.array_intersect(x["a"], x["b"])) / F.size(F.array_union(x["a"], x["b"])))
 
 
 def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def similar(found: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs whose exact similarity is high enough.
-
-    Only lines of some pair are moved, each from the one document that has it first; several
-    equal lines there are made one.
-    """
-    pairs = native.staged(candidates(found))
+def _texts(found: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """k1 and line of the lines in some pair, each read from the first document that has it."""
     wanted = native.staged(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(first, "k1"))
     keys = wanted.select("k1", F.col("d").alias("doc"))
     texts = found.select("k1", "doc", "line").join(_checked(keys, wanted.count()), ["k1", "doc"], "left_semi")
-    texts = native.staged(texts.dropDuplicates(["k1"]).select("k1", "line"))
+    return native.staged(texts.dropDuplicates(["k1"]).select("k1", "line"))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose exact similarity is high enough."""
     sides = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("left")), "a").join(
         texts.select(F.col("k1").alias("b"), F.col("line").alias("right")), "b"
     )
-    # sets of too different sizes can't be similar: lengths bound the sizes only from above,
-    # so the sets themselves are compared
-    sets = sides.select("a", "b", char_shingles(F.col("left")).alias("x"), char_shingles(F.col("right")).alias("y"))
-    return sets.where(jaccard(F.col("x"), F.col("y")) >= similarity).select("a", "b")
+    alike = jaccard(char_shingles(F.col("left")), char_shingles(F.col("right")))
+    return sides.select("a", "b", alike.alias("j")).where(F.col("j") >= similarity).select("a", "b")
+
+
+def groups_of_similar(found: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """node and component of the lines that are like another; first: k1 and d, its first document.
+
+    The pairs with the buckets' smallest keys are tested first. Of the others, only those
+    that are not yet in one component can add anything, and are tested then.
+    """
+    pairs = native.staged(candidates(found))
+    texts = _texts(found, pairs, first)
+    early = native.staged(components(similar(pairs.where("first"), texts, similarity)))
+    a, b = (early.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
+    rest = pairs.where("not first").join(a, "a", "left").join(b, "b", "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    late = similar(rest, texts, similarity)
+    return components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -113,7 +128,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     found = lines(docs)
     first = native.staged(found.groupBy("k1", "k2").agg(F.min("doc").alias("d"), F.count("*").alias("n")))
-    grouped = native.staged(components(similar(found, first.select("k1", "d"), similarity)))
+    grouped = native.staged(groups_of_similar(found, first.select("k1", "d"), similarity))
     known = first.join(grouped.withColumnRenamed("node", "k1"), "k1", "left")
     shared = known.where("component is not null or n > 1").withColumn("component", F.coalesce("component", "k1"))
     least = shared.groupBy("component").agg(F.min("d").alias("home"))
