@@ -98,16 +98,21 @@ def related_counts(sets: DataFrame) -> DataFrame:
     People with equal key sets are folded first. For a set P of probe keys the
     union of its groups is counted by inclusion and exclusion over the subsets of
     P; the number of people holding a whole subset is one grouped count. That is
-    linear in the people and never forms pairs. Key sets are small (a person's
-    parties, terms, schools); where some set holds more than MAX_SUBSET_KEYS keys
-    its subsets would outgrow the folded sets themselves, and these are joined on
-    shared keys instead, with the same result.
+    linear in the people and never forms pairs. A set of more than MAX_SUBSET_KEYS keys
+    has too many subsets; such sets, and only these, are joined with the others on
+    shared keys instead. The two ways count disjoint parts of the same people.
     """
     sets = cut(sets.withColumn("sig", F.to_json(F.struct("etype", "probe", "build"))), "sets")
     folded = cut(sets.groupBy("sig", "etype", "probe", "build").agg(F.count("*").alias("people")))
-    widest = folded.agg(F.max(F.greatest(F.size("probe"), F.size("build")))).first()[0] or 0
-    count = _by_subsets if widest <= MAX_SUBSET_KEYS else _by_shared_keys
-    sized = count(folded).join(folded.select("sig", "people"), "sig")
+    narrow_probe, narrow_build = (F.size(c) <= MAX_SUBSET_KEYS for c in ("probe", "build"))
+    counted = (
+        _by_subsets(folded.where(narrow_probe), folded.where(narrow_build))
+        .unionByName(_by_shared_keys(folded.where(narrow_probe), folded.where(~narrow_build)))
+        .unionByName(_by_shared_keys(folded.where(~narrow_probe), folded))
+        .groupBy("sig")
+        .agg(F.sum("n").alias("n"))
+    )
+    sized = counted.join(folded.select("sig", "people"), "sig")
     # n counts the person too, who always finds themself
     answers = cut(sized.select("sig", "people", (F.col("n") - 1).alias("n")))
     return lookup_join(sets.select("etype", "id", "sig"), answers, "sig", "people").select(
@@ -115,20 +120,20 @@ def related_counts(sets: DataFrame) -> DataFrame:
     )
 
 
-def _by_subsets(folded: DataFrame) -> DataFrame:
+def _by_subsets(asking: DataFrame, found: DataFrame) -> DataFrame:
     holders = (
-        folded.select("etype", F.explode(_subsets(F.col("build"))).alias("sub"), "people")
+        found.select("etype", F.explode(_subsets(F.col("build"))).alias("sub"), "people")
         .groupBy("etype", "sub")
         .agg(F.sum("people").alias("holders"))
     )
-    asked = folded.select("sig", "etype", F.explode(_subsets(F.col("probe"))).alias("sub"))
+    asked = asking.select("sig", "etype", F.explode(_subsets(F.col("probe"))).alias("sub"))
     sign = F.when(F.size("sub") % 2 == 1, F.col("holders")).otherwise(-F.col("holders"))
     return asked.join(holders, ["etype", "sub"]).groupBy("sig").agg(F.sum(sign).alias("n"))
 
 
-def _by_shared_keys(folded: DataFrame) -> DataFrame:
-    asked = folded.select("sig", "etype", F.explode("probe").alias("key"))
-    found = folded.select(
+def _by_shared_keys(asking: DataFrame, others: DataFrame) -> DataFrame:
+    asked = asking.select("sig", "etype", F.explode("probe").alias("key"))
+    found = others.select(
         F.col("sig").alias("other"), "etype", F.explode("build").alias("key"), "people"
     )
     met = asked.join(found, ["etype", "key"]).select("sig", "other", "people").distinct()

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
 
-from relgraph.functions.roster import present
-from relgraph.skew import spread
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SMALL_DICTIONARY = 64
-"""Up to this many names one substring test per name and text is cheapest."""
+from relgraph.functions.roster import present
 
-MEDIUM_DICTIONARY = 2000
-"""Up to this many names the text windows are compared inside the row, without a shuffle."""
+DICTIONARY_BYTES = 32 << 20
+"""A dictionary is sent to the executors up to this size, as counted; a larger one is joined."""
 
 MOST_INITIALS = 256
 
@@ -22,10 +22,26 @@ def name_dictionary(roster: DataFrame, column: str = "name") -> DataFrame:
 
 
 def names_contained(text: Column, names: list[str]) -> Column:
-    """Sorted array of the names that occur in the text; overlapping names all count."""
-    known = F.array(*[F.lit(n) for n in sorted(set(names)) if n]).cast("array<string>")
-    found = F.filter(known, lambda n: F.contains(text, n))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    """Sorted array of the names that occur in the text; overlapping names all count.
+
+    One automaton of all names passes over each text once, however many they are.
+    """
+    context = SparkSession.active().sparkContext
+    sent = context.broadcast(sorted({n for n in names if n}))
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for name in sent.value:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            if not sent.value:
+                yield pd.Series([[] for _ in batch], index=batch.index)
+            else:
+                yield pd.Series([sorted({n for _, n in automaton.iter(t)}) if t else [] for t in batch], index=batch.index)
+
+    return found(text)
 
 
 def match_names(
@@ -33,23 +49,14 @@ def match_names(
 ) -> DataFrame:
     """Add the sorted array of dictionary names found in each whole text.
 
-    The size of the dictionary is checked. Up to SMALL_DICTIONARY names are searched
-    one by one; up to MEDIUM_DICTIONARY names are compared with the windows of the
-    text (see `match_names_by_grams`) inside the row. Neither needs a shuffle. A
-    larger dictionary is joined.
+    The texts stay where they are and meet the dictionary there; its size is counted
+    first, and one of more than DICTIONARY_BYTES is joined (`match_names_by_grams`).
     """
     known = name_dictionary(names)
-    few = [r[0] for r in known.limit(MEDIUM_DICTIONARY + 1).collect()]
-    if len(few) <= SMALL_DICTIONARY:
-        return spread(docs).withColumn(out, names_contained(F.col(text), few))
-    if len(few) > MEDIUM_DICTIONARY:
+    size = known.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    if size > DICTIONARY_BYTES:
         return match_names_by_grams(docs, names, key, text, out)
-    found = F.array().cast("array<string>")
-    for n in sorted({len(name) for name in few}):
-        same = [name for name in few if len(name) == n]
-        windows = _windows(F.col(text), n, _initials({name[0] for name in same}))
-        found = F.concat(found, F.array_intersect(windows, F.array(*map(F.lit, same))))
-    return spread(docs).withColumn(out, F.sort_array(F.coalesce(found, F.array().cast("array<string>"))))
+    return docs.withColumn(out, names_contained(F.col(text), [r[0] for r in known.collect()]))
 
 
 def match_names_by_grams(
@@ -67,7 +74,7 @@ def match_names_by_grams(
     for n, initials in _lengths(known):
         grams = F.concat(grams, F.array_distinct(_windows(F.col(text), n, initials)))
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = spread(docs).withColumn("_t1", F.xxhash64(body)).withColumn("_t2", F.xxhash64(F.lit(1), body))
+    docs = docs.withColumn("_t1", F.xxhash64(body)).withColumn("_t2", F.xxhash64(F.lit(1), body))
     hits = (
         docs.select("_t1", "_t2", F.explode(grams).alias("name"))
         .join(known, "name")

@@ -22,19 +22,12 @@ def collected(articles: DataFrame, sections: list[str], cap: int, now: Column) -
     return dedupe_then_cap(usable_articles(articles, now), sections, cap)
 
 
-MANY_ARTICLES = 100_000
-
-
-def with_body(articles: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
+def with_body(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """Add ``content`` from fetched pages; an article without page has an empty one.
 
     Pages of other articles are dropped before any text is taken from them.
-    ``most`` states how many articles there can be; up to MANY_ARTICLES their URLs
-    go to the pages, so that the page corpus is not shuffled.
     """
     urls = articles.select("url").distinct()
-    if most is not None and most <= MANY_ARTICLES:
-        urls = F.broadcast(urls)
     wanted = pages.select("url", "html").join(urls, "url", "left_semi")
     # a page fetched more than once gives the text that sorts last
     bodies = wanted.select("url", article_text(F.col("html")).alias("content")).groupBy("url").agg(F.max("content").alias("content"))
@@ -76,7 +69,7 @@ def run(
     """
     stamp = F.to_timestamp(F.lit(now.strftime("%Y-%m-%d %H:%M:%S")))
     articles = cut(collected(listed, sections, cap, stamp), "collected")
-    articles = with_body(articles, pages, cap * len(sections))
+    articles = with_body(articles, pages)
     scored = cut(scored_articles(articles, names, stamp, **scoring_options), "scored")
     scored = scored.withColumn("ordinal", F.col("pos"))
     save_articles(scored.sparkSession, scored, table_path, now, "ordinal")

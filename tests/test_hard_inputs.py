@@ -106,3 +106,28 @@ def test_all_paths_without_a_limit(spark):
     assert paths.neighbourhood(nodes, edges, start, 1).count() == leaves
     assert paths.neighbourhood(nodes, edges, start, 1, 100).count() == 100
     assert paths.member_paths(nodes, edges).count() == leaves * (leaves - 1)
+
+
+def test_wide_people_do_not_change_the_counts(spark):
+    import random
+
+    from relgraph.operators import groups
+
+    rng = random.Random(1)
+    held = {f"m{i}": {f"k{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 12, 13, 40]))} for i in range(120)}
+    pairs = spark.createDataFrame([(m, k) for m, ks in held.items() for k in ks], "id string, key string")
+    got = {r["id"]: r["n"] for r in groups.related_counts(groups.key_sets(pairs, "SAME", "id", "key")).collect()}
+    assert got == {m: sum(1 for o, other in held.items() if o != m and ks & other) for m, ks in held.items()}
+
+
+def test_a_large_dictionary_gives_the_names_contained(spark):
+    import random
+
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(12_000)})
+    texts = ["".join(rng.choice("abcdef ") for _ in range(400)) for _ in range(20)] + [None, ""]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "k int, text string")
+    want = sorted((t or "", sorted(n for n in names if n in (t or ""))) for t in texts)
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    for match in (mentions.match_names, mentions.match_names_by_grams):
+        assert sorted((r["text"] or "", r["politicians"]) for r in match(docs, table, "k").collect()) == want

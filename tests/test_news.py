@@ -33,11 +33,8 @@ def test_gram_match_equals_array_match(spark, monkeypatch):
     want = {i: sorted(n for n in known if n in t) for i, t in texts}
     for match in (mentions.match_names, mentions.match_names_by_grams):
         assert {r.id: sorted(r.politicians) for r in match(docs, names, "id").collect()} == want
-    monkeypatch.setattr(mentions, "SMALL_DICTIONARY", 3)
+    monkeypatch.setattr(mentions, "DICTIONARY_BYTES", 8)
     assert {r.id: sorted(r.politicians) for r in mentions.match_names(docs, names, "id").collect()} == want
-    monkeypatch.setattr(mentions, "MEDIUM_DICTIONARY", 50)
-    many = names.unionByName(spark.range(100).select(F.concat(F.lit("zz"), F.col("id")).alias("name")))
-    assert {r.id: sorted(r.politicians) for r in mentions.match_names(docs, many, "id").collect()} == want
 
 
 def test_pairs_and_co_mentions(spark):
