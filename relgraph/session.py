@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -42,9 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_run_folders: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a staged table."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a staged table, in the run's own folder below the shared one.
+
+    A lazily read table may be needed until the program ends; then the folder goes as a whole.
+    """
+    run = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    if run not in _run_folders:
+        _run_folders.add(run)
+        atexit.register(_delete, spark, run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm.org.apache.hadoop
+        target = jvm.fs.Path(path)
+        target.getFileSystem(jvm.conf.Configuration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the program ends; the JVM may be gone already
+        pass
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

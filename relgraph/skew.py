@@ -16,18 +16,15 @@ SPLIT_BYTES = 128 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small input of heavy per-row work one task per core.
+    """Give an input of one read split at most, with heavy work per row, a task per core.
 
-    An input below one usual split per core is read by fewer tasks than there are
-    cores. It is small by that very check, so moving it costs little; a larger
-    input is left as it is.
+    It would be read by one task. It is small by that very check, so moving it costs
+    little; a larger input has several splits and is left as it is.
     """
-    context = df.sparkSession.sparkContext
-    cores = context.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * SPLIT_BYTES:
+    if int(str(size)) >= SPLIT_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def lookup_join(big: DataFrame, unique: DataFrame, key: str, rows: str) -> DataFrame:
