@@ -19,6 +19,9 @@ UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 600
 """Training documents per language: the bound of the labelled sample."""
 
+MOST_LANGUAGES = 256
+"""Languages that are learned at most, the most frequent ones: the other bound of the sample."""
+
 _WINDOWS_PER_DOCUMENT = 3
 _EPOCHS = 12
 
@@ -155,11 +158,11 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
     """A network from labelled texts (lang, text, key); None if there are none.
 
-    Of each language about ``per_language`` documents are used, by the hash of their key; only
-    their windows reach the driver, at most 3 * 256 bytes a document.
+    Of each of at most MOST_LANGUAGES languages about ``per_language`` documents are used, by
+    the hash of their key; only their windows reach the driver, at most 3 * 256 bytes a document.
     """
     usable = labelled.where("lang is not null and text is not null and text != ''")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     share = F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 11) / F.lit(float(1 << 53))
     chosen = usable.join(F.broadcast(counts), "lang").where(share * F.col("n") < per_language)
     windows = chosen.select("lang", "text", F.xxhash64("key").alias("seed")).mapInArrow(

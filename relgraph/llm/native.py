@@ -33,11 +33,14 @@ def uniform(seed: int, *keys: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, set for checkpoints as well.
 
-    Without the setting (tests) a new temporary folder is taken, once for a session.
+    Without the setting a local master (tests) takes a new temporary folder, once for a
+    session; a cluster, whose machines don't share such a folder, is refused.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir()
 
