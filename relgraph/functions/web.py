@@ -14,6 +14,7 @@ IMAGE_ENDINGS = [".jpg", ".jpeg", ".png", ".gif"]
 PHOTO_CLASS_WORDS = ["photo", "profile", "member", "picture"]
 PHOTO_ALT_WORDS = ["프로필", "사진", "의원"]
 PHOTO_PATH_WORDS = ["profile", "member", "photo", "picture", "portrait"]
+DATA_KEY_WORDS = ["image", "photo", "picture"]
 SCRIPT_WORDS = ["image", "photo", "picture", ".jpg", ".png", ".gif"]
 URL_PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 

@@ -355,6 +355,13 @@ def data_attributes(elements: DataFrame, key: str = "page_id") -> DataFrame:
     )
 
 
+def image_data_attributes(elements: DataFrame, key: str = "page_id") -> DataFrame:
+    """``data-`` attributes with an image as value, of elements that have a ``data-`` key
+    with one of the image words."""
+    named = F.filter(F.map_keys("attrs"), lambda k: F.startswith(k, F.lit("data-")) & web.contains_any(k, web.DATA_KEY_WORDS))
+    return data_attributes(elements.where(F.size(named) > 0), key).where("is_image").drop("is_image")
+
+
 def image_titles(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """Title attributes that hold an image name."""
     return elements.where(web.contains_any(attr("title"), web.IMAGE_ENDINGS)).select(

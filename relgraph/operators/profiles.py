@@ -42,12 +42,18 @@ DETAIL_TAGS = {DOCUMENT, "div", "section", "span", "h1", "ul", "li", "strong", "
 
 
 def member_list(
-    elements: DataFrame, prefix: str, base: Column | None = None, by_anchor: bool = False, key: str = "page_id"
+    elements: DataFrame,
+    prefix: str,
+    base: Column | None = None,
+    by_anchor: bool = False,
+    key: str = "page_id",
+    place: str = "either",
 ) -> DataFrame:
     """Rows of at least nine cells of the member table, cell by position.
 
-    Cells below ``#list-result-sect`` are read; a page without it gives its first
-    table (its body, or all rows but the first). ``by_anchor`` takes the name from
+    ``place`` says where: "section" reads below ``#list-result-sect``, "table" the first
+    table (its body, or all rows but the first), "either" the table of pages without the
+    section. ``by_anchor`` takes the name from
     the name anchor instead of the third cell. With ``base`` a real link is
     preferred over the script call.
     """
@@ -89,9 +95,14 @@ def member_list(
     unlisted = (F.col("table_seq") == F.col("first_table")) & F.when(
         F.col("has_body"), F.col("in_body")
     ).otherwise(F.col("row_seq") > F.col("first_row"))
+    places = {
+        "section": F.col("listed"),
+        "table": unlisted,
+        "either": F.when(F.col("page_listed"), F.col("listed")).otherwise(unlisted),
+    }
     cells = F.filter("parts", lambda p: p["tag"] == "td")
     full = (
-        rows.where(F.when(F.col("page_listed"), F.col("listed")).otherwise(unlisted))
+        rows.where(places[place])
         .withColumn("cells", cells)
         .where(F.size("cells") >= len(LIST_CELLS))
         .withColumn(
