@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -41,7 +42,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.token_shards(native.table(spark, sf_dir, "documents"))
+    path = f"{native.shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
+    return token_shards.token_shards(native.table(spark, sf_dir, "documents"), path)
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,60 +65,90 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return place.astype(np.int64)
 
 
-def tokenised(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """bucket, doc, tie, before, n and packed ids of every text that isn't null.
+def packed(ids: bytes) -> bytes:
+    """Ids of two bytes, all low bytes before all high ones, which pack better apart."""
+    return zstandard.compress(np.frombuffer(ids, np.uint8).reshape(-1, 2).T.tobytes(), 3)
+
+
+def unpacked(data: bytes) -> bytes:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, -1).T.tobytes()
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc, tie and text of every text that isn't null."""
+    return docs.where("text is not null").select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tie"), "text"
+    )
+
+
+def counted(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """bucket, doc, tie, n, copies and before of every text that isn't null; rows alike in id and text count as one.
 
     Documents are dealt to buckets by a hash of their id and text; within one they stand in
-    order of these. ``before`` counts the tokens that stand before a document in its bucket.
+    order of these. ``n`` counts a document's tokens, ``before`` those that stand before its
+    first copy in its bucket. The ids themselves aren't kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(ranks).encode_ordinary
-        pack = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [array("H", [*encode(t), END]) for t in batch.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x.tobytes()) for x in ids], pa.binary())],
-                    names=["bucket", "doc", "tie", "n", "packed"],
-                )
+                n = [len(encode(t)) + 1 for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64())], names=["doc", "tie", "n"])
 
     buckets = -(-docs.count() // DOCS_PER_BUCKET) or 1
-    rows = docs.where("text is not null").select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64("text").alias("tie"), "text"
-    )
-    placed = rows.select(F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).alias("bucket"), "doc", "tie", "text")
-    ids = placed.mapInArrow(run, "bucket long, doc long, tie long, n long, packed binary")
+    sizes = _rows(docs).mapInArrow(run, "doc long, tie long, n long")
+    same = sizes.groupBy("doc", "tie").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    placed = same.select(F.pmod(F.xxhash64("doc", "tie"), F.lit(buckets)).alias("bucket"), "doc", "tie", "n", "copies")
     upto = Window.partitionBy("bucket").orderBy("doc", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    return ids.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    return placed.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("copies")).over(upto), F.lit(0)))
 
 
-def _pieces(n: int, key: int, stride: int):
-    """Cut documents where sequences end, and give each piece its sequence's slot."""
+def _pieces(n: int, key: int, stride: int, ranks: str):
+    """Tokenise documents, cut them where sequences end, and give each piece its sequence's slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            sequence, start, data = [], [], []
-            for offset, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = unpack(packed)
-                at = 0
-                while at < len(ids):
-                    first = offset + at // 2
-                    size = 2 * (stride - first % stride)
-                    sequence.append(first // stride)
-                    start.append(first % stride)
-                    data.append(pack(ids[at : at + size]))
-                    at += size
-            slot = permuted(np.array(sequence, np.int64), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(start, pa.int32()), pa.array(data, pa.binary())], names=["slot", "start", "packed"])
+        encode = tokenizer(ranks).encode_ordinary
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                sequence, start, data = [], [], []
+                for offset, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    ids = array("H", [*encode(text), END]).tobytes()
+                    at = 0
+                    while at < len(ids):
+                        first = offset + at // 2
+                        size = 2 * (stride - first % stride)
+                        sequence.append(first // stride)
+                        start.append(first % stride)
+                        data.append(packed(ids[at : at + size]))
+                        at += size
+                slot = permuted(np.array(sequence, np.int64), n, key)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(start, pa.int32()), pa.array(data, pa.binary())], names=["slot", "start", "packed"])
 
     return run
 
 
-def _write(path: str, shard: int, data: bytes) -> str:
-    """Write one shard whole: under another name first, so a lost task leaves no half file."""
+def _placed(docs: DataFrame, sizes: DataFrame, bases: DataFrame, buckets: int) -> DataFrame:
+    """offset and text of every row; rows alike in id and text stand one after the other."""
+    near = F.broadcast(bases) if buckets <= BROADCAST_ROWS else bases
+    at = sizes.join(near, "bucket").select("doc", "tie", "n", "copies", (F.col("base") + F.col("before")).alias("offset"))
+    total = sizes.agg(F.count("*").alias("all"), F.count_if(F.col("copies") > 1).alias("repeated")).first()
+    small = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    rows, keys = _rows(docs), ["doc", "tie"]
+    single = rows.join(small(at.where("copies = 1").select(*keys, "offset"), total["all"] - total["repeated"]), keys)
+    found = single.select("offset", "text")
+    if total["repeated"]:
+        many = small(at.where("copies > 1"), total["repeated"])
+        once = rows.join(F.broadcast(many.select(*keys)) if total["repeated"] <= BROADCAST_ROWS else many.select(*keys), keys, "left_semi")
+        each = once.dropDuplicates(keys).join(many, keys).select("offset", "n", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+        found = found.unionByName(each.select((F.col("offset") + F.col("copy") * F.col("n")).alias("offset"), "text"))
+    return found
+
+
+def _write(path: str, shard: int, data: bytes) -> tuple[int, str]:
+    """Write one shard whole, under another name first, so a lost task leaves no half file; size and SHA-256 of the file."""
     fs, base = pafs.FileSystem.from_uri(path)
     fs.create_dir(base)
     name = f"{base}/shard-{shard:08d}.bin"
@@ -126,33 +156,32 @@ def _write(path: str, shard: int, data: bytes) -> str:
     with fs.open_output_stream(part) as out:
         out.write(data)
     fs.move(part, name)
-    return name
+    with fs.open_input_stream(name) as written:
+        found = written.read()
+    return len(found), hashlib.sha256(found).hexdigest()
 
 
 def _shards(n: int, stride: int, per_shard: int, path: str | None):
     """Join sorted pieces to shards, one in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-
         def done(shard: int, data: np.ndarray) -> pa.RecordBatch:
             raw = data.tobytes()
-            if path:
-                _write(path, shard, raw)
-            values = [shard, shard * per_shard, len(raw) // (2 * stride), 2 * stride, len(raw), hashlib.sha256(raw).hexdigest()]
+            size, digest = _write(path, shard, raw) if path else (len(raw), hashlib.sha256(raw).hexdigest())
+            values = [shard, shard * per_shard, size // (2 * stride), 2 * stride, size, digest]
             names = ["shard", "first_slot", "n_sequences", "stride_bytes", "n_bytes", "sha256"]
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=names)
 
         now, data = None, None
         for batch in batches:
-            for slot, start, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for slot, start, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = slot // per_shard
                 if shard != now:
                     if now is not None:
                         yield done(now, data)
                     now = shard
                     data = np.full(stride * min(per_shard, n - shard * per_shard), END, "<u2")
-                ids = np.frombuffer(unpack(packed), "<u2")
+                ids = np.frombuffer(unpacked(piece), "<u2")
                 at = (slot - shard * per_shard) * stride + start
                 data[at : at + len(ids)] = ids
         if now is not None:
@@ -175,21 +204,21 @@ def token_shards(
     ``stride`` ids; the last one is filled up with END. Sequence i gets slot permuted(i), and
     shard s holds the slots from s * per_shard, two little-endian bytes an id, so slot j lies
     at byte 2 * stride * (j - first_slot) of its file: a reader that stopped goes on at any slot. Rows: shard,
-    first_slot, n_sequences, stride_bytes, n_bytes, sha256 of the shard's bytes. docs: doc_id, text; other
-    columns are not read. Null texts give nothing, empty ones an END; null ids come first;
+    first_slot, n_sequences, stride_bytes, n_bytes, sha256 of the shard's file, or of its bytes without
+    ``path``. Texts are tokenised twice, for their counts and for their ids, so only one copy of the ids is
+    kept beside the files. docs: doc_id, text; other columns are not read. Null texts give nothing, empty ones an END; null ids come first;
     repeated rows are strung together twice; an empty table gives no rows. ``path`` must be on
     storage that all executors share; a repeated task writes the same file again.
     """
-    rows = native.staged(tokenised(docs, ranks))
-    sums = native.staged(rows.groupBy("bucket").agg(F.sum("n").alias("n")))
+    sizes = native.staged(counted(docs, ranks))
+    sums = native.staged(sizes.groupBy("bucket").agg(F.sum(F.col("n") * F.col("copies")).alias("n")))
     # one row per DOCS_PER_BUCKET documents
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     known = sums.agg(F.sum("n").alias("tokens"), F.count("*").alias("buckets")).first()
     sequences = -(-(known["tokens"] or 0) // stride)
-    small = F.broadcast(bases) if known["buckets"] <= BROADCAST_ROWS else bases
-    placed = rows.join(small, "bucket").select((F.col("base") + F.col("before")).alias("offset"), "packed")
-    pieces = placed.mapInArrow(_pieces(sequences, key, stride), "slot long, start int, packed binary")
+    placed = _placed(docs, sizes, bases, known["buckets"])
+    pieces = placed.mapInArrow(_pieces(sequences, key, stride, ranks), "slot long, start int, packed binary")
     sorted_pieces = pieces.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition("shard").sortWithinPartitions("slot", "start")
     schema = "shard long, first_slot long, n_sequences long, stride_bytes long, n_bytes long, sha256 string"
     return sorted_pieces.select("slot", "start", "packed").mapInArrow(_shards(sequences, stride, per_shard, path), schema)

@@ -1,15 +1,17 @@
 """N-gram join, token shards, codec, classifiers and line dedup against brute force or held-out rows."""
 
+import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from llm.fixtures import EDGES, components_of, docs_of, edge_docs, jaccard_links, prose, shingle_set
 from pyspark.sql import functions as F
 
-from relgraph.llm import lang_id, line_dedup, ngram_join, piece_codec, quality_rank, token_shards
+from relgraph.llm import lang_id, line_dedup, native, ngram_join, piece_codec, quality_rank, registry, token_shards
 
 SF = "/root/testdata/sf0.01"
 
@@ -84,6 +86,19 @@ def test_shards_hold_every_text_and_can_be_resumed(spark, tmp_path):
     assert len(resumed) == len(sequences) - 75 and all((a == b).all() for a, b in zip(resumed, sequences[75:], strict=True))
 
 
+def test_the_shard_query_writes_its_files(spark):
+    folder = native.shared_folder(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = lambda: {f.getPath().toUri().getPath() for f in fs.globStatus(hadoop.Path(f"{folder}/token-shards-*/*"))}
+    before = files()
+    rows = registry.QUERIES["op5_token_shards"](spark, SF).collect()
+    new = {p.rsplit("/", 1)[1]: Path(p).read_bytes() for p in files() - before}
+    assert rows and {(f"shard-{r.shard:08d}.bin", r.n_bytes, r.sha256) for r in rows} == {
+        (name, len(data), hashlib.sha256(data).hexdigest()) for name, data in new.items()
+    }
+
+
 def best_path(codec, pieces, chunk):
     """Plain Viterbi over all substrings."""
     best = [(0.0, [])] + [None] * len(chunk)
