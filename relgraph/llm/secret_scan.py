@@ -17,8 +17,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LEAST = 8
 
-#: Words that are tested for randomness: runs of the encodings' characters.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Words that are tested for randomness: runs of the encodings' characters, also after a "=".
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -93,6 +93,21 @@ def test_random_tokens_are_told_from_words(spark):
     assert sum(rows[i] for i in range(200, 400)) <= 2
 
 
+def test_tokens_after_an_equals_sign(spark):
+    rng = random.Random(5)
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "key={}", "https://files.example.org/a?sig={}", 'key="{}"', "A=b=={}", "key={}=="]
+    tokens = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(20 * len(forms))]
+    texts = [f"see {forms[i % len(forms)].format(t)} here" for i, t in enumerate(tokens)]
+    rows = {r.doc_id: r.spans for r in secret_scan.secret_scan(docs_of(spark, texts)).collect()}
+    found = Counter()
+    for i, t in enumerate(tokens):
+        at = texts[i].index(t)
+        end = at + len(t) + 2 * (i % len(forms) == 5)
+        found[i % len(forms)] += f"random:{at}:{end}" in rows[i].split(",")
+    # one in a few hundred random words fails a test of randomness
+    assert all(found[k] >= 19 for k in range(len(forms))), found
+
+
 def test_fingerprints(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randint(0, 900)) for _ in range(40)] + [None, "", "only three words"] + ["", ""]
