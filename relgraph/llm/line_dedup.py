@@ -7,11 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relgraph.llm import native
 from relgraph.llm.components import components
 
-ANCHORED = 12
-"""Characters of the signature's shingles, which begin at word starts."""
-
 CHARS = 5
-"""Characters of the shingles of the exact test."""
+"""Characters of the shingles, of the signature and of the exact test."""
 
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.75
@@ -33,27 +30,23 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def anchored_shingles(line: Column) -> Column:
-    """Up to ANCHORED characters from each word's start.
-
-    A MinHash may order its shingles as it likes, as long as all lines agree: here those at
-    word starts come before all others, so these alone can be smallest, and only these
-    are made. Every line with a word has one.
-    """
-    pattern = rf"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{{0,{ANCHORED - 1}}}))"
-    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+def char_shingles(line: Column) -> Column:
+    """Runs of CHARS characters; a shorter line is its only one."""
+    return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(
+        F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
+    )
 
 
 def bands(found: DataFrame) -> DataFrame:
     """k1 and band of every distinct line, BANDS rows each.
 
-    The hash functions are one hash combined by exclusive or with BANDS * ROWS numbers whose
+    The signature is over all of a line's shingles. The hash functions are one hash combined by exclusive or with BANDS * ROWS numbers whose
     leading bits are spread evenly, those of one band farthest apart: each still orders all
     shingles at random, and none costs more than the one operation. Their minima are aggregated
     with partial results per task, by the line's key, so copies of a line meet as one row per
     task and the text isn't moved.
     """
-    shingles = found.select("k1", "k2", F.explode(anchored_shingles(F.col("line"))).alias("s"))
+    shingles = found.select("k1", "k2", F.explode(char_shingles(F.col("line"))).alias("s"))
     hashed = shingles.select("k1", "k2", F.hash("s").alias("h"))
     n = BANDS * ROWS
     # place r * BANDS + b of n evenly spread ones, as signed 32-bit numbers with mixed low bits
@@ -79,13 +72,6 @@ def candidates(found: DataFrame) -> DataFrame:
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
 
 
-def char_shingles(line: Column) -> Column:
-    """Runs of CHARS characters; a shorter line is its only one."""
-    return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(
-        F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
-    )
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Exact Jaccard similarity of the sets of two arrays' values, each array made once."""
     both = F.struct(a.alias("a"), b.alias("b"))

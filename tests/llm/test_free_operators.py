@@ -207,6 +207,18 @@ def test_line_dedup(spark):
         assert kept[d] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in got))
 
 
+def removed_of(spark, lines):
+    rows = line_dedup.line_dedup(docs_of(spark, ["\n".join(lines)])).collect()
+    return set(rows[0].removed)
+
+
+def test_lines_without_spaces_differ_at_the_start(spark):
+    rng = random.Random(7)
+    paths = ["".join(rng.choice("abcdefghijklmnop/") for _ in range(60)) for _ in range(60)]
+    lines = [f"http://{p}" for p in paths] + [f"https://{p}" for p in paths]
+    assert len(removed_of(spark, lines)) >= 57
+
+
 def test_edges_of_joins(spark):
     docs = edge_docs(spark)
     n = docs.count()
