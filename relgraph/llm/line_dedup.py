@@ -40,20 +40,14 @@ def char_shingles(line: Column) -> Column:
 def bands(found: DataFrame) -> DataFrame:
     """k1 and band of every distinct line, BANDS rows each.
 
-    The signature is over all of a line's shingles. The hash functions are one hash combined by exclusive or with BANDS * ROWS numbers whose
-    leading bits are spread evenly, those of one band farthest apart: each still orders all
-    shingles at random, and none costs more than the one operation. Their minima are aggregated
-    with partial results per task, by the line's key, so copies of a line meet as one row per
-    task and the text isn't moved.
+    The signature is over all of a line's shingles. Each is hashed once, to 64 bits; the hash
+    functions hash these again, mixed with a number each, so they are independent. Their
+    minima are aggregated with partial results per task, by the line's key, so copies of a
+    line meet as one row per task and the text isn't moved.
     """
     shingles = found.select("k1", "k2", F.explode(char_shingles(F.col("line"))).alias("s"))
-    hashed = shingles.select("k1", "k2", F.hash("s").alias("h"))
-    n = BANDS * ROWS
-    # place r * BANDS + b of n evenly spread ones, as signed 32-bit numbers with mixed low bits
-    spread = [((r * BANDS + b) * (1 << 32) // n ^ (0x9E3779B1 * (b * ROWS + r + 1) & 0x3FFFFFF)) for b in range(BANDS) for r in range(ROWS)]
-    minima = [
-        F.min(F.col("h").bitwiseXOR(F.lit(x - (1 << 32) if x >= 1 << 31 else x))).alias(f"m{i}") for i, x in enumerate(spread)
-    ]
+    hashed = shingles.select("k1", "k2", F.xxhash64("s").alias("h"))
+    minima = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit((i + 1) * 0x1E3779B97F4A7C15 % (1 << 63))))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     signed = hashed.groupBy("k1", "k2").agg(*minima)
     band = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("k1", F.explode(F.array(*band)).alias("band"))
