@@ -12,6 +12,9 @@ CHARS = 5
 
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.75
+SMALL = 32
+"""Lines of a bucket that are tested pair by pair; in larger buckets a pair must share a rare shingle first."""
+
 BROADCAST_ROWS = 1_000_000
 """Up to so many line keys (24 MB) are sent to the executors; more are joined by a shuffle."""
 
@@ -53,19 +56,67 @@ def bands(found: DataFrame) -> DataFrame:
     return signed.select("k1", F.explode(F.array(*band)).alias("band"))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line keys, and whether b is the smallest key of some bucket of both.
-
-    Each line of a bucket meets the bucket's smallest and its largest key, so a bucket of n
-    lines gives at most 2n pairs; what is alike there is joined through them.
-    """
+def shared_buckets(found: DataFrame) -> DataFrame:
+    """band, k1, lo and hi of the lines in buckets of several: the bucket's smallest and largest key."""
     placed = bands(found)
     ends = placed.groupBy("band").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi")
+    return placed.join(ends, "band").select("band", "k1", "lo", "hi")
+
+
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a line and its bucket's smallest or largest key, and whether it is the smallest of some bucket."""
     hubs = F.array(F.struct(F.col("lo").alias("b"), F.lit(True).alias("first")), F.struct(F.col("hi").alias("b"), F.lit(False).alias("first")))
-    met = placed.join(ends, "band").select(F.col("k1").alias("a"), F.inline(hubs)).where("a != b")
+    met = shared.select(F.col("k1").alias("a"), F.inline(hubs)).where("a != b")
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
 
 
+def mixed_keys(rows: DataFrame) -> DataFrame:
+    """key, n (its lines) and most (the component of most of them) of the keys with lines of several components.
+
+    rows: key, k1, component.
+    """
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")
+    )
+    return largest.where("parts > 1").select("key", "n", "most")
+
+
+def cross_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of lines that share a key but no component, once each.
+
+    One line of such a pair is not of the key's largest component, so only those lines meet
+    the key's others: lines of one large group are not paired with each other.
+    """
+    rest = rows.join(mixed, "key").where("component != most").select("key", F.col("k1").alias("x"), F.col("component").alias("of_x"))
+    pairs = rest.join(rows, "key").where("component != of_x")
+    return pairs.select(F.least("x", "k1").alias("a"), F.greatest("x", "k1").alias("b")).distinct()
+
+
+def other_pairs(shared: DataFrame, grouped: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that may be alike and that no hub has met: lines of a bucket that are in different components.
+
+    In buckets of up to SMALL lines these are all such pairs. In larger ones both lines must
+    also share one of their rarest shingles: of n shingles, all but ceil(similarity * n) - 1, in an
+    order that is the same for all lines. Lines that are alike enough always do, so none is lost.
+    """
+    met = shared.where("k1 != lo and k1 != hi").select(F.col("band").alias("key"), "k1")
+    rows = native.staged(
+        met.join(grouped.withColumnRenamed("node", "k1"), "k1", "left").select("key", "k1", F.coalesce("component", "k1").alias("component"))
+    )
+    mixed = native.staged(mixed_keys(rows))
+    few = cross_pairs(rows, mixed.where(F.col("n") <= SMALL))
+    many = native.staged(rows.join(mixed.where(F.col("n") > SMALL).select("key"), "key"))
+    sets = many.select("k1").distinct().join(texts, "k1")
+    each = native.staged(sets.select("k1", F.explode(F.array_distinct(F.transform(char_shingles(F.col("line")), lambda s: F.xxhash64(s)))).alias("s")))
+    rarity = each.groupBy("s").agg(F.count("*").alias("df"))
+    ordered = each.join(rarity, "s").groupBy("k1").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    needed = F.ceil(F.lit(similarity) * F.size("all") - 1e-9).cast("int")
+    prefix = ordered.select("k1", F.explode(F.slice("all", F.lit(1), F.size("all") - needed + 1)).alias("x"))
+    refined = native.staged(many.join(prefix, "k1").select(F.xxhash64("key", "x.s").alias("key"), "k1", "component"))
+    return few.unionByName(cross_pairs(refined, mixed_keys(refined))).distinct()
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Exact Jaccard similarity of the sets of two arrays' values, each array made once."""
     both = F.struct(a.alias("a"), b.alias("b"))
@@ -96,17 +147,24 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 def groups_of_similar(found: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
     """node and component of the lines that are like another; first: k1 and d, its first document.
 
-    The pairs with the buckets' smallest keys are tested first. Of the others, only those
-    that are not yet in one component can add anything, and are tested then.
+    The pairs with the buckets' smallest keys are tested first, then those with the largest.
+    Of all others in a bucket, only those that are not yet in one component can add anything;
+    they are tested last, so no pair that shares a bucket is left out.
     """
-    pairs = native.staged(candidates(found))
+    shared = native.staged(shared_buckets(found))
+    pairs = native.staged(hub_pairs(shared))
     texts = _texts(found, pairs, first)
     early = native.staged(components(similar(pairs.where("first"), texts, similarity)))
     a, b = (early.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
     rest = pairs.where("not first").join(a, "a", "left").join(b, "b", "left")
     rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     late = similar(rest, texts, similarity)
-    return components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+    grouped = native.staged(components(_edges(early).unionByName(late)))
+    return components(_edges(grouped).unionByName(similar(other_pairs(shared, grouped, texts, similarity), texts, similarity)))
+
+
+def _edges(grouped: DataFrame) -> DataFrame:
+    return grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -212,6 +212,18 @@ def removed_of(spark, lines):
     return set(rows[0].removed)
 
 
+def test_alike_lines_of_a_bucket_need_no_hub(spark, monkeypatch):
+    # one bucket of 120 pairs of URLs that are unlike but for their partner
+    rng = random.Random(6)
+    urls = ["https://www.example.org/" + "".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(120)]
+    lines = urls + [u + "?p=1" for u in urls]
+    one = lambda found: found.select("k1", F.lit(7).cast("long").alias("band")).distinct()
+    monkeypatch.setattr(line_dedup, "bands", one)
+    for small in (line_dedup.SMALL, 1000):
+        monkeypatch.setattr(line_dedup, "SMALL", small)
+        assert removed_of(spark, lines) == set(range(120, 240))
+
+
 def test_lines_without_spaces_differ_at_the_start(spark):
     rng = random.Random(7)
     paths = ["".join(rng.choice("abcdefghijklmnop/") for _ in range(60)) for _ in range(60)]
