@@ -47,7 +47,7 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encoded(native.table(spark, sf_dir, "documents"), with_ids=False)
+    return piece_codec.encoded(native.table(spark, sf_dir, "documents"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,14 @@ def test_encoded_documents(spark):
         assert (r.ids is None) == (text is None) and r.n_tokens == len(r.ids or [])
 
 
+def test_the_codec_query_returns_the_ids(spark):
+    rows = registry.QUERIES["op6_piece_codec"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(
+        r.n_tokens == len(r.ids or ()) and (r.ids is None or hashlib.sha256(np.array(r.ids, "<u2").tobytes()).hexdigest() == r.ids_sha256)
+        for r in rows
+    )
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = lang_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
