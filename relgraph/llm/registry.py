@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relgraph.llm import (
     fingerprints,
+    hard_negatives,
     lang_id,
     line_dedup,
     mixing,
     native,
     ngram_join,
+    periodic_runs,
     piece_codec,
     quality_rank,
     quality_rules,
     secret_scan,
     token_shards,
+    toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +72,19 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(native.table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(native.table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (native.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.toxicity(docs, labels)
+
+
 QUERIES |= {
     f.__name__: f
     for f in (
@@ -82,6 +98,9 @@ QUERIES |= {
         op8_mix,
         op9_language_id,
         op10_line_dedup,
+        op11_hard_negatives,
+        op12_periodic_runs,
+        op13_toxicity,
     )
 }
 
@@ -134,3 +153,27 @@ reached(doc_id, other) AS (
 SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
 FROM documents d JOIN reached r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 GROUP BY d.doc_id"""
+
+ORACLES["op11_hard_negatives"] = """
+WITH rows_ AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(256 * x::DOUBLE) >= 2.0 ** 62)) = 0),
+scaled AS MATERIALIZED (
+  SELECT vec_id, label, len(embedding) AS dims, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v,
+    row_number() OVER () AS r FROM rows_),
+scores AS MATERIALIZED (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CASE WHEN a.dims = 0 THEN 0 ELSE list_dot_product(a.v, b.v) END::BIGINT AS score
+  FROM scaled a JOIN scaled b ON a.vec_id % 100 = 0 AND a.dims = b.dims AND a.r <> b.r),
+positives AS (
+  SELECT a, anchor_id, id, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS p FROM scores WHERE same
+  QUALIFY p <= 5),
+negatives AS (
+  SELECT p.anchor_id, p.id AS positive_id,
+    row_number() OVER (PARTITION BY p.a, p.p ORDER BY n.score DESC, n.id) AS rank,
+    n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scores n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+  QUALIFY rank <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives"""
