@@ -1,18 +1,26 @@
 """Web pages as a table of elements, and reports over that table.
 
-elements: ``page_id, seq, tag, step, trail, above, attrs, text``.
+elements: ``page_id, seq, last_seq, parent, depth, tag, step, up, attrs, text_at, text_size, text``.
 
 * ``seq`` numbers the elements of a page in document order; 0 is the page itself
-  (tag ``#document``).
-* ``step`` describes an element as ``tag .class .class #id`` with a blank after
-  each part; ``trail`` holds the steps of its ancestors, each after a slash, and
-  ``above`` their numbers, both from the outermost inward.
-* ``text`` joins the stripped texts below the element without separator; for the
-  page itself it is the unstripped text, for a script or style its content.
+  (tag ``#document``). Everything inside an element has a number from ``seq + 1`` to
+  ``last_seq``, so the intervals of two elements are nested or apart; ``parent`` is the
+  number of the element around, ``depth`` how many there are around.
+* ``step`` describes an element as ``tag .class .class #id`` with a blank after each
+  part; ``up`` is the step of the parent.
+* Text is held once a page: the row with tag ``#strings`` (number -1) joins the stripped
+  texts of the page without separator, and an element's text is the part of it from
+  ``text_at`` on, ``text_size`` characters (`with_text`). Only the page itself (unstripped
+  text), text nodes and the contents of scripts, styles and templates have a ``text``.
+
+Rows and bytes are linear in the page, however deep it is. Places are found by the
+intervals: with rows in document order, an element is below a match if the largest
+``last_seq`` of the matches before it reaches it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -32,7 +40,7 @@ VOID_TAGS = {
 OWN_TEXT_TAGS = {"script", "style", "template"}
 PARTY_WORDS = ["국민의힘", "더불어민주당", "정의당", "개혁신당"]
 
-DOCUMENT, TEXT = "#document", "#text"
+DOCUMENT, TEXT, STRINGS = "#document", "#text", "#strings"
 ROWS_PER_BATCH = 4000
 
 
@@ -41,48 +49,52 @@ class _Open(NamedTuple):
     tag: str
     step: str
     attrs: dict[str, str]
-    trail: str
-    above: list[int]
     first_string: int
+    text_at: int
+    kept: bool
 
 
 class _PageReader(HTMLParser):
     """Turns the tag events of one page into rows; unclosed tags end with their parent."""
 
-    def __init__(self, keep: set[str] | None):
+    def __init__(self, keep: set[str] | None, texts: bool):
         super().__init__(convert_charrefs=True)
-        self.keep = keep
+        self.keep, self.texts = keep, texts
         self.rows: list[tuple] = []
         self.strings: list[tuple[str, str]] = []
+        self.stripped: list[str] = []
+        self.length = 0
         self.open: list[_Open] = []
+        self.open_tags: Counter[str] = Counter()
         self.count = 0
         self._push(DOCUMENT, {})
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
-        step = tag + " "
-        if attrs.get("class"):
-            step += "".join(f".{c} " for c in attrs["class"].split())
+        names = attrs["class"].split() if attrs.get("class") else []
+        step = tag + " " + "".join(f".{c} " for c in names)
         if attrs.get("id"):
             step += f"#{attrs['id']} "
-        trail, above = self._place()
-        seq, self.count = self.count, self.count + 1
-        step = step.replace("/", "")
-        self.open.append(_Open(seq, tag, step, attrs, trail, above, len(self.strings)))
+        keep = self.keep
+        kept = keep is None or tag in keep or f"#{attrs.get('id')}" in keep or any(f".{c}" in keep for c in names)
+        self.open.append(_Open(self.count, tag, step, attrs, len(self.strings), self.length, kept))
+        self.open_tags[tag] += 1
+        self.count += 1
 
-    def _place(self) -> tuple[str, list[int]]:
-        if not self.open:
-            return "", []
-        up = self.open[-1]
-        return f"{up.trail}/{up.step}", up.above + [up.seq]
+    def _up(self) -> tuple[int | None, int, str]:
+        up = self.open[-1] if self.open else None
+        return (up.seq, len(self.open), up.step) if up else (None, 0, "")
 
     def _pop(self) -> None:
         e = self.open.pop()
-        if self.keep is not None and e.tag not in self.keep:
+        self.open_tags[e.tag] -= 1
+        if not e.kept:
             return
-        inside = [s for s, owner in self.strings[e.first_string :] if not owner or owner == e.tag]
-        raw = e.tag == DOCUMENT or e.tag in OWN_TEXT_TAGS
-        text = "".join(inside if raw else [s.strip() for s in inside])
-        self.rows.append((e.seq, e.tag, e.step, e.trail, e.above, list(e.attrs.items()), text))
+        parent, depth, up = self._up()
+        text = None
+        if e.tag in OWN_TEXT_TAGS or e.tag == DOCUMENT and self.texts:
+            text = "".join(s for s, owner in self.strings[e.first_string :] if not owner or owner == e.tag)
+        place = (None, None) if text is not None else (e.text_at, self.length - e.text_at)
+        self.rows.append((e.seq, self.count - 1, parent, depth, e.tag, e.step, up, list(e.attrs.items()), *place, text))
 
     def handle_starttag(self, tag, attrs):
         self._push(tag, {key: value or "" for key, value in attrs})
@@ -95,43 +107,54 @@ class _PageReader(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag):
-        if any(e.tag == tag for e in self.open):
+        if self.open_tags[tag]:
             while self.open[-1].tag != tag:
                 self._pop()
             self._pop()
 
     def handle_data(self, data):
         top = self.open[-1].tag
-        self.strings.append((data, top if top in OWN_TEXT_TAGS else ""))
+        owner = top if top in OWN_TEXT_TAGS else ""
+        self.strings.append((data, owner))
+        if not owner:
+            self.stripped.append(data.strip())
+            self.length += len(self.stripped[-1])
         if self.keep is None or TEXT in self.keep:
-            self.rows.append((self.count, TEXT, TEXT + " ", *self._place(), [], data))
+            self.rows.append((self.count, self.count, *self._up()[:2], TEXT, TEXT + " ", self._up()[2], [], None, None, data))
             self.count += 1
 
     def finish(self) -> list[tuple]:
         self.close()
         while self.open:
             self._pop()
+        if self.texts:
+            self.rows.append((-1, -1, None, 0, STRINGS, STRINGS + " ", "", [], None, None, "".join(self.stripped)))
         return self.rows
 
 
-def _rows_of(page: str, keep: set[str] | None) -> list[tuple]:
+def _rows_of(page: str, keep: set[str] | None, texts: bool) -> list[tuple]:
     """Rows of one page; a page that can't be parsed is a lone root that carries the error."""
     try:
-        reader = _PageReader(keep)
+        reader = _PageReader(keep, texts)
         reader.feed(page)
         return reader.finish()
     except (AssertionError, ValueError, RecursionError) as error:
-        return [(0, DOCUMENT, DOCUMENT + " ", "", [], [("error", f"{type(error).__name__}: {error}")], "")]
+        return [(0, 0, None, 0, DOCUMENT, DOCUMENT + " ", "", [("error", f"{type(error).__name__}: {error}")], None, None, "")]
 
 
 def html_elements(
-    pages: DataFrame, keep: set[str] | None = None, key: str = "page_id", html: str = "html"
+    pages: DataFrame, keep: set[str] | None = None, key: str = "page_id", html: str = "html", texts: bool = True
 ) -> DataFrame:
-    """Parse each page once; ``keep`` names the tags that become rows (all when None)."""
+    """Parse each page once into rows, see the module.
+
+    ``keep`` names what becomes a row (everything when None): tags, classes as ``.name`` and
+    ids as ``#name``. The elements around those that a report asks for have to be kept
+    where it tests places. Without ``texts`` neither the page's strings nor its own text are rows.
+    """
     key_type = pages.schema[key].dataType.simpleString()
     schema = (
-        f"{key} {key_type}, seq int, tag string, step string, trail string, above array<int>, "
-        "attrs map<string,string>, text string"
+        f"{key} {key_type}, seq int, last_seq int, parent int, depth int, tag string, step string, up string, "
+        "attrs map<string,string>, text_at int, text_size int, text string"
     )
     wanted = None if keep is None else set(keep)
 
@@ -147,20 +170,12 @@ def html_elements(
 
         for batch in batches:
             if shape is None:
-                shape = pa.schema(
-                    [
-                        (key, batch.schema.field(key).type),
-                        ("seq", pa.int32()),
-                        ("tag", pa.string()),
-                        ("step", pa.string()),
-                        ("trail", pa.string()),
-                        ("above", pa.list_(pa.int32())),
-                        ("attrs", pa.map_(pa.string(), pa.string())),
-                        ("text", pa.string()),
-                    ]
-                )
+                whole, string = pa.int32(), pa.string()
+                kinds = [whole] * 4 + [string] * 3 + [pa.map_(string, string), whole, whole, string]
+                names = [part.split()[0] for part in schema.split(", ")]
+                shape = pa.schema(list(zip(names, [batch.schema.field(key).type, *kinds])))
             for ident, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for row in _rows_of(page or "", wanted):
+                for row in _rows_of(page or "", wanted, texts):
                     rows.append((ident, *row))
                     if len(rows) >= ROWS_PER_BATCH:
                         yield flush()
@@ -170,54 +185,145 @@ def html_elements(
     return spread(pages.select(key, html)).mapInArrow(parse, schema)
 
 
+def with_text(elements: DataFrame, wanted: Column | None = None, key: str = "page_id", others: bool = False) -> DataFrame:
+    """The wanted rows (all but the strings when None) with their texts, cut out of their page's strings.
+
+    With ``others`` the rows that aren't wanted stay as they are.
+    """
+    strings = F.col("tag") == STRINGS
+    wanted = ~strings if wanted is None else wanted
+    rows = elements if others else elements.where(wanted | strings)
+    whole = F.max(F.when(strings, F.col("text"))).over(Window.partitionBy(key))
+    cut_out = F.coalesce("text", F.col("_strings").substr(F.col("text_at") + 1, F.col("text_size")), F.lit(""))
+    own_text = F.when(wanted, cut_out).otherwise(F.col("text"))
+    return rows.withColumn("_strings", whole).where(~strings).withColumn("text", own_text).drop("_strings")
+
+
 # --- tests on the place of an element -------------------------------------------------
 
 
-def step(tag: str = "", cls: str = "", ident: str = "", cls_part: str = "") -> str:
-    """Pattern of one step: tag, class, id, or a text inside some class."""
-    ahead = ""
-    if cls:
-        ahead += rf"(?=[^/]* \.{cls} )"
-    if ident:
-        ahead += rf"(?=[^/]* #{ident} )"
-    if cls_part:
-        ahead += rf"(?=[^/]* \.[^/ ]*{cls_part})"
-    return f"/{ahead}{tag + ' ' if tag else ''}[^/]*"
+class Step(NamedTuple):
+    """One element of a place: its tag, a class, its id, a text inside some class."""
+
+    tag: str = ""
+    cls: str = ""
+    ident: str = ""
+    cls_part: str = ""
+
+
+Place = tuple[tuple[bool, Step], ...]
+"""Steps from the outside inward, each with whether it is directly below the one before."""
+
+
+def step(tag: str = "", cls: str = "", ident: str = "", cls_part: str = "") -> Place:
+    return ((False, Step(tag, cls, ident, cls_part)),)
+
+
+def inside(*places: Place) -> Place:
+    """Places at any distance below each other."""
+    return sum(places, ())
+
+
+def directly(*places: Place) -> Place:
+    """Places each directly below the one before."""
+    head, *rest = places
+    return sum((((True, p[0][1]), *p[1:]) for p in rest), head)
+
 
+def own(place: Place) -> Column:
+    """The element's own step fits the last of the place."""
+    wanted = place[-1][1]
+    fits = F.lit(True)
+    if wanted.tag:
+        fits &= F.col("tag") == wanted.tag
+    for mark, name in ((".", wanted.cls), ("#", wanted.ident)):
+        if name:
+            fits &= F.contains("step", F.lit(f" {mark}{name} "))
+    if wanted.cls_part:
+        fits &= F.exists(F.split("step", " "), lambda s: F.startswith(s, F.lit(".")) & F.contains(s, F.lit(wanted.cls_part)))
+    return fits & (F.col("tag") != STRINGS)
 
-def inside(*steps: str) -> str:
-    """Steps at any distance below each other."""
-    return "(?:/[^/]*)*".join(steps)
 
+def _before(key: str):
+    return Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
 
-def directly(*steps: str) -> str:
-    """Steps each directly below the one before."""
-    return "".join(steps)
 
+def _reached(mark: Column, key: str) -> Column:
+    """Some marked element is around: the intervals are nested or apart, so the farthest end before says it."""
+    return F.coalesce(F.max(F.when(mark, F.col("last_seq"))).over(_before(key)) >= F.col("seq"), F.lit(False))
 
-def path() -> Column:
-    return F.concat("trail", F.lit("/"), "step")
 
+def _last_on_level(rows: DataFrame, name: str, marked: Column, its_level: Column, level: Column, key: str) -> DataFrame:
+    """``name``: number of the last marked element before a row whose level is the one that the row asks for."""
+    asks = F.struct(F.lit(False).alias("gives"), level.alias("level"))
+    gives = F.when(marked & its_level.isNotNull(), F.struct(F.lit(True).alias("gives"), its_level.alias("level")))
+    roles = rows.withColumn("_role", F.explode(F.array_compact(F.array(asks, gives))))
+    roles = roles.withColumn("_gives", F.col("_role.gives")).withColumn("_level", F.col("_role.level")).drop("_role")
+    order = Window.partitionBy(key, "_level").orderBy("seq", "_gives").rowsBetween(Window.unboundedPreceding, -1)
+    found = F.last(F.when(F.col("_gives"), F.col("seq")), ignorenulls=True).over(order)
+    return roles.withColumn(name, found).where(~F.col("_gives")).drop("_gives", "_level")
 
-def is_at(pattern: str) -> Column:
-    """The element itself is at the place."""
-    return path().rlike(pattern + "$")
 
+def at(elements: DataFrame, place: Place, name: str, key: str = "page_id") -> DataFrame:
+    """Adds ``name``: whether the element is at the place."""
+    rows = elements
+    for i, (direct, wanted) in enumerate(place):
+        fits = own(((direct, wanted),))
+        if i and direct:
+            rows = _last_on_level(rows, "_parent", F.col("_at"), F.col("depth"), F.when(fits, F.col("depth") - 1), key)
+            fits &= F.coalesce(F.col("_parent") == F.col("parent"), F.lit(False))
+        elif i:
+            fits &= _reached(F.col("_at"), key)
+        rows = rows.withColumn("_at", fits).drop("_parent")
+    return rows.withColumnRenamed("_at", name)
 
-def is_below(pattern: str) -> Column:
-    """The element has an ancestor at the place."""
-    return F.col("trail").rlike(pattern + "(?:/|$)")
 
+def below(elements: DataFrame, place: Place, name: str, key: str = "page_id") -> DataFrame:
+    """Adds ``name``: whether an element at the place is around this one."""
+    rows = at(elements, place, "_around", key)
+    return rows.withColumn(name, _reached(F.col("_around"), key)).drop("_around")
 
-def ancestors_like(pattern: str) -> Column:
-    """Sequence numbers of the ancestors whose own step fits, outermost first."""
-    steps = F.transform(F.split(F.substring("trail", 2, 1 << 30), "/"), lambda s: F.concat(F.lit("/"), s))
-    marked = F.zip_with("above", steps, lambda n, s: F.when(s.rlike("^" + pattern + "$"), n))
-    return F.array_compact(marked)
 
+def outermost(elements: DataFrame, place: Place, name: str, key: str = "page_id") -> DataFrame:
+    """Adds ``name``: the number of the outermost element around this one whose own step fits."""
+    top = own(place) & ~_reached(own(place), key)
+    rows = elements.withColumn("_top", top)
+    last = F.last(F.when(F.col("_top"), F.struct("seq", "last_seq")), ignorenulls=True).over(_before(key))
+    rows = rows.withColumn("_last", last)
+    return rows.withColumn(name, F.when(F.col("_last.last_seq") >= F.col("seq"), F.col("_last.seq"))).drop("_top", "_last")
 
-def parent_step() -> Column:
-    return F.substring_index("trail", "/", -1)
+
+def _nested(elements: DataFrame, place: Place, key: str) -> DataFrame:
+    """Adds ``_around``: how many elements whose own step fits are around this one.
+
+    Each such element is one row where it opens and one where it ends; what has opened and
+    not ended before an element is around it.
+    """
+    opens = F.struct((2 * F.col("seq")).alias("p"), F.when(own(place), 1).otherwise(0).alias("w"))
+    ends = F.when(own(place), F.struct((2 * F.col("last_seq") + 1).alias("p"), F.lit(-1).alias("w")))
+    events = elements.withColumn("_event", F.explode(F.array_compact(F.array(opens, ends))))
+    order = Window.partitionBy(key).orderBy("_event.p").rowsBetween(Window.unboundedPreceding, -1)
+    counted = events.withColumn("_around", F.coalesce(F.sum("_event.w").over(order), F.lit(0)))
+    return counted.where(F.col("_event.w") >= 0).drop("_event")
+
+
+def innermost(elements: DataFrame, place: Place, name: str, key: str = "page_id") -> DataFrame:
+    """Adds ``name``: the number of the innermost element around this one whose own step fits.
+
+    With n of them around, it is the last one before that itself has n - 1 around.
+    """
+    rows = _nested(elements, place, key)
+    level = F.when(F.col("_around") > 0, F.col("_around"))
+    return _last_on_level(rows, name, own(place), F.col("_around") + 1, level, key).drop("_around")
+
+
+def each_around(elements: DataFrame, place: Place, name: str, key: str = "page_id") -> DataFrame:
+    """One row for every element around whose own step fits, with its number as ``name``."""
+    rows = _nested(elements, place, key).withColumn("_mine", F.col("_around") + 1)
+    asked = rows.withColumn("_ask", F.explode(F.sequence(F.lit(0), F.col("_around"))))
+    # the row that asks for level 0 stands for the element itself
+    found = _last_on_level(asked, name, own(place) & (F.col("_ask") == 0), F.col("_mine"), F.col("_ask"), key)
+    return found.where(F.col("_ask") > 0).drop("_around", "_mine", "_ask")
 
 
 def step_tag(step_text: Column) -> Column:
@@ -276,10 +382,12 @@ def tag_counts(elements: DataFrame, tags: list[str], key: str = "page_id") -> Da
     return wide.select(key, F.explode(pairs).alias("c")).select(key, "c.tag", "c.n")
 
 
-def place_counts(elements: DataFrame, places: dict[str, str], key: str = "page_id") -> DataFrame:
-    """``(page, place, n)`` for named place patterns, zeros kept."""
+def place_counts(elements: DataFrame, places: dict[str, Place], key: str = "page_id") -> DataFrame:
+    """``(page, place, n)`` for named places, zeros kept."""
     names = list(places)
-    sums = [F.count(F.when(is_at(places[n]), 1)).alias(f"p{i}") for i, n in enumerate(names)]
+    for i, n in enumerate(names):
+        elements = at(elements, places[n], f"p{i}", key)
+    sums = [F.count(F.when(F.col(f"p{i}"), 1)).alias(f"p{i}") for i in range(len(names))]
     wide = elements.groupBy(key).agg(*sums)
     pairs = F.array(
         *[F.struct(F.lit(n).alias("place"), F.col(f"p{i}").alias("n")) for i, n in enumerate(names)]
@@ -287,23 +395,24 @@ def place_counts(elements: DataFrame, places: dict[str, str], key: str = "page_i
     return wide.select(key, F.explode(pairs).alias("c")).select(key, "c.place", "c.n")
 
 
-def first_at(elements: DataFrame, places: dict[str, str], n: int, key: str = "page_id") -> DataFrame:
+def first_at(elements: DataFrame, places: dict[str, Place], n: int, key: str = "page_id") -> DataFrame:
     """The first ``n`` elements of each page at each named place."""
-    fits = F.array(*[F.when(is_at(p), F.lit(name)) for name, p in places.items()])
-    found = elements.select("*", F.explode(F.array_compact(fits)).alias("place"))
+    columns, rows = elements.columns, elements
+    for i, p in enumerate(places.values()):
+        rows = at(rows, p, f"_p{i}", key)
+    fits = F.array(*[F.when(F.col(f"_p{i}"), F.lit(name)) for i, name in enumerate(places)])
+    found = rows.select(*columns, F.explode(F.array_compact(fits)).alias("place"))
     order = Window.partitionBy(key, "place").orderBy("seq")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
 def links(elements: DataFrame, key: str = "page_id") -> DataFrame:
-    return elements.where(F.col("tag") == "a").select(
-        key, "seq", attr("href").alias("href"), "text"
-    )
+    return with_text(elements, F.col("tag") == "a", key).select(key, "seq", attr("href").alias("href"), "text")
 
 
 def images(elements: DataFrame, base: Column, key: str = "page_id") -> DataFrame:
     """Every image with its absolute address and its parent."""
-    up = parent_step()
+    up = F.col("up")
     return elements.where(F.col("tag") == "img").select(
         key,
         "seq",
@@ -349,8 +458,8 @@ def image_scripts(elements: DataFrame, words: list[str] = web.SCRIPT_WORDS, key:
 
 def data_attributes(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """``data-`` attributes in long form, with whether the value is an image."""
-    own = F.map_filter("attrs", lambda k, v: F.startswith(k, F.lit("data-")))
-    return elements.select(key, "seq", "tag", F.explode(own).alias("name", "value")).withColumn(
+    data = F.map_filter("attrs", lambda k, v: F.startswith(k, F.lit("data-")))
+    return elements.select(key, "seq", "tag", F.explode(data).alias("name", "value")).withColumn(
         "is_image", web.contains_any(F.col("value"), web.IMAGE_ENDINGS)
     )
 
@@ -371,10 +480,8 @@ def image_titles(elements: DataFrame, key: str = "page_id") -> DataFrame:
 
 def forms(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """Forms and their inputs; a form without input has one row with a null input."""
-    own = F.when(F.col("tag") == "form", F.col("seq")).otherwise(
-        F.try_element_at(ancestors_like(step("form")), F.lit(1))
-    )
-    parts = elements.where(F.col("tag").isin("form", "input")).withColumn("form_seq", own)
+    parts = outermost(elements.where(F.col("tag").isin("form", "input")), step("form"), "form_seq", key)
+    parts = parts.withColumn("form_seq", F.when(F.col("tag") == "form", F.col("seq")).otherwise(F.col("form_seq")))
     head = Window.partitionBy(key, "form_seq").orderBy("seq")
     return (
         parts.where(F.col("form_seq").isNotNull())
@@ -410,27 +517,23 @@ def hidden_fields(elements: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def headings(elements: DataFrame, tags: tuple[str, ...] = ("title", "h1", "h2"), key: str = "page_id") -> DataFrame:
-    return elements.where(F.col("tag").isin(*tags)).select(key, "seq", "tag", "text")
+    return with_text(elements, F.col("tag").isin(*tags), key).select(key, "seq", "tag", "text")
 
 
 def class_texts(elements: DataFrame, words: list[str], key: str = "page_id") -> DataFrame:
     """Elements whose class text holds one of the words."""
-    return elements.where(web.contains_any(classes(), words)).select(
+    return with_text(elements, web.contains_any(classes(), words), key).select(
         key, "seq", "tag", classes().alias("classes"), "text"
     )
 
 
 def table_rows(elements: DataFrame, n: int | None = None, key: str = "page_id") -> DataFrame:
     """Rows of every table as cell arrays (``td`` and ``th``); the first ``n`` per table."""
+    is_cell = F.col("tag").isin("td", "th")
+    parts = with_text(elements.where(F.col("tag").isin("td", "th", "tr", "table", STRINGS)), is_cell, key, others=True)
     rows = (
-        elements.where(F.col("tag").isin("td", "th"))
-        .select(
-            key,
-            "seq",
-            "text",
-            F.element_at(ancestors_like(step("table")), -1).alias("table_seq"),
-            F.explode(ancestors_like(step("tr"))).alias("row_seq"),
-        )
+        each_around(innermost(parts, step("table"), "table_seq", key), step("tr"), "row_seq", key)
+        .where(is_cell)
         .groupBy(key, "table_seq", "row_seq")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("c"))
         .select(key, "table_seq", "row_seq", F.transform("c", lambda x: x["text"]).alias("cells"))
@@ -450,7 +553,7 @@ def keyword_texts(
         "seq",
         F.explode(hits).alias("keyword"),
         F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"),
-        step_tag(parent_step()).alias("parent_tag"),
+        step_tag(F.col("up")).alias("parent_tag"),
     )
     if n is None:
         return found
@@ -482,9 +585,9 @@ def literal_lines(texts: DataFrame, literal: str, key: str, text: str = "html")
 
 def definitions(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """``(page, list_seq, place, term, text)``: terms and texts of a list paired by place."""
-    parts = elements.where(F.col("tag").isin("dt", "dd")).select(
-        key, "seq", "tag", "text", F.explode(ancestors_like(step("dl"))).alias("list_seq")
-    )
+    is_part = F.col("tag").isin("dt", "dd")
+    texts = with_text(elements.where(F.col("tag").isin("dt", "dd", "dl", STRINGS)), is_part, key, others=True)
+    parts = each_around(texts, step("dl"), "list_seq", key).where(is_part)
 
     def side(tag: str) -> Column:
         pairs = F.array_sort(F.collect_list(F.when(F.col("tag") == tag, F.struct("seq", "text"))))

@@ -8,13 +8,18 @@ from relgraph.functions import roster, web
 from relgraph.functions.roster import or_blank, present
 from relgraph.operators.pages import (
     DOCUMENT,
-    ancestors_like,
+    STRINGS,
+    at,
     attr,
+    below,
     directly,
+    each_around,
+    innermost,
     inside,
-    is_at,
-    is_below,
+    outermost,
+    own,
     step,
+    with_text,
 )
 from relgraph.session import cut
 
@@ -36,8 +41,8 @@ INTRO_LABELS = [
 SPAN_PARTIES = "국민의힘|더불어민주당|정의당"
 PICTURE = r"(?i)\.(jpg|jpeg|png|gif)"
 
-LIST_TAGS = {"table", "tbody", "tr", "td", "th", "a"}
-CARD_TAGS = {"a", "img", "span", "i"}
+LIST_TAGS = {"table", "tbody", "tr", "td", "th", "a", "#list-result-sect"}
+CARD_TAGS = {"a", "img", "span", "i", "div", "li", ".nassem_result_ul"}
 DETAIL_TAGS = {DOCUMENT, "div", "section", "span", "h1", "ul", "li", "strong", "img", "dt", "dd"}
 
 
@@ -57,24 +62,28 @@ def member_list(
     the name anchor instead of the third cell. With ``base`` a real link is
     preferred over the script call.
     """
-    row_of = F.element_at(ancestors_like(step("tr")), -1)
-    parts = elements.where(F.col("tag").isin("td", "th", "a") & (F.size(ancestors_like(step("tr"))) > 0))
-    # one shuffle by page serves the grouping and both windows
+    named = F.col("tag").isin("table", "tbody", "tr", "td", "th", "a", STRINGS)
+    # one shuffle by page serves all windows and the grouping
+    parts = with_text(elements.where(named | own(LIST_BODY)), F.col("tag").isin("td", "a"), key, others=True)
+    parts = below(below(parts, LIST_BODY, "listed", key), step("tbody"), "in_body", key)
+    parts = outermost(outermost(parts, step("table"), "table_seq", key), step("td"), "cell", key)
+    parts = innermost(parts, step("tr"), "row_seq", key)
     rows = (
-        parts.repartition(key).select(
+        parts.where(F.col("tag").isin("td", "th", "a") & F.col("row_seq").isNotNull())
+        .select(
             key,
-            row_of.alias("row_seq"),
-            is_below(LIST_BODY).alias("listed"),
-            F.try_element_at(ancestors_like(step("table")), F.lit(1)).alias("table_seq"),
-            (F.size(ancestors_like(step("tbody"))) > 0).alias("in_body"),
+            "row_seq",
+            "listed",
+            "table_seq",
+            "in_body",
             F.struct(
                 "seq",
                 "tag",
                 "text",
                 attr("href").alias("href"),
                 attr("onclick").alias("onclick"),
-                is_at(NAME_ANCHOR).alias("is_name"),
-                F.try_element_at(ancestors_like(step("td")), F.lit(1)).alias("cell"),
+                own(NAME_ANCHOR).alias("is_name"),
+                "cell",
             ).alias("part"),
         )
         .groupBy(key, "row_seq")
@@ -138,23 +147,26 @@ def member_list(
 
 def photo_cards(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """``(page, index, name, party, photo_url, photo_filename)`` of each card, 0-based index."""
+    mine = F.col("tag").isin("a", "img", "span", "i", "div", "li", STRINGS) | own(step(cls="nassem_result_ul"))
+    parts = with_text(elements.where(mine), F.col("tag").isin("span", "i"), key, others=True)
+    parts = below(at(parts, CARD, "is_card", key), CARD, "in_card", key)
+    parts = outermost(parts, step("a", cls="nassem_reslut_pic"), "anchor", key)
+    parts = at(parts, inside(CARD, directly(step("div"), step("img"))), "is_photo", key)
+    parts = below(parts, inside(CARD, step("span")), "in_span", key)
     # the card itself opens its group; its parts follow
-    card = F.when(is_at(CARD), F.col("seq")).otherwise(
-        F.when(is_below(CARD), F.element_at(ancestors_like(step("a", cls="nassem_reslut_pic")), 1))
-    )
-    owned = elements.withColumn("card", card).where(F.col("card").isNotNull()).repartition(key)
+    card = F.when(F.col("is_card"), F.col("seq")).when(F.col("in_card"), F.col("anchor"))
+    owned = parts.withColumn("card", card).where(F.col("card").isNotNull())
 
     def first(value: Column, test: Column) -> Column:
         return or_blank(F.min_by(F.when(test, value), F.when(test, F.col("seq"))))
 
-    in_span = inside(CARD, step("span"))
     cards = owned.groupBy(key, "card").agg(
-        first(attr("src"), is_at(inside(CARD, directly(step("div"), step("img"))))).alias("photo_url"),
+        first(attr("src"), F.col("is_photo")).alias("photo_url"),
         F.min_by(
             F.when(F.col("tag") == "span", F.struct("seq", "text")),
             F.when(F.col("tag") == "span", F.col("seq")),
         ).alias("span"),
-        first(F.col("text"), (F.col("tag") == "i") & is_below(in_span)).alias("party"),
+        first(F.col("text"), (F.col("tag") == "i") & F.col("in_span")).alias("party"),
     )
     text = or_blank(F.col("span.text"))
     name = F.trim(F.when(F.col("party") == "", text).otherwise(F.replace(text, F.col("party"), F.lit(""))))
@@ -210,27 +222,28 @@ def detail_profiles(elements: DataFrame, base: Column, name: Column | None = Non
     contact lists; contact lists and later items win. Absent parts are null.
     ``base`` is the address of the page, as a column over ``page_id``.
     """
-    # four branches read the elements; the pages are parsed once
-    elements = cut(elements.where(F.col("tag").isin("li", "strong", "span", "img")), "elements")
     profile, contact = step("div", cls="profile_area"), step("div", cls="contact_area")
     career, photo = step("div", cls="career_area"), step("div", cls="photo_area")
-    profile_list = inside(profile, step("ul", cls="profile_list"))
-
-    # strong elements are brought to their list item, where key and value meet
-    item = F.when(F.col("tag") == "li", F.array("seq")).otherwise(ancestors_like(step("li")))
-    area = (
-        F.when(is_below(profile_list), F.lit(1)).when(is_below(contact), F.lit(2))
-    )
-    section = F.coalesce(
-        F.try_element_at(ancestors_like(profile), F.lit(1)), F.try_element_at(ancestors_like(contact), F.lit(1))
-    )
-    parts = elements.where(F.col("tag").isin("li", "strong")).select(
-        key, "seq", "tag", "text", area.alias("area"), section.alias("section"), F.explode(item).alias("item")
-    )
+    marked = elements.where(F.col("tag").isin("div", "ul", "li", "strong", "span", "img", STRINGS))
+    marked = below(below(marked, inside(profile, step("ul", cls="profile_list")), "in_profile", key), contact, "in_contact", key)
+    marked = below(below(marked, inside(career, step("ul")), "in_career", key), photo, "in_photo", key)
+    marked = at(marked, inside(profile, step("span", cls="party")), "is_party", key)
+    marked = outermost(outermost(marked, profile, "profile", key), contact, "contact", key)
+    marked = outermost(marked, step("ul"), "list", key)
+    marked = marked.withColumn("area", F.when(F.col("in_profile"), 1).when(F.col("in_contact"), 2))
+    is_item = F.col("tag").isin("li", "strong") & (F.col("area").isNotNull() | F.col("in_career"))
+    wanted = is_item | F.col("is_party") | ((F.col("tag") == "img") & F.col("in_photo"))
+    # three branches read the parts; the pages are parsed once
+    elements = cut(with_text(marked, wanted, key), "elements")
+
+    # strong elements are brought to their list items, where key and value meet
+    parts = elements.where(F.col("tag").isin("li", "strong") & F.col("area").isNotNull())
+    items = parts.where(F.col("tag") == "li").withColumn("item", F.col("seq"))
+    names = each_around(parts, step("li"), "item", key).where(F.col("tag") == "strong")
+    parts = items.unionByName(names).withColumn("section", F.coalesce("profile", "contact"))
     first_section = F.min("section").over(Window.partitionBy(key, "area"))
     items = (
-        parts.where(F.col("area").isNotNull())
-        .withColumn("first_section", first_section)
+        parts.withColumn("first_section", first_section)
         .where(F.col("section") == F.col("first_section"))
         .groupBy(key, "area", "item")
         .agg(
@@ -251,23 +264,21 @@ def detail_profiles(elements: DataFrame, base: Column, name: Column | None = Non
         .select(key, F.lit("pair").alias("kind"), F.lit(0).alias("seq"), "name", "value")
     )
 
-    def marked(test: Column, kind: str, text: Column = F.col("text")) -> DataFrame:
+    def of_kind(test: Column, kind: str, text: Column = F.col("text")) -> DataFrame:
         return elements.where(test).select(
             key, F.lit(kind).alias("kind"), "seq", F.lit("").alias("name"), text.alias("value")
         )
 
-    career_list = F.try_element_at(ancestors_like(step("ul")), F.lit(1))
     careers = (
-        elements.where((F.col("tag") == "li") & is_below(inside(career, step("ul"))))
-        .withColumn("list", career_list)
+        elements.where((F.col("tag") == "li") & F.col("in_career"))
         .withColumn("first_list", F.min("list").over(Window.partitionBy(key)))
         .where(F.col("list") == F.col("first_list"))
         .select(key, F.lit("career").alias("kind"), "seq", F.lit("").alias("name"), F.col("text").alias("value"))
     )
     facts = (
         pairs.unionByName(careers)
-        .unionByName(marked(is_at(inside(profile, step("span", cls="party"))), "party"))
-        .unionByName(marked((F.col("tag") == "img") & is_below(photo), "photo", attr("src")))
+        .unionByName(of_kind(F.col("is_party"), "party"))
+        .unionByName(of_kind((F.col("tag") == "img") & F.col("in_photo"), "photo", attr("src")))
     )
 
     def first(kind: str) -> Column:
@@ -301,19 +312,17 @@ def direct_profiles(elements: DataFrame, base: Column, key: str = "page_id") ->
     career_div, career_section = step("div", cls="career"), step("section", cls="career")
 
     def preferred(wanted: str, other: str) -> Column:
-        mine = F.try_element_at(ancestors_like(wanted), F.lit(1))
-        return F.coalesce(
-            F.when(mine.isNotNull(), F.struct(F.lit(0).alias("rank"), mine.alias("at"))),
-            F.when(
-                F.size(ancestors_like(other)) > 0,
-                F.struct(F.lit(1).alias("rank"), F.element_at(ancestors_like(other), 1).alias("at")),
-            ),
+        return F.when(F.col(wanted).isNotNull(), F.struct(F.lit(0).alias("rank"), F.col(wanted).alias("at"))).when(
+            F.col(other).isNotNull(), F.struct(F.lit(1).alias("rank"), F.col(other).alias("at"))
         )
 
     page = Window.partitionBy(key)
+    placed = with_text(elements, F.col("tag").isin("h1", "span", "li", "dt", "dd"), key, others=True)
+    for name, place in (("_info", info_div), ("_member", info_section), ("_career", career_div), ("_section", career_section)):
+        placed = outermost(placed, place, name, key)
     seen = (
-        elements.withColumn("intro", preferred(info_div, info_section))
-        .withColumn("career", preferred(career_div, career_section))
+        placed.withColumn("intro", preferred("_info", "_member"))
+        .withColumn("career", preferred("_career", "_section"))
         .withColumn("first_intro", F.min("intro").over(page))
         .withColumn("first_career", F.min("career").over(page))
     )
@@ -340,7 +349,7 @@ def direct_profiles(elements: DataFrame, base: Column, key: str = "page_id") ->
     grouped = seen.groupBy(key).agg(
         first(roster.plain_name(text), F.col("tag") == "h1").alias("name"),
         first(text, (F.col("tag") == "span") & text.rlike(SPAN_PARTIES)).alias("span_party"),
-        F.max(is_at(step("div", cls="party"))).alias("party_box"),
+        F.max(own(step("div", cls="party"))).alias("party_box"),
         F.max(F.when(F.col("tag") == DOCUMENT, text)).alias("page_text"),
         *[routed(n) for n in ("region", "committee", "election_count", "phone", "email")],
         F.array_sort(F.collect_list(F.when(is_career, F.struct("seq", "text")))).alias("career"),

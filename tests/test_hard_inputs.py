@@ -93,7 +93,7 @@ def test_a_page_fetched_twice_is_one_article(spark):
 
 def test_a_page_that_cannot_be_parsed(spark):
     df = spark.createDataFrame([(1, "<p>fine</p>"), (2, "<p>x</p><![foo[ bar ]]>")], "page_id int, html string")
-    rows = pages.html_elements(df, {"p", pages.DOCUMENT}).collect()
+    rows = pages.with_text(pages.html_elements(df, {"p", pages.DOCUMENT})).collect()
     assert {r["page_id"] for r in rows} == {1, 2}
     assert [r["tag"] for r in rows if r["page_id"] == 1 and r["text"] == "fine" and r["tag"] == "p"] == ["p"]
 

@@ -24,8 +24,8 @@ def page_table(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-def _page_elements(spark, sf_dir, *tags: str) -> DataFrame:
-    return pg.html_elements(page_table(spark, sf_dir), set(tags))
+def _page_elements(spark, sf_dir, *tags: str, texts: bool = True) -> DataFrame:
+    return pg.html_elements(page_table(spark, sf_dir), set(tags), texts=texts)
 
 
 # --- given pages -----------------------------------------------------------------------
@@ -68,7 +68,7 @@ TAGS = ["a", "li", "p", "b", "br", "h1", "script", "table", "form", "img"]
 )
 def tag_inventory(spark, sf_dir):
     # every page keeps its root row, so pages without the tags count too
-    return pg.tag_counts(_page_elements(spark, sf_dir, pg.DOCUMENT, *TAGS), TAGS)
+    return pg.tag_counts(_page_elements(spark, sf_dir, pg.DOCUMENT, *TAGS, texts=False), TAGS)
 
 
 PLACES = {
@@ -89,7 +89,8 @@ PLACES = {
     UNION ALL SELECT page_id, '#list-result-sect', 0 FROM c"""
 )
 def place_inventory(spark, sf_dir):
-    return pg.place_counts(_page_elements(spark, sf_dir, pg.DOCUMENT, "li", "a", "div"), PLACES)
+    kept = _page_elements(spark, sf_dir, pg.DOCUMENT, "li", "a", "div", "ul", "nav", ".ad", "#list-result-sect", texts=False)
+    return pg.place_counts(kept, PLACES)
 
 
 @query(
@@ -100,7 +101,7 @@ def place_inventory(spark, sf_dir):
 def first_examples(spark, sf_dir):
     """The first three elements per page and place; the small number is the report itself."""
     found = pg.first_at(
-        _page_elements(spark, sf_dir, "a"), {"links": pg.directly(step("li"), step("a"))}, 3
+        _page_elements(spark, sf_dir, "a", "li", texts=False), {"links": pg.directly(step("li"), step("a"))}, 3
     )
     return found.select("page_id", "place", "rank", pg.attr("href").alias("href"))
 
@@ -144,11 +145,31 @@ def class_texts(spark, sf_dir):
     )
 
 
-@query()
+KEYWORDS = ["License", "Nicht", "Avec"]
+
+
+@query(
+    f"""WITH RECURSIVE pieces AS MATERIALIZED (
+      SELECT page_id, i, parts[i] AS piece, lower(regexp_extract(parts[i], '^/?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag
+      FROM (SELECT page_id, string_split(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<') AS parts FROM pages),
+        unnest(range(1, len(parts) + 1)) AS u(i)),
+    walk(page_id, i, open) AS (
+      SELECT page_id, 0::BIGINT, ['#document'] FROM pages
+      UNION ALL SELECT p.page_id, p.i, CASE
+          WHEN tag = '' OR p.i = 1 THEN open
+          WHEN starts_with(piece, '/') AND list_contains(open, tag) THEN open[:len(open) - list_position(list_reverse(open), tag)]
+          WHEN starts_with(piece, '/') OR tag IN ('br', 'meta', 'img', 'input', 'link', 'hr') THEN open
+          ELSE list_append(open, tag) END
+      FROM walk w JOIN pieces p ON p.page_id = w.page_id AND p.i = w.i + 1),
+    nodes AS (SELECT page_id, open[len(open)] AS parent_tag,
+        {DECODE.format("replace(replace(regexp_extract(piece, '(?s)^[^>]*>(.*)$', 1), '&copy;', '©'), '&middot;', '·')")} AS text FROM walk JOIN pieces USING (page_id, i))
+    SELECT page_id, keyword, parent_tag, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text
+    FROM nodes JOIN (VALUES {", ".join(f"('{w}')" for w in KEYWORDS)}) AS k(keyword) ON contains(text, keyword)"""
+)
 def keyword_texts(spark, sf_dir):
-    """Text nodes with a keyword and their parent; its test is a small page with known results."""
-    nodes = _page_elements(spark, sf_dir, pg.TEXT)
-    return pg.keyword_texts(nodes, ["License", "Nicht", "Avec"]).select("page_id", "keyword", "parent_tag", "text")
+    """Text nodes with a keyword and their parent."""
+    nodes = _page_elements(spark, sf_dir, pg.TEXT, texts=False)
+    return pg.keyword_texts(nodes, KEYWORDS).select("page_id", "keyword", "parent_tag", "text")
 
 
 WORDS = ["License", "Nicht", "Avec", "https"]
@@ -209,8 +230,11 @@ def list_pages(spark, sf_dir) -> DataFrame:
     def all_of(part: str) -> Column:
         return F.array_join(F.transform("parts", lambda p: p[part]), "")
 
-    # twenty customers per page
-    pages = people.groupBy((F.floor(key / 20) + 1).alias("page_id")).agg(
+    # twenty customers per page; a given number of partitions is not put together again, and
+    # parsing, the heavy part, follows in the same tasks
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = people.withColumn("page_id", F.floor(key / 20) + 1).repartition(tasks, "page_id")
+    pages = placed.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct(key, card.alias("card"), row.alias("row")))).alias("parts")
     )
     return pages.select(
@@ -293,7 +317,7 @@ def first_records(spark, sf_dir):
 )
 def table_heads(spark, sf_dir):
     """The first three rows of every table; the small number is the report itself."""
-    rows = pg.table_rows(_list_elements(spark, sf_dir, {"td", "th"}), 3)
+    rows = pg.table_rows(_list_elements(spark, sf_dir, {"td", "th", "tr", "table"}), 3)
     return rows.select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
@@ -452,7 +476,7 @@ def form_inventory(spark, sf_dir):
     UNION ALL SELECT s_suppkey, 1, '국가', n_name FROM s"""
 )
 def definition_lists(spark, sf_dir):
-    elements = pg.html_elements(detail_pages(spark, sf_dir), {"dt", "dd"})
+    elements = pg.html_elements(detail_pages(spark, sf_dir), {"dt", "dd", "dl"})
     return pg.definitions(elements).select("page_id", "place", "term", "text")
 
 
