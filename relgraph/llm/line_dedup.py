@@ -1,85 +1,245 @@
-"""Line dedup: fuzzy lines by MinHash over character shingles, one line of each component stays."""
+"""Line dedup: fuzzy lines by MinHash over character shingles, one line of each component stays.
+
+Made with built-in functions only, this operator did not meet its limits: the minima of all
+hash functions have to be shuffled with every line, so only few rows a band could be paid
+for, and with three rows lines that have little in common shared bands by the million. Signatures
+are made in numpy here, beside the line, and only bands move.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relgraph.llm import native
 from relgraph.llm.components import components
+from relgraph.llm.shingle_sets import _ODD, scramble
+from relgraph.session import cut
 
 CHARS = 5
 """Characters of the shingles, of the signature and of the exact test."""
 
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 14, 5
 SIMILARITY = 0.75
 SMALL = 32
-"""Lines of a bucket that are tested pair by pair; in larger buckets a pair must share a rare shingle first."""
+"""Lines of a bucket that are all tested pair by pair at once; in larger buckets lines meet the bucket's
+smallest first, then those of other components (exactly, see `other_pairs`)."""
 
 BROADCAST_ROWS = 1_000_000
-"""Up to so many line keys (24 MB) are sent to the executors; more are joined by a shuffle."""
+"""Up to so many line keys (40 MB) are sent to the executors; more are joined by a shuffle."""
 
 _FIRST = -(1 << 63)
+_POSTINGS = 1 << 21
+_PIECE = 1 << 20
+_SEED = np.random.default_rng(11)
+_FACTOR = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_SHIFT = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.lit(3), "text")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc, line_no, line and its key (k1, k2) of every line with a word.
+    """doc, t, line_no, line and its key (k1, k2) of every line with a word.
 
-    Null ids count as the smallest. The key is 128 bits of hash; equal keys mean equal lines.
+    A document is its id (null counts as the smallest) and the hash t of its text, so rows that
+    share an id, or have none, are told apart. The key is 128 bits of hash; equal keys mean equal lines.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    split = docs.select(doc.alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    split = docs.select(
+        doc.alias("doc"), _text_key().alias("t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")
+    )
     return split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
-        "doc", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")
+        "doc", "t", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")
     )
 
 
-def char_shingles(line: Column) -> Column:
-    """Runs of CHARS characters; a shorter line is its only one."""
-    return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(
-        F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
-    )
+# --- signatures --------------------------------------------------------------------------------
 
 
-def bands(found: DataFrame) -> DataFrame:
-    """k1 and band of every distinct line, BANDS rows each.
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of CHARS characters of the lines, and where each line's begin.
 
-    The signature is over all of a line's shingles. Each is hashed once, to 64 bits; the hash
-    functions hash these again, mixed with a number each, so they are independent. Their
-    minima are aggregated with partial results per task, by the line's key, so copies of a
-    line meet as one row per task and the text isn't moved.
+    A shorter line is its only shingle. The mixing is a bijection of three and of two
+    characters each, so no pattern in a text makes unlike shingles equal.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    filled = "".join(t if len(t) >= CHARS else t + "\0" * (CHARS - len(t)) for t in texts)
+    codes = np.frombuffer(filled.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    at = np.concatenate([[0], np.cumsum(np.maximum(sizes, CHARS))])
+    n = max(len(codes) - CHARS + 1, 0)
+    three = (codes[:n] << np.uint64(42)) | (codes[1 : n + 1] << np.uint64(21)) | codes[2 : n + 2]
+    two = (codes[3 : n + 3] << np.uint64(21)) | codes[4 : n + 4]
+    hashes = scramble(scramble(three) + two * _ODD)
+    inside = np.ones(n + CHARS - 1, bool)
+    for k in range(1, CHARS):
+        inside[at[1:] - k] = False
+    counts = np.maximum(sizes, CHARS) - CHARS + 1
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    found = hashes[inside[:n]]
+    short = np.flatnonzero(sizes < CHARS)
+    found[starts[short]] = scramble(found[starts[short]] + sizes[short].astype(np.uint64) + np.uint64(1))
+    return found, starts
+
+
+def band_values(texts: list[str]) -> np.ndarray:
+    """BANDS values for each line: the minima of ROWS hash functions each, over all of its shingles, mixed to 64 bits."""
+    bands = np.zeros((len(texts), BANDS), np.uint64)
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= _PIECE):
+            size += len(texts[last])
+            last += 1
+        hashes, starts = shingle_hashes(texts[first:last])
+        high = (hashes >> np.uint64(32)).astype(np.uint32)
+        for b in range(BANDS):
+            mixed = np.full(last - first, b + 1, np.uint64)
+            for r in range(b * ROWS, (b + 1) * ROWS):
+                least = np.minimum.reduceat(high * _FACTOR[r] + _SHIFT[r], starts[:-1])
+                mixed = scramble(mixed * _ODD + least)
+            bands[first:last, b] = mixed
+        first = last
+    return bands
+
+
+def _packed(keys: np.ndarray, bands: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """For each group of bands its postings: 6 bytes of the band and 8 of the line's key each."""
+    flat, key = bands.ravel(), np.repeat(keys, bands.shape[1])
+    group = ((flat >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=groups))
+    for g, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        if z > a:
+            here = order[a:z]
+            low = np.ascontiguousarray(flat[here].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+            yield g, low.tobytes() + key[here].astype("<i8").tobytes()
+
+
+def _postings(groups: int, banding: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, str] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys = np.fromiter(held, np.int64, len(held))
+            rows = list(_packed(keys, banding(list(held.values())), groups))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["g", "blob"])
+
+        for batch in batches:
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key not in held:
+                    held[key] = line
+                    size += len(line)
+                if size > 4 * _PIECE:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _met(small: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs (a, b) of a group's buckets; of larger buckets pairs with the smallest key, and members (a, band)."""
+        blobs = [b.as_py() for b in table.column("blob")]
+        low = np.concatenate([np.frombuffer(b, np.uint8, len(b) // 14 * 6).reshape(-1, 6) for b in blobs])
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :6] = low
+        band = wide.view("<u8").ravel()
+        key = np.concatenate([np.frombuffer(b, "<i8", len(b) // 14, len(b) // 14 * 6) for b in blobs])
+        order = np.lexsort((key, band))
+        band, key = band[order], key[order]
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
+        band, key = band[new], key[new]
+        starts = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        sizes = np.diff(np.append(starts, len(band)))
+        one, two, of = [], [], []
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= small)]).tolist():
+            rows = key[starts[sizes == n][:, None] + np.arange(n)]
+            x, y = np.triu_indices(n, 1)
+            one.append(rows[:, x].ravel())
+            two.append(rows[:, y].ravel())
+        large = np.repeat(sizes > small, sizes)
+        least = np.repeat(key[starts], sizes)
+        star = large & (least != key)
+        one.append(least[star])
+        two.append(key[star])
+        of.append(key[large])
+        pairs = (np.concatenate(one), np.concatenate(two))
+        members = np.concatenate(of)
+        group = np.uint64(table.column("g")[0].as_py())
+        bucket = scramble(band[large] ^ scramble(np.full(len(members), group + np.uint64(1), np.uint64)))
+        return pa.table({
+            "a": pa.array(np.concatenate([pairs[0], members]), pa.int64()),
+            "b": pa.concat_arrays([pa.array(pairs[1], pa.int64()), pa.nulls(len(members), pa.int64())]),
+            "band": pa.concat_arrays([pa.nulls(len(pairs[0]), pa.int64()), pa.array(bucket.view(np.int64), pa.int64())]),
+        })
+
+    return run
+
+
+def buckets(found: DataFrame, groups: int, banding: Callable = band_values, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of keys to test first, and key, k1 of the lines of larger buckets.
+
+    Lines stay where they are; each task sends what it has for a group of bands as one row, 14
+    bytes for each line and band. A group has some two million postings.
     """
-    shingles = found.select("k1", "k2", F.explode(char_shingles(F.col("line"))).alias("s"))
-    hashed = shingles.select("k1", "k2", F.xxhash64("s").alias("h"))
-    minima = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit((i + 1) * 0x1E3779B97F4A7C15 % (1 << 63))))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = hashed.groupBy("k1", "k2").agg(*minima)
-    band = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("k1", F.explode(F.array(*band)).alias("band"))
+    rows = found.select("k1", "line").mapInArrow(_postings(groups, banding), "g int, blob binary")
+    met = cut(rows.groupBy("g").applyInArrow(_met(small), "a long, b long, band long"), "buckets")
+    pairs = met.where("band is null").select("a", "b").distinct()
+    return pairs, met.where("band is not null").select(F.col("band").alias("key"), F.col("a").alias("k1"))
 
 
-def shared_buckets(found: DataFrame) -> DataFrame:
-    """band, k1, lo and hi of the lines in buckets of several: the bucket's smallest and largest key."""
-    placed = bands(found)
-    ends = placed.groupBy("band").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi")
-    return placed.join(ends, "band").select("band", "k1", "lo", "hi")
+# --- pairs -------------------------------------------------------------------------------------
 
 
-def hub_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a line and its bucket's smallest or largest key, and whether it is the smallest of some bucket."""
-    hubs = F.array(F.struct(F.col("lo").alias("b"), F.lit(True).alias("first")), F.struct(F.col("hi").alias("b"), F.lit(False).alias("first")))
-    met = shared.select(F.col("k1").alias("a"), F.inline(hubs)).where("a != b")
-    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("first").alias("first"))
+def _alike(similarity: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = (np.unique(shingle_hashes([t])[0]) for t in (left, right))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common >= similarity * (len(x) + len(y) - common):
+                        kept.append(i)
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (ids a, b) whose exact similarity is high enough; texts: id, line."""
+    sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b"
+    )
+    return sides.select("a", "b", "left", "right").mapInArrow(_alike(similarity), "a long, b long")
+
+
+def char_shingles(line: Column) -> Column:
+    """Runs of CHARS characters; a shorter line is its only one."""
+    return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(
+        F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
+    )
 
 
 def mixed_keys(rows: DataFrame) -> DataFrame:
-    """key, n (its lines) and most (the component of most of them) of the keys with lines of several components.
+    """key and most (the component of most of its lines) of the keys with lines of several components.
 
-    rows: key, k1, component.
+    rows: key, id, component.
     """
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(
-        F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")
-    )
-    return largest.where("parts > 1").select("key", "n", "most")
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
+    return largest.where("parts > 1").select("key", "most")
 
 
 def cross_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -88,122 +248,106 @@ def cross_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
     One line of such a pair is not of the key's largest component, so only those lines meet
     the key's others: lines of one large group are not paired with each other.
     """
-    rest = rows.join(mixed, "key").where("component != most").select("key", F.col("k1").alias("x"), F.col("component").alias("of_x"))
+    rest = rows.join(mixed, "key").where("component != most").select("key", F.col("id").alias("x"), F.col("component").alias("of_x"))
     pairs = rest.join(rows, "key").where("component != of_x")
-    return pairs.select(F.least("x", "k1").alias("a"), F.greatest("x", "k1").alias("b")).distinct()
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
-def other_pairs(shared: DataFrame, grouped: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that may be alike and that no hub has met: lines of a bucket that are in different components.
+def other_pairs(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a larger bucket that may be alike and that are in different components.
 
-    In buckets of up to SMALL lines these are all such pairs. In larger ones both lines must
-    also share one of their rarest shingles: of n shingles, all but ceil(similarity * n) - 1, in an
-    order that is the same for all lines. Lines that are alike enough always do, so none is lost.
+    Both lines must also share one of their rarest shingles: of n shingles, all but
+    ceil(similarity * n) - 1, in an order that is the same for all lines. Lines that are alike
+    enough always do, so none is lost. rows: key, id, component.
     """
-    met = shared.where("k1 != lo and k1 != hi").select(F.col("band").alias("key"), "k1")
-    rows = native.staged(
-        met.join(grouped.withColumnRenamed("node", "k1"), "k1", "left").select("key", "k1", F.coalesce("component", "k1").alias("component"))
-    )
-    mixed = native.staged(mixed_keys(rows))
-    few = cross_pairs(rows, mixed.where(F.col("n") <= SMALL))
-    many = native.staged(rows.join(mixed.where(F.col("n") > SMALL).select("key"), "key"))
-    sets = many.select("k1").distinct().join(texts, "k1")
-    each = native.staged(sets.select("k1", F.explode(F.array_distinct(F.transform(char_shingles(F.col("line")), lambda s: F.xxhash64(s)))).alias("s")))
+    open_rows = cut(rows.join(mixed_keys(rows).select("key"), "key"), "open")
+    sets = open_rows.select("id").distinct().join(texts, "id")
+    each = cut(sets.select("id", F.explode(F.array_distinct(F.transform(char_shingles(F.col("line")), lambda s: F.xxhash64(s)))).alias("s")), "sets")
     rarity = each.groupBy("s").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, "s").groupBy("k1").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    ordered = each.join(rarity, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
     needed = F.ceil(F.lit(similarity) * F.size("all") - 1e-9).cast("int")
-    prefix = ordered.select("k1", F.explode(F.slice("all", F.lit(1), F.size("all") - needed + 1)).alias("x"))
-    refined = native.staged(many.join(prefix, "k1").select(F.xxhash64("key", "x.s").alias("key"), "k1", "component"))
-    return few.unionByName(cross_pairs(refined, mixed_keys(refined))).distinct()
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Exact Jaccard similarity of the sets of two arrays' values, each array made once."""
-    both = F.struct(a.alias("a"), b.alias("b"))
-    return native.let(both, lambda x: F.size(F.array_intersect(x["a"], x["b"])) / F.size(F.array_union(x["a"], x["b"])))
+    prefix = ordered.select("id", F.explode(F.slice("all", F.lit(1), F.size("all") - needed + 1)).alias("x"))
+    refined = cut(open_rows.join(prefix, "id").select(F.xxhash64("key", "x.s").alias("key"), "id", "component").distinct(), "refined")
+    return cross_pairs(refined, mixed_keys(refined))
 
 
 def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _texts(found: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """k1 and line of the lines in some pair, each read from the first document that has it."""
-    wanted = native.staged(pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct().join(first, "k1"))
-    keys = wanted.select("k1", F.col("d").alias("doc"))
-    texts = found.select("k1", "doc", "line").join(_checked(keys, wanted.count()), ["k1", "doc"], "left_semi")
-    return native.staged(texts.dropDuplicates(["k1"]).select("k1", "line"))
-
-
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose exact similarity is high enough."""
-    sides = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("left")), "a").join(
-        texts.select(F.col("k1").alias("b"), F.col("line").alias("right")), "b"
-    )
-    alike = jaccard(char_shingles(F.col("left")), char_shingles(F.col("right")))
-    return sides.select("a", "b", alike.alias("j")).where(F.col("j") >= similarity).select("a", "b")
-
-
-def groups_of_similar(found: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """node and component of the lines that are like another; first: k1 and d, its first document.
+def groups_of_similar(found: DataFrame, first: DataFrame, similarity: float, banding: Callable = band_values, small: int = SMALL) -> DataFrame:
+    """node (a line's id) and component of the lines that are like another.
 
-    The pairs with the buckets' smallest keys are tested first, then those with the largest.
-    Of all others in a bucket, only those that are not yet in one component can add anything;
-    they are tested last, so no pair that shares a bucket is left out.
+    first: id, k1, k2, doc and t (the line's first document) of every distinct line. Every
+    pair that shares a bucket is tested, or its lines are in one component already.
     """
-    shared = native.staged(shared_buckets(found))
-    pairs = native.staged(hub_pairs(shared))
-    texts = _texts(found, pairs, first)
-    early = native.staged(components(similar(pairs.where("first"), texts, similarity)))
-    a, b = (early.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b"))
-    rest = pairs.where("not first").join(a, "a", "left").join(b, "b", "left")
-    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    late = similar(rest, texts, similarity)
-    grouped = native.staged(components(_edges(early).unionByName(late)))
-    return components(_edges(grouped).unionByName(similar(other_pairs(shared, grouped, texts, similarity), texts, similarity)))
-
-
-def _edges(grouped: DataFrame) -> DataFrame:
-    return grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
-
-
-def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc and line_no of every line that is a copy, exact or fuzzy, of a line that stays.
-
-    Of each component the line of the smallest doc_id stays, and there the first.
+    spark = found.sparkSession
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-first.count() * BANDS // _POSTINGS))
+    pairs, members = buckets(found, groups, banding, small)
+    # the text of each line in some pair, from the first document that has it
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    wanted = cut(first.join(keys, "k1", "left_semi"), "wanted")
+    n = wanted.count()
+    texts = found.select("doc", "t", "k1", "k2", "line").join(_checked(wanted, n), ["doc", "t", "k1", "k2"]).select("id", "k1", "line")
+    texts = cut(texts.dropDuplicates(["id"]), "texts")
+    # unlike lines may share the first half of the key: then each of them is tested
+    ids = _checked(wanted.select("k1", "id"), n)
+    as_ids = pairs.join(ids.withColumnsRenamed({"k1": "a", "id": "x"}), "a").join(ids.withColumnsRenamed({"k1": "b", "id": "y"}), "b")
+    slim = texts.select("id", "line")
+    grouped = cut(components(similar(as_ids.select(F.col("x").alias("a"), F.col("y").alias("b")), slim, similarity)), "grouped")
+    rows = members.join(ids, "k1").select("key", "id").join(grouped.withColumnRenamed("node", "id"), "id", "left")
+    rows = cut(rows.select("key", "id", F.coalesce("component", "id").alias("component")), "members")
+    if mixed_keys(rows).isEmpty():
+        return grouped
+    late = similar(other_pairs(rows, slim, similarity), slim, similarity)
+    return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
+
+
+def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, banding: Callable = band_values, small: int = SMALL) -> DataFrame:
+    """doc, t and line_no of every line that is a copy, exact or fuzzy, of a line that stays.
+
+    Of each component the line of the smallest document (by id, then by t) stays, and there the first.
     """
     found = lines(docs)
-    first = native.staged(found.groupBy("k1", "k2").agg(F.min("doc").alias("d"), F.count("*").alias("n")))
-    grouped = native.staged(groups_of_similar(found, first.select("k1", "d"), similarity))
-    known = first.join(grouped.withColumnRenamed("node", "k1"), "k1", "left")
-    shared = known.where("component is not null or n > 1").withColumn("component", F.coalesce("component", "k1"))
-    least = shared.groupBy("component").agg(F.min("d").alias("home"))
-    groups = shared.join(least, "component").select("k1", "k2", "component", "home")
-    at = found.select("doc", "line_no", "k1", "k2").join(groups, ["k1", "k2"])
+    first = found.groupBy("k1", "k2").agg(F.min(F.struct("doc", "t")).alias("at"), F.count("*").alias("n"))
+    first = cut(first.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "at.doc", "at.t", "n"), "lines")
+    grouped = cut(groups_of_similar(found, first.drop("n"), similarity, banding, small), "groups")
+    known = first.join(grouped.withColumnRenamed("node", "id"), "id", "left")
+    shared = known.where("component is not null or n > 1").withColumn("component", F.coalesce("component", "id"))
+    least = shared.groupBy("component").agg(F.min(F.struct("doc", "t")).alias("home"))
+    groups = cut(shared.join(least, "component").select("k1", "k2", "component", "home"), "homes")
+    at = found.select("doc", "t", "line_no", "k1", "k2").join(_checked(groups, groups.count()), ["k1", "k2"])
+    at_home = (F.col("doc") == F.col("home.doc")) & (F.col("t") == F.col("home.t"))
     # the home document's lines of a component: all but the first go
-    local = at.where(F.col("doc") == F.col("home")).groupBy("doc", "component").agg(F.sort_array(F.collect_set("line_no")).alias("at"))
-    again = local.where(F.size("at") > 1).select("doc", F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("line_no"))
-    away = at.where(F.col("doc") != F.col("home")).select("doc", "line_no")
-    return away.unionByName(again)
+    local = at.where(at_home).groupBy("doc", "t", "component").agg(F.sort_array(F.collect_set("line_no")).alias("at"))
+    again = local.where(F.size("at") > 1).select("doc", "t", F.explode(F.slice("at", F.lit(2), F.size("at"))).alias("line_no"))
+    return at.where(~at_home).select("doc", "t", "line_no").unionByName(again)
+
+
+def _of_documents(docs: DataFrame, similarity: float) -> DataFrame:
+    gone = removed_lines(docs, similarity)
+    return gone.groupBy("doc", "t").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed (ascending line numbers from 0) of every document.
+    """doc_id, n_lines, n_removed and removed (ascending line numbers from 0) of every row of ``docs``.
 
     docs: doc_id, text; other columns are not read. Lines are what \\n separates; lines without
-    a word are neither counted nor removed. Null and empty texts have no lines. Rows of one
-    doc_id count as one document; equal lines are one line, so ties need no rule. An empty
-    table gives no rows.
+    a word are neither counted nor removed. Null and empty texts have no lines. A document is a
+    row's id and text: rows that share an id but not the text, and rows without an id, are
+    documents of their own, while rows that are equal in both are one document and get the
+    same result. Equal lines are one line, so ties need no rule. An empty table gives no rows.
+    A line is held whole, at some 60 bytes for each of its characters while it is hashed.
     """
-    gone = removed_lines(docs, similarity).groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     word = r"[^\x20\x09-\x0D]"
     counted = docs.select(
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"),
+        _text_key().alias("t"),
         F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(word))).cast("long").alias("n_lines"),
     )
     none = F.array().cast("array<int>")
-    return counted.join(gone, "doc", "left").select(
+    return counted.join(_of_documents(docs, similarity), ["doc", "t"], "left").select(
         "doc_id",
         "n_lines",
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
@@ -212,12 +356,18 @@ def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the repeated lines taken out of their texts; null stays null."""
-    gone = removed_lines(docs, similarity).groupBy("doc").agg(F.collect_set("line_no").alias("removed"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
-    home = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    changed = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest)
-    return docs.join(gone, home == F.col("_doc"), "left").select(
-        *[changed.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    """The rows of ``docs`` with the repeated lines taken out of their texts; null stays null.
+
+    Documents, lines, nulls, ties and empty tables are as in `line_dedup`; every row and all
+    its columns stay, whatever their names.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
+    keyed = docs.select(row, doc.alias("doc"), _text_key().alias("t"))
+    gone = cut(_of_documents(docs, similarity), "removed")
+    few = gone.agg(F.sum(F.size("removed") + 4)).first()[0] or 0
+    rest = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    changed = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(rest)
+    return keyed.join(_checked(gone, few), ["doc", "t"], "left").select(
+        *[changed.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     )
