@@ -19,9 +19,6 @@ UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 600
 """Training documents per language: the bound of the labelled sample."""
 
-MOST_LANGUAGES = 256
-"""Languages that are learned at most, the most frequent ones: the other bound of the sample."""
-
 _WINDOWS_PER_DOCUMENT = 3
 _EPOCHS = 12
 
@@ -156,13 +153,14 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
-    """A network from labelled texts (lang, text, key); None if there are none.
+    """A network from labelled texts (lang, text, key), of every language there is; None if there are none.
 
-    Of each of at most MOST_LANGUAGES languages about ``per_language`` documents are used, by
-    the hash of their key; only their windows reach the driver, at most 3 * 256 bytes a document.
+    Of each language about ``per_language`` documents are used, by the hash of their key; only
+    their windows reach the driver, at most 3 * 256 bytes a document. The counts of the languages
+    are broadcast, which is less than the network itself, with a row of weights for each.
     """
     usable = labelled.where("lang is not null and text is not null and text != ''")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 11) / F.lit(float(1 << 53))
     chosen = usable.join(F.broadcast(counts), "lang").where(share * F.col("n") < per_language)
     windows = chosen.select("lang", "text", F.xxhash64("key").alias("seed")).mapInArrow(
@@ -207,20 +205,24 @@ def _verdicts(applied: Applied | None, texts: pa.Array, lettered: pa.Array) -> t
 def accepted(docs: DataFrame, least: float = 0.35, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of at least ``least``.
 
-    All columns are kept as they are, whatever their names; nothing is shuffled.
+    Null, empty and letterless texts go; every other row is judged by itself, so repeated rows
+    stay or go together and ties need no rule. All columns are kept as they are, whatever their
+    names; texts aren't shuffled; an empty table, or one with nothing to learn from, gives none.
     """
     net = learn(docs.where(~held_out()).select("lang", "text", F.col("doc_id").alias("key")), per_language)
-    width = len(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     at = docs.columns.index("text")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         applied = Applied(net) if net else None
         for batch in batches:
-            names, scores = _verdicts(applied, batch.column(at), batch.column(width))
+            names, scores = _verdicts(applied, batch.column(0).field(at), batch.column(1))
             good = (names != UNDETERMINED) & (scores >= least)
-            yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_()))], names=["row"])
 
-    return docs.select("*", _lettered().alias("_lettered")).mapInArrow(chosen, docs.schema)
+    rows = docs.select(row.alias("row"), _lettered().alias("lettered"))
+    kept = rows.mapInArrow(chosen, rows.select("row").schema)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def predicted(docs: DataFrame, net: Network | None) -> DataFrame:

@@ -182,24 +182,32 @@ def mix(
 
 
 def mixed(docs: DataFrame, share: float = 1.0, most: int = MOST, seed: int = 20260) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; all columns are kept.
+    """The rows of ``docs``, each as often as the mix takes it; all columns are kept, whatever their names.
 
-    Copies are worked out on slim rows and meet the texts once, by id and a hash of the text.
-    Rows that are equal in both share their copies.
+    Copies are worked out on slim rows and meet the texts once, by id, source and a hash of the
+    text. Rows that are equal in all three share what the mix takes of them evenly, the first
+    of them (by their other columns) one more where it doesn't divide, so each keeps its own
+    columns. Null ids, texts and sources are values of their own; an empty table gives no rows.
     """
-    doc, text_hash = F.col("doc_id"), F.xxhash64("text")
-    slim = docs.select("doc_id", "source", "text", text_hash.alias("text_hash"))
+    slim = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
     copies = mix(slim, share, most, seed, keep=["text_hash"])
     by_key = native.staged(
-        copies.groupBy(F.col("doc_id").alias("_doc"), F.col("carried.text_hash").alias("_hash")).agg(
-            F.sum("copies").alias("_copies"), F.count("*").alias("_rows")
+        copies.groupBy(F.col("doc_id").alias("id"), F.col("source").alias("from"), F.col("carried.text_hash").alias("hash")).agg(
+            F.sum("copies").alias("copies"), F.count("*").alias("rows")
         )
     )
-    keyed = docs.withColumn("_text_hash", text_hash)
-    if not by_key.where("_rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "_text_hash"])
-    met = keyed.join(
-        by_key.where("_copies > 0"), doc.eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64("text").alias("text_hash"))
+    same = (
+        F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("from")) & (F.col("text_hash") == F.col("hash"))
     )
-    repeated = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = keyed.join(by_key.where("copies > 0"), same)
+    single = met.where("rows = 1").select("row", "copies")
+    if not by_key.where("rows > 1 and copies > 0").isEmpty():
+        order = Window.partitionBy("id", "from", "hash").orderBy(*[F.hash(F.col("row").getField(c)) for c in docs.columns])
+        place = met.where("rows > 1").withColumn("place", F.row_number().over(order))
+        even = F.floor(F.col("copies") / F.col("rows"))
+        one_more = F.when(F.col("place") <= F.col("copies") - even * F.col("rows"), 1).otherwise(0)
+        single = single.unionByName(place.select("row", (even + one_more).alias("copies")).where("copies > 0"))
+    repeated = single.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -310,7 +310,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are not read. Documents link at a Jaccard similarity of
     0.75 or more between their sets of five-word shingles. Null, empty and wordless texts have
     the empty set and link with nothing; fewer than five words are one shingle. Repeated rows
-    get a row each. Rows with a null doc_id take no part and get a null component. An empty
+    get a row each; rows of one id with unlike texts are one document, whose set is that of one
+    of the texts. Rows with a null doc_id take no part and get a null component. An empty
     table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
@@ -326,15 +327,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that link, over others or not, with a smaller doc_id.
+    """The rows of ``docs`` without those that link, over others or not, with a smaller document.
 
-    All columns are kept; of several rows with one doc_id one stays, and rows without an id stay.
+    A document is a row's id and text (a 64-bit hash of both): rows that share an id but not
+    the text, and rows without an id, are documents of their own and stay unless their own text
+    links. Of a group the row of the smallest id stays (null is the smallest; then the
+    smallest hash); of rows that are equal in id and text one stays. Texts without a word
+    link with nothing. All columns are kept, whatever their names; an empty table gives none.
     """
-    found = native.staged(jaccard_components(docs))
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(_checked(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
-    named = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if named[0] != named[1]:
-        unnamed = rest.where("doc_id is null")
-        rest = rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unnamed)
-    return rest
+    key = F.xxhash64("doc_id", "text")
+    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = jaccard_components(docs.select(key.alias("doc_id"), "text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key"))
+    slim = native.staged(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct().join(ids, "key"))
+    least = slim.groupBy("component").agg(F.min(F.struct("id", "key")).alias("least"))
+    marked = slim.join(least, "component").groupBy("key").agg(
+        F.max(F.col("key") != F.col("least.key")).alias("gone"), F.count("*").alias("copies")
+    )
+    marked = native.staged(marked.where("gone or copies > 1"))
+    known = _checked(marked, marked.count())
+    met = keyed.join(known, "key", "left").where("gone is null or not gone")
+    single, several = met.where("copies is null"), met.where("copies is not null")
+    if not marked.where("not gone").isEmpty():
+        single = single.unionByName(several.dropDuplicates(["key"]))
+    return single.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

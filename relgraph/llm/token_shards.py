@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,9 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 
+#: Fixed by the pattern: what its white space is, as a character class.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 STRIDE = 1024
 """Tokens of a sequence; every sequence has as many."""
 
@@ -42,6 +46,70 @@ def tokenizer(ranks: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
 
 
+class _Words(dict):
+    """Ids of words, as two bytes each, behind a fixed beginning; the first KNOWN short ones are remembered."""
+
+    KNOWN, LONGEST = 400_000, 48
+
+    def __init__(self, encode, before: str):
+        super().__init__()
+        self.encode, self.before = encode, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("H", self.encode(self.before + word)).tobytes()
+        if len(self) < self.KNOWN and len(word) <= self.LONGEST:
+            self[word] = ids
+        return ids
+
+
+class TextIds:
+    """Ids of whole texts, two bytes each.
+
+    No word of the pattern runs from other characters into white space. So where single blanks
+    and line breaks are the only white space, a text is its words, those behind a blank
+    together with it, and most have been seen before. A long run of white space is a word of
+    its own but for its last character; the pattern, which can't take runs of a million
+    characters, is not shown it.
+    """
+
+    LONG_RUN = re.compile(f"[{SPACES}]{{1024,}}")
+    UNEVEN = ["  ", "\n\n", " \n", "\n "] + [c for c in map(chr, range(0x3001)) if c not in " \n" and re.match(f"[{SPACES}]", c)]
+
+    def __init__(self, ranks: str):
+        self.encoding = tokenizer(ranks)
+        encode = self.encoding._core_bpe.encode_ordinary
+        self.first, self.behind_blank = _Words(encode, ""), _Words(encode, " ")
+        self.line_break = array("H", encode("\n")).tobytes()
+
+    def _parts(self, text: str) -> bytes:
+        found, at = [], 0
+        for run in self.LONG_RUN.finditer(text):
+            found.append(self.encoding.encode_ordinary(text[at : run.start()]))
+            # the last character belongs to what follows, unless nothing does
+            at = run.end() - (run.end() < len(text))
+            found.append(self.encoding._encode_single_piece(text[run.start() : at]))
+        found.append(self.encoding.encode_ordinary(text[at:]))
+        return b"".join([array("H", ids).tobytes() for ids in found])
+
+    def __call__(self, text: str) -> bytes:
+        if not text or text[-1] in " \n" or text[0] in " \n" or any(c in text for c in self.UNEVEN):
+            return self._parts(text)
+        try:
+            lines = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                lines.append(self.first[words[0]] + b"".join(map(self.behind_blank.__getitem__, words[1:])))
+            return self.line_break.join(lines)
+        except UnicodeEncodeError:  # lone surrogates, which the tokenizer replaces
+            return self._parts(text)
+
+
+@lru_cache(2)
+def text_ids(ranks: str) -> TextIds:
+    """One for each Python worker, so later tasks know the words of earlier ones."""
+    return TextIds(ranks)
+
+
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     """Places of the indexes in a keyed permutation of 0 .. n - 1.
 
@@ -90,11 +158,11 @@ def counted(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks).encode_ordinary
+        ids_of = text_ids(ranks)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                n = [len(encode(t)) + 1 for t in batch.column(2).to_pylist()]
+                n = [len(ids_of(t)) // 2 + 1 for t in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64())], names=["doc", "tie", "n"])
 
     buckets = -(-docs.count() // DOCS_PER_BUCKET) or 1
@@ -109,13 +177,13 @@ def _pieces(n: int, key: int, stride: int, ranks: str):
     """Tokenise documents, cut them where sequences end, and give each piece its sequence's slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks).encode_ordinary
+        ids_of, end = text_ids(ranks), array("H", [END]).tobytes()
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
                 sequence, start, data = [], [], []
                 for offset, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    ids = array("H", [*encode(text), END]).tobytes()
+                    ids = ids_of(text) + end
                     at = 0
                     while at < len(ids):
                         first = offset + at // 2

@@ -11,7 +11,7 @@ import pytest
 from llm.fixtures import EDGES, components_of, docs_of, edge_docs, jaccard_links, prose, shingle_set
 from pyspark.sql import functions as F
 
-from relgraph.llm import lang_id, line_dedup, native, ngram_join, piece_codec, quality_rank, registry, token_shards
+from relgraph.llm import lang_id, line_dedup, mixing, native, ngram_join, piece_codec, quality_rank, registry, token_shards
 
 SF = "/root/testdata/sf0.01"
 
@@ -185,6 +185,62 @@ def test_quality_of_edges(spark):
     assert quality_rank.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_token_ids_of_any_white_space():
+    ids, whole = token_shards.text_ids(token_shards.RANKS), token_shards.tokenizer(token_shards.RANKS)
+    rng = random.Random(1)
+    parts = ["a", "the", "'s", "'S", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x85", "\xa0", "\u2003", "\x1c", "\u200b", "1", "23", "#", "é", "漢", "😀"]
+    parts += [" " * 1500, "\n" * 1100 + "\t", "\u3000" * 1030]
+    for i in range(3000):
+        text = "".join(rng.choice(parts if i % 9 == 0 else parts[:-3]) for _ in range(rng.randint(0, 25)))
+        assert ids(text) == np.array(whole.encode_ordinary(text), "<u2").tobytes(), repr(text)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\u2003"])
+def test_token_ids_of_millions_of_spaces(spark, space):
+    ids = token_shards.text_ids(token_shards.RANKS)
+    run = np.frombuffer(ids(space * 2_000_000), "<u2")
+    behind = np.frombuffer(ids("x" + space * 2_000_000 + "y"), "<u2")
+    last = np.frombuffer(ids(space + "y"), "<u2")
+    # all but the last character are one word of the pattern
+    assert (behind[1 : -len(last)] == np.frombuffer(ids(space * 1_999_999), "<u2")).all() and (behind[-len(last) :] == last).all()
+    assert bytes(b for i in run[:2000] for b in token_shards.tokenizer(token_shards.RANKS).decode_single_token_bytes(int(i))).decode()[:600] == space * 600
+    rows = token_shards.token_shards(docs_of(spark, [space * 2_000_000 + "a", "b"])).collect()
+    assert sum(r.n_sequences for r in rows) > 1
+
+
+def test_documents_that_share_an_id_or_have_none_stay(spark):
+    a, b, c = (prose(random.Random(i), 60) for i in (1, 2, 3))
+    docs = docs_of(spark, [a, b, a, c, c, a], ids=[5, 5, 7, None, None, 5], sources=["x", "y", "x", "z", "z", "x"])
+    rows = [(r.doc_id, r.text, r.source) for r in ngram_join.one_of_each_group(docs).collect()]
+    assert sorted(rows, key=str) == sorted([(5, a, "x"), (5, b, "y"), (None, c, "z")], key=str)
+    lost = {r.doc_id for r in ngram_join.one_of_each_group(docs_of(spark, [a, b, b + " x"], ids=[9, 9, 3])).collect()}
+    assert lost == {9, 3}
+
+
+OWN_NAMES = ["_copy", "_gone", "_doc", "_removed", "_hash", "_rows", "_copies", "_text_hash", "_lettered", "key", "gone", "copies", "id", "rows",
+             "hash", "from", "place", "t", "removed", "line", "line_no", "a.b"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = docs_of(spark, ["the same words stand here twice over, all of them", "the same words stand here twice over, all of them", "other words"])
+    for i, name in enumerate(OWN_NAMES):
+        docs = docs.withColumn(name, F.lit(70 + i))
+    for stage in (lang_id.accepted, line_dedup.without_repeated_lines, ngram_join.one_of_each_group, mixing.mixed):
+        after = stage(docs)
+        assert after.columns == docs.columns
+        for r in after.collect():
+            assert [r[name] for name in OWN_NAMES] == list(range(70, 70 + len(OWN_NAMES)))
+
+
+def test_mixed_rows_keep_their_own_columns(spark):
+    docs = docs_of(spark, ["one two three"] * 4 + ["four five six"] * 2, ids=[1] * 4 + [2, 3], sources=["a", "b", "a", "a", "c", None], langs=list("klmnop"))
+    per = {(r.source, r.doc_id): r.copies for r in mixing.mix(docs).groupBy("source", "doc_id").agg(F.sum("copies").alias("copies")).collect()}
+    got = Counter((r.source, r.doc_id) for r in mixing.mixed(docs).collect())
+    assert got == Counter({k: n for k, n in per.items() if n})
+    each = Counter(r.lang for r in mixing.mixed(docs).where("source = 'a'").collect())
+    assert set(each) <= set("kmn") and max(each.values()) - min([each[x] for x in "kmn"]) <= 1
+
+
 def line_sets(texts):
     order = [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
     names = list(dict.fromkeys(x for _, _, x in order))
