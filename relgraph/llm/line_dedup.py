@@ -22,7 +22,7 @@ from relgraph.session import cut
 CHARS = 5
 """Characters of the shingles, of the signature and of the exact test."""
 
-BANDS, ROWS = 14, 5
+BANDS, ROWS = 20, 6
 SIMILARITY = 0.75
 SMALL = 32
 """Lines of a bucket that are all tested pair by pair at once; in larger buckets lines meet the bucket's
@@ -33,7 +33,7 @@ BROADCAST_ROWS = 1_000_000
 
 _FIRST = -(1 << 63)
 _POSTINGS = 1 << 21
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _SEED = np.random.default_rng(11)
 _FACTOR = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _SHIFT = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -97,11 +97,13 @@ def band_values(texts: list[str]) -> np.ndarray:
             last += 1
         hashes, starts = shingle_hashes(texts[first:last])
         high = (hashes >> np.uint64(32)).astype(np.uint32)
+        order = np.empty_like(high)
         for b in range(BANDS):
             mixed = np.full(last - first, b + 1, np.uint64)
             for r in range(b * ROWS, (b + 1) * ROWS):
-                least = np.minimum.reduceat(high * _FACTOR[r] + _SHIFT[r], starts[:-1])
-                mixed = scramble(mixed * _ODD + least)
+                np.multiply(high, _FACTOR[r], out=order)
+                np.add(order, _SHIFT[r], out=order)
+                mixed = scramble(mixed * _ODD + np.minimum.reduceat(order, starts[:-1]))
             bands[first:last, b] = mixed
         first = last
     return bands
@@ -136,7 +138,7 @@ def _postings(groups: int, banding: Callable) -> Callable:
                 if key not in held:
                     held[key] = line
                     size += len(line)
-                if size > 4 * _PIECE:
+                if size > 16 * _PIECE:
                     yield flush()
                     size = 0
         if held:
@@ -201,28 +203,58 @@ def buckets(found: DataFrame, groups: int, banding: Callable = band_values, smal
 # --- pairs -------------------------------------------------------------------------------------
 
 
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each line, ascending, and where each line's begin."""
+    hashes, starts = shingle_hashes(texts)
+    of = np.repeat(np.arange(len(texts)), np.diff(starts))
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    return hashes[new], np.searchsorted(of[new], np.arange(len(texts) + 1))
+
+
 def _alike(similarity: float) -> Callable:
+    def checked(pairs: list[tuple[int, str, str]]) -> list[int]:
+        number: dict[str, int] = {}
+        for _, left, right in pairs:
+            number.setdefault(left, len(number))
+            number.setdefault(right, len(number))
+        hashes, at = shingle_sets(list(number))
+        kept = []
+        for i, left, right in pairs:
+            a, b = number[left], number[right]
+            n, m = int(at[a + 1] - at[a]), int(at[b + 1] - at[b])
+            # common >= similarity * union, and the smaller set holds all that is common
+            if min(n, m) >= similarity * max(n, m):
+                both = np.concatenate([hashes[at[a] : at[a + 1]], hashes[at[b] : at[b + 1]]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if common >= similarity * (n + m - common):
+                    kept.append(i)
+        return kept
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
+            kept, held, size = [], [], 0
             for i, (left, right) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = (np.unique(shingle_hashes([t])[0]) for t in (left, right))
-                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common >= similarity * (len(x) + len(y) - common):
-                        kept.append(i)
-            rows = pa.array(kept, pa.int64())
+                held.append((i, left, right))
+                size += len(left) + len(right)
+                if size > 4 * _PIECE:
+                    kept += checked(held)
+                    held, size = [], 0
+            rows = pa.array(kept + (checked(held) if held else []), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (ids a, b) whose exact similarity is high enough; texts: id, line."""
-    sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b"
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, by: str = "id") -> DataFrame:
+    """The pairs of ids (a, b) whose exact similarity is high enough; texts: id, line and ``by``, by which pairs name lines."""
+    sides = pairs.join(texts.select(F.col(by).alias("a"), F.col("id").alias("x"), F.col("line").alias("left")), "a").join(
+        texts.select(F.col(by).alias("b"), F.col("id").alias("y"), F.col("line").alias("right")), "b"
     )
-    return sides.select("a", "b", "left", "right").mapInArrow(_alike(similarity), "a long, b long")
+    return sides.select("x", "y", "left", "right").mapInArrow(_alike(similarity), "a long, b long")
 
 
 def char_shingles(line: Column) -> Column:
@@ -261,7 +293,7 @@ def other_pairs(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     enough always do, so none is lost. rows: key, id, component.
     """
     open_rows = cut(rows.join(mixed_keys(rows).select("key"), "key"), "open")
-    sets = open_rows.select("id").distinct().join(texts, "id")
+    sets = open_rows.select("id").distinct().join(texts.select("id", "line"), "id")
     each = cut(sets.select("id", F.explode(F.array_distinct(F.transform(char_shingles(F.col("line")), lambda s: F.xxhash64(s)))).alias("s")), "sets")
     rarity = each.groupBy("s").agg(F.count("*").alias("df"))
     ordered = each.join(rarity, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
@@ -278,28 +310,27 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
 def groups_of_similar(found: DataFrame, first: DataFrame, similarity: float, banding: Callable = band_values, small: int = SMALL) -> DataFrame:
     """node (a line's id) and component of the lines that are like another.
 
-    first: id, k1, k2, doc and t (the line's first document) of every distinct line. Every
+    first: id, k1, k2 and doc (the line's first document) of every distinct line. Every
     pair that shares a bucket is tested, or its lines are in one component already.
     """
     spark = found.sparkSession
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-first.count() * BANDS // _POSTINGS))
     pairs, members = buckets(found, groups, banding, small)
+    pairs = cut(pairs, "pairs")
     # the text of each line in some pair, from the first document that has it
     keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
     wanted = cut(first.join(keys, "k1", "left_semi"), "wanted")
     n = wanted.count()
-    texts = found.select("doc", "t", "k1", "k2", "line").join(_checked(wanted, n), ["doc", "t", "k1", "k2"]).select("id", "k1", "line")
+    texts = found.select("doc", "k1", "k2", "line").join(_checked(wanted, n), ["doc", "k1", "k2"]).select("id", "k1", "line")
     texts = cut(texts.dropDuplicates(["id"]), "texts")
     # unlike lines may share the first half of the key: then each of them is tested
-    ids = _checked(wanted.select("k1", "id"), n)
-    as_ids = pairs.join(ids.withColumnsRenamed({"k1": "a", "id": "x"}), "a").join(ids.withColumnsRenamed({"k1": "b", "id": "y"}), "b")
-    slim = texts.select("id", "line")
-    grouped = cut(components(similar(as_ids.select(F.col("x").alias("a"), F.col("y").alias("b")), slim, similarity)), "grouped")
-    rows = members.join(ids, "k1").select("key", "id").join(grouped.withColumnRenamed("node", "id"), "id", "left")
-    rows = cut(rows.select("key", "id", F.coalesce("component", "id").alias("component")), "members")
+    grouped = cut(components(similar(pairs, texts, similarity, "k1")), "grouped")
+    rows = members.join(_checked(wanted.select("k1", "id"), n), "k1").select("key", "id")
+    rows = rows.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    rows = cut(rows, "members")
     if mixed_keys(rows).isEmpty():
         return grouped
-    late = similar(other_pairs(rows, slim, similarity), slim, similarity)
+    late = similar(other_pairs(rows, texts, similarity), texts, similarity)
     return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
 
 
@@ -309,14 +340,16 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, banding: Call
     Of each component the line of the smallest document (by id, then by t) stays, and there the first.
     """
     found = lines(docs)
-    first = found.groupBy("k1", "k2").agg(F.min(F.struct("doc", "t")).alias("at"), F.count("*").alias("n"))
-    first = cut(first.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "at.doc", "at.t", "n"), "lines")
+    first = found.groupBy("k1", "k2").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+    first = cut(first.withColumn("id", F.monotonically_increasing_id()), "lines")
     grouped = cut(groups_of_similar(found, first.drop("n"), similarity, banding, small), "groups")
     known = first.join(grouped.withColumnRenamed("node", "id"), "id", "left")
-    shared = known.where("component is not null or n > 1").withColumn("component", F.coalesce("component", "id"))
-    least = shared.groupBy("component").agg(F.min(F.struct("doc", "t")).alias("home"))
-    groups = cut(shared.join(least, "component").select("k1", "k2", "component", "home"), "homes")
+    shared = known.where("component is not null or n > 1")
+    groups = cut(shared.select("k1", "k2", F.coalesce("component", "id").alias("component")), "shared")
     at = found.select("doc", "t", "line_no", "k1", "k2").join(_checked(groups, groups.count()), ["k1", "k2"])
+    at = cut(at.select("doc", "t", "line_no", "component"), "places")
+    homes = at.groupBy("component").agg(F.min(F.struct("doc", "t")).alias("home"))
+    at = at.join(homes, "component")
     at_home = (F.col("doc") == F.col("home.doc")) & (F.col("t") == F.col("home.t"))
     # the home document's lines of a component: all but the first go
     local = at.where(at_home).groupBy("doc", "t", "component").agg(F.sort_array(F.collect_set("line_no")).alias("at"))

@@ -318,7 +318,7 @@ def test_lines_of_unlike_texts_with_one_half_of_the_key(spark, monkeypatch):
     # every key is shared by two unlike lines
     clashing = found.withColumn("k1", F.pmod(F.col("line_no"), F.lit(6)).cast("long") + F.when(F.col("line_no") < 6, 0).otherwise(100))
     clashing = clashing.withColumn("k1", F.floor(F.col("k1") / 2).cast("long"))
-    first = clashing.select(F.col("line_no").cast("long").alias("id"), "k1", "k2", "doc", "t")
+    first = clashing.select(F.col("line_no").cast("long").alias("id"), "k1", "k2", "doc")
     one = lambda texts: np.full((len(texts), 1), 7, np.uint64)
     rows = line_dedup.groups_of_similar(clashing, first, 0.75, one).collect()
     assert {(r.node, r.component) for r in rows} == {(i, i % 6) for i in range(12)}
@@ -356,7 +356,7 @@ def test_recall_of_fuzzy_lines_by_length_and_likeness(low, high, least):
             pairs.append((x, y))
     placed = [set(row.tolist()) for row in line_dedup.band_values([line for pair in pairs for line in pair])]
     met = sum(bool(placed[2 * i] & placed[2 * i + 1]) for i in range(len(pairs)))
-    # at 0.75, 14 bands of 5 rows find 97.7 of 100 pairs
+    # at 0.75, 20 bands of 6 rows find 98.0 of 100 pairs
     assert met >= 0.955 * len(pairs), met
 
 
