@@ -106,6 +106,15 @@ def first_chars(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
+def windows(text: Column, size: int) -> Column:
+    """All of a text in windows of ``size`` characters; one, empty or null, of an empty or null text.
+
+    The pattern passes over the text once.
+    """
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+
+
 def card_number(page: Column, index: Column, per_page: int = 30) -> Column:
     """Running number of a card from its 1-based page and 0-based place, as text."""
     return ((page - 1) * per_page + index + 1).cast("string")

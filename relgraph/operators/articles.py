@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relgraph.functions.roster import date_or_today, or_blank, present, run_date
+from relgraph.session import cut
 from relgraph.skew import first_n_per_group, serial_ids
 
 
@@ -19,12 +18,18 @@ def usable_articles(articles: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def with_section_rank(articles: DataFrame, sections: list[str]) -> DataFrame:
-    """Keep the listed sections and add their 0-based order."""
-    order = F.array(*map(F.lit, sections))
-    return articles.where(F.col("section").isin(sections)).withColumn(
-        "section_rank", F.array_position(order, F.col("section")) - 1
-    )
+def with_section_rank(articles: DataFrame, sections: list[str] = ()) -> DataFrame:
+    """Add ``section_rank``, by which sections are ordered.
+
+    The listed ones come first, in their order, then all others by name, then null. It is a
+    struct that compares in that order, so it needs no list of all sections and no numbering.
+    """
+    section = F.col("section")
+    place = F.array_position(F.array(*map(F.lit, sections)).cast("array<string>"), section)
+    listed = F.coalesce(place, F.lit(0))
+    tier = F.when(section.isNull(), 2).when(listed > 0, 0).otherwise(1)
+    name = F.when((tier == 1), section).otherwise(F.lit(""))
+    return articles.withColumn("section_rank", F.struct(tier.alias("tier"), listed.alias("place"), name.alias("name")))
 
 
 def first_seen(articles: DataFrame) -> DataFrame:
@@ -51,65 +56,56 @@ def _first_in_section(articles: DataFrame) -> DataFrame:
     return articles.groupBy("section_rank", "url").agg(F.min("pos").alias("pos"))
 
 
-def dedupe_then_cap(articles: DataFrame, sections: list[str], cap: int) -> DataFrame:
+def dedupe_then_cap(articles: DataFrame, cap: int, sections: list[str] = ()) -> DataFrame:
     """Per section in order: the first ``cap`` URLs not kept by an earlier section.
 
-    Earlier sections can take at most ``cap`` URLs each, so only the first
-    ``cap * (rank + 1)`` distinct URLs of a section can matter. They are found in
-    parallel; the ordered choice then reads at most ``cap * len(sections)**2`` short
-    rows, whatever the size of the input.
+    The ordered choice is worked out for all sections at once, in rounds: from what every
+    section keeps follows which URLs are lost to an earlier one, and from that what every
+    section keeps. The first section is right from the start, the second after one round, and
+    so on; when a round changes nothing, every section agrees with those before it, which
+    only the ordered choice does. Rounds see the first rows of each section only; where these
+    don't suffice to fill a section that has more, four times as many are taken.
     """
     ranked = with_section_rank(articles, sections)
-    depth = cap * len(sections)
-    candidates = first_n_per_group(
-        _first_in_section(ranked), ["section_rank"], [F.col("pos")], depth, ["url"]
-    ).where(F.col("rank") <= F.lit(cap) * (F.col("section_rank") + 1))
-    keyed = candidates.select("section_rank", "pos", "url").withColumn("_all", F.lit(1))
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: set[str] = set()
-        taken: dict[int, int] = {}
-        chosen = []
-        for row in rows.sort_values(["section_rank", "pos"]).itertuples(index=False):
-            if row.url in kept or taken.get(row.section_rank, 0) >= cap:
-                continue
-            kept.add(row.url)
-            taken[row.section_rank] = taken.get(row.section_rank, 0) + 1
-            chosen.append((row.section_rank, row.pos, row.url))
-        return pd.DataFrame(chosen, columns=["section_rank", "pos", "url"])
-
-    shape = StructType(
-        [
-            StructField("section_rank", LongType()),
-            StructField("pos", LongType()),
-            StructField("url", StringType()),
-        ]
-    )
-    kept = keyed.groupBy("_all").applyInPandas(choose, shape)
-    # at most cap rows per section
-    return ranked.join(F.broadcast(kept), ["section_rank", "pos", "url"], "left_semi")
-
-
-def cap_then_dedupe(articles: DataFrame, sections: list[str], cap: int) -> DataFrame:
+    own = cut(_first_in_section(ranked), "sections")
+    order, depth = [F.col("pos"), F.col("url")], 2 * cap
+    while True:
+        heads = first_n_per_group(own, ["section_rank"], order, depth + 1, ["url"])
+        heads = cut(heads.withColumnRenamed("rank", "place"), "heads")
+        rows = heads.where(F.col("place") <= depth)
+        kept, before = rows.where(F.col("place") <= cap), None
+        while True:
+            kept = cut(kept.select("section_rank", "url", "pos"), "kept")
+            now = kept.agg(F.count("*"), F.sum(F.xxhash64("section_rank", "url").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+            taken = kept.groupBy("url").agg(F.min("section_rank").alias("by"))
+            free = rows.join(taken, "url", "left").where("by is null or by >= section_rank")
+            nth = F.row_number().over(Window.partitionBy("section_rank").orderBy(*order))
+            kept = free.withColumn("nth", nth).where(F.col("nth") <= cap)
+        filled = kept.groupBy("section_rank").agg(F.count("*").alias("n"))
+        more = heads.where(F.col("place") > depth).select("section_rank")
+        if more.join(filled, "section_rank", "left").where(F.coalesce("n", F.lit(0)) < cap).isEmpty():
+            return ranked.join(kept, ["section_rank", "pos", "url"], "left_semi")
+        depth *= 4
+
+
+def cap_then_dedupe(articles: DataFrame, cap: int, sections: list[str] = ()) -> DataFrame:
     """Per section the first ``cap`` distinct URLs; a URL lost to an earlier section is not replaced."""
     ranked = with_section_rank(articles, sections)
-    capped = first_n_per_group(
-        _first_in_section(ranked), ["section_rank"], [F.col("pos")], cap, ["url"]
-    )
+    capped = first_n_per_group(_first_in_section(ranked), ["section_rank"], [F.col("pos"), F.col("url")], cap, ["url"])
     kept = capped.groupBy("url").agg(F.min(F.struct("section_rank", "pos")).alias("at"))
     kept = kept.select("url", "at.section_rank", "at.pos")
-    # at most cap rows per section
-    return ranked.join(F.broadcast(kept), ["section_rank", "pos", "url"], "left_semi")
+    return ranked.join(kept, ["section_rank", "pos", "url"], "left_semi")
 
 
-def section_counts(articles: DataFrame, sections: list[str], minimum: int) -> DataFrame:
-    """``(section, n, short)`` for every listed section, also the empty ones."""
-    listed = articles.sparkSession.createDataFrame([(s,) for s in sections], "section string")
+def section_counts(articles: DataFrame, minimum: int, sections: list[str] = ()) -> DataFrame:
+    """``(section, n, short)`` for every section there is and every listed one, also the empty ones."""
     counts = articles.groupBy("section").agg(F.count("*").alias("n"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return listed.join(counts, "section", "left").select(
-        "section", n.alias("n"), (n < minimum).alias("short")
-    )
+    listed = articles.sparkSession.createDataFrame([(s, 0) for s in sections], "section string, n long")
+    summed = counts.unionByName(listed).groupBy("section").agg(F.sum("n").alias("n"))
+    return summed.select("section", "n", (F.col("n") < minimum).alias("short"))
 
 
 def replace_last_hour(existing: DataFrame, new: DataFrame, now: Column, order: str) -> DataFrame:

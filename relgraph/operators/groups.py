@@ -19,12 +19,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relgraph.session import cut
 from relgraph.skew import lookup_join, salted_join
 
-MAX_SUBSET_KEYS = 12
+MAX_SUBSET_KEYS = 6
+"""Key sets of up to so many keys are counted over their subsets (63 rows at most), larger ones in bitmaps."""
+
+BITS = 32_768
+"""Positions of one bitmap of bitmap_construct_agg."""
 
 
 def key_sets(pairs: DataFrame, etype: str, member: str, key: str) -> DataFrame:
@@ -98,17 +102,17 @@ def related_counts(sets: DataFrame) -> DataFrame:
     People with equal key sets are folded first. For a set P of probe keys the
     union of its groups is counted by inclusion and exclusion over the subsets of
     P; the number of people holding a whole subset is one grouped count. That is
-    linear in the people and never forms pairs. A set of more than MAX_SUBSET_KEYS keys
-    has too many subsets; such sets, and only these, are joined with the others on
-    shared keys instead. The two ways count disjoint parts of the same people.
+    linear in the people. A set of more than MAX_SUBSET_KEYS keys has too many subsets;
+    where such a set asks or is asked for, unions are counted in bitmaps instead. The ways
+    count disjoint parts of the same people, and neither forms pairs of people or sets.
     """
     sets = cut(sets.withColumn("sig", F.to_json(F.struct("etype", "probe", "build"))), "sets")
     folded = cut(sets.groupBy("sig", "etype", "probe", "build").agg(F.count("*").alias("people")))
     narrow_probe, narrow_build = (F.size(c) <= MAX_SUBSET_KEYS for c in ("probe", "build"))
     counted = (
         _by_subsets(folded.where(narrow_probe), folded.where(narrow_build))
-        .unionByName(_by_shared_keys(folded.where(narrow_probe), folded.where(~narrow_build)))
-        .unionByName(_by_shared_keys(folded.where(~narrow_probe), folded))
+        .unionByName(_by_bitmaps(folded.where(narrow_probe), folded.where(~narrow_build)))
+        .unionByName(_by_bitmaps(folded.where(~narrow_probe), folded))
         .groupBy("sig")
         .agg(F.sum("n").alias("n"))
     )
@@ -131,13 +135,29 @@ def _by_subsets(asking: DataFrame, found: DataFrame) -> DataFrame:
     return asked.join(holders, ["etype", "sub"]).groupBy("sig").agg(F.sum(sign).alias("n"))
 
 
-def _by_shared_keys(asking: DataFrame, others: DataFrame) -> DataFrame:
-    asked = asking.select("sig", "etype", F.explode("probe").alias("key"))
-    found = others.select(
-        F.col("sig").alias("other"), "etype", F.explode("build").alias("key"), "people"
+def _by_bitmaps(asking: DataFrame, others: DataFrame) -> DataFrame:
+    """(sig, n): people of ``others`` who hold one of the keys that a set asks for.
+
+    Sets of keys are numbered in parts of a few thousand, and each key has a bitmap of the sets
+    that hold it for every part it occurs in; the union over the asked keys is an OR. A set
+    stands for ``people`` people: it is in the bitmaps of the binary digits of that number, and
+    the bits of digit d count 2**d each.
+    """
+    parts = -(-others.count() // (BITS // 2)) or 1
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda d: F.call_function("getbit", F.col("people"), d) == 1)
+    each = others.select("etype", "sig", "build", F.pmod(F.xxhash64("sig"), F.lit(parts)).alias("part"), F.explode(digits).alias("digit"))
+    order = Window.partitionBy("etype", "part", "digit").orderBy("sig")
+    numbered = each.withColumn("place", F.row_number().over(order) - 1)
+    at = ["part", "digit", F.floor(F.col("place") / BITS).alias("more")]
+    held = (
+        numbered.select("etype", F.explode("build").alias("key"), *at, (F.col("place") % BITS).cast("long").alias("place"))
+        .groupBy("etype", "key", "part", "digit", "more")
+        .agg(F.bitmap_construct_agg("place").alias("bits"))
     )
-    met = asked.join(found, ["etype", "key"]).select("sig", "other", "people").distinct()
-    return met.groupBy("sig").agg(F.sum("people").alias("n"))
+    asked = asking.select("sig", "etype", F.explode("probe").alias("key"))
+    met = asked.join(held, ["etype", "key"]).groupBy("sig", "part", "digit", "more").agg(F.bitmap_or_agg("bits").alias("bits"))
+    people = F.bitmap_count("bits") * F.pow(F.lit(2.0), F.col("digit")).cast("long")
+    return met.groupBy("sig").agg(F.sum(people).alias("n"))
 
 
 def edges_from(sets: DataFrame, chosen: DataFrame) -> DataFrame:

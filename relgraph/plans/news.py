@@ -17,9 +17,9 @@ from relgraph.session import cut
 from relgraph.sources.writers import folder_exists, save_articles, write_graph
 
 
-def collected(articles: DataFrame, sections: list[str], cap: int, now: Column) -> DataFrame:
-    """Usable articles of the listed sections, one per URL, at most ``cap`` per section."""
-    return dedupe_then_cap(usable_articles(articles, now), sections, cap)
+def collected(articles: DataFrame, cap: int, now: Column, sections: list[str] = ()) -> DataFrame:
+    """Usable articles, one per URL, at most ``cap`` per section, the listed sections first."""
+    return dedupe_then_cap(usable_articles(articles, now), cap, sections)
 
 
 def with_body(articles: DataFrame, pages: DataFrame) -> DataFrame:
@@ -54,11 +54,11 @@ def run(
     listed: DataFrame,
     pages: DataFrame,
     names: DataFrame,
-    sections: list[str],
     cap: int,
     now: datetime,
     table_path: str,
     graph_path: str,
+    sections: list[str] = (),
     **scoring_options,
 ) -> DataFrame:
     """One news run: collect, read bodies, find names, score, store the table and the graph.
@@ -68,7 +68,7 @@ def run(
     once and feed both stores.
     """
     stamp = F.to_timestamp(F.lit(now.strftime("%Y-%m-%d %H:%M:%S")))
-    articles = cut(collected(listed, sections, cap, stamp), "collected")
+    articles = cut(collected(listed, cap, stamp, sections), "collected")
     articles = with_body(articles, pages)
     scored = cut(scored_articles(articles, names, stamp, **scoring_options), "scored")
     scored = scored.withColumn("ordinal", F.col("pos"))

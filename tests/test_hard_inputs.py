@@ -108,13 +108,17 @@ def test_all_paths_without_a_limit(spark):
     assert paths.member_paths(nodes, edges).count() == leaves * (leaves - 1)
 
 
-def test_wide_people_do_not_change_the_counts(spark):
+@pytest.mark.parametrize("parts", [32_768, 64])
+def test_people_with_few_and_very_many_keys(spark, monkeypatch, parts):
     import random
 
     from relgraph.operators import groups
 
+    monkeypatch.setattr(groups, "BITS", parts)
     rng = random.Random(1)
-    held = {f"m{i}": {f"k{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 12, 13, 40]))} for i in range(120)}
+    held = {f"m{i}": {f"k{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 6, 7, 12, 13, 40]))} for i in range(150)}
+    # many people with the same keys, few and many
+    held |= {f"e{i}": {"k1", "k2"} for i in range(37)} | {f"w{i}": {f"k{j}" for j in range(0, 40, 2)} for i in range(21)}
     pairs = spark.createDataFrame([(m, k) for m, ks in held.items() for k in ks], "id string, key string")
     got = {r["id"]: r["n"] for r in groups.related_counts(groups.key_sets(pairs, "SAME", "id", "key")).collect()}
     assert got == {m: sum(1 for o, other in held.items() if o != m and ks & other) for m, ks in held.items()}

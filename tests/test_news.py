@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relgraph import skew
-from relgraph.functions import scores
+from relgraph.functions import roster, scores
 from relgraph.operators import articles, mentions, scoring, tables
 from relgraph.plans import news
 from relgraph.sources import writers
@@ -58,31 +58,56 @@ def kept(df):
 
 def test_dedupe_and_cap_orders(spark):
     df = section_rows(spark)
-    assert kept(articles.dedupe_then_cap(df, ["A", "B"], 2)) == [("A", "u1"), ("A", "u2"), ("B", "u3"), ("B", "u4")]
-    late = articles.cap_then_dedupe(df, ["A", "B"], 2)
+    assert kept(articles.dedupe_then_cap(df, 2, ["A", "B"])) == [("A", "u1"), ("A", "u2"), ("B", "u3"), ("B", "u4")]
+    late = articles.cap_then_dedupe(df, 2, ["A", "B"])
     assert kept(late) == [("A", "u1"), ("A", "u2"), ("B", "u3")]
-    counts = {r.section: (r.n, r.short) for r in articles.section_counts(late, ["A", "B", "C"], 2).collect()}
+    counts = {r.section: (r.n, r.short) for r in articles.section_counts(late, 2, ["A", "B", "C"]).collect()}
     assert counts == {"A": (2, False), "B": (1, True), "C": (0, True)}
     first = articles.first_seen(articles.with_section_rank(df, ["A", "B"]))
     assert {(r.url, r.pos) for r in first.collect()} == {("u1", 0), ("u2", 2), ("u3", 3), ("u4", 12), ("u5", 13)}
     assert {r.url for r in articles.unseen(df, df.where("url = 'u1'")).collect()} == {"u2", "u3", "u4", "u5"}
 
 
+def plain_choice(rows, sections, cap):
+    seen, want = set(), []
+    for s in sections:
+        n = 0
+        for section, url, _ in rows:
+            if section == s and url not in seen and n < cap:
+                seen.add(url)
+                want.append((s, url))
+                n += 1
+    return want
+
+
 def test_dedupe_then_cap_equals_the_plain_loop(spark):
     rng = random.Random(4)
-    sections = list("ABCDE")
-    rows = [(rng.choice(sections + ["Z"]), f"u{rng.randrange(60)}", p) for p in range(500)]
+    sections = list("EDCBA")
+    rows = [(rng.choice([*sections, "Z", "Y", None]), f"u{rng.randrange(60)}", p) for p in range(500)]
     df = spark.createDataFrame(rows, "section string, url string, pos long")
     for cap in (1, 3, 8, 100):
-        seen, want = set(), []
-        for s in sections:
-            n = 0
-            for section, url, _ in rows:
-                if section == s and url not in seen and n < cap:
-                    seen.add(url)
-                    want.append((s, url))
-                    n += 1
-        assert kept(articles.dedupe_then_cap(df, sections, cap)) == want
+        # listed ones first, then the others by name, then null
+        assert kept(articles.dedupe_then_cap(df, cap, sections)) == plain_choice(rows, [*sections, "Y", "Z", None], cap)
+    assert kept(articles.dedupe_then_cap(df, 3)) == plain_choice(rows, [*"ABCDEYZ", None], 3)
+    # another section changes no row of those before it
+    more = spark.createDataFrame([*rows, ("ZZ", "u1", 900), ("ZZ", "new", 901)], df.schema)
+    assert kept(articles.dedupe_then_cap(more, 3)) == plain_choice([*rows, ("ZZ", "u1", 900), ("ZZ", "new", 901)], [*"ABCDEYZ", "ZZ", None], 3)
+
+
+def test_a_thousand_sections_of_unequal_size(spark):
+    rng = random.Random(5)
+    names = [f"s{i:04d}" for i in range(1000)]
+    rows = [(names[int(rng.random() ** 3 * 1000)], f"u{int(rng.random() ** 2 * 3000)}", p) for p in range(12_000)]
+    # each section's first URL is the second of the one before, so choices hang on each other
+    rows = [(names[i], f"c{i + k}", -10 + k) for i in range(40) for k in (0, 1)] + rows
+    rows.sort(key=lambda r: r[2])
+    df = spark.createDataFrame(rows, "section string, url string, pos long")
+    assert kept(articles.dedupe_then_cap(df, 4)) == plain_choice(rows, names, 4)
+
+
+def test_windows_of_a_text(spark):
+    rows = spark.createDataFrame([("a" * 7 + "\n😀bc",), ("",), (None,), ("abc",)], "t string")
+    assert [r[0] for r in rows.select(roster.windows(F.col("t"), 3)).collect()] == [["aaa", "aaa", "a\n😀", "bc"], [""], [None], ["abc"]]
 
 
 def test_serial_ids_and_first_n(spark):

@@ -22,7 +22,6 @@ from workload.base import page_text_sql, query, sql_list, table
 NAMES = ["That", "This", "From", "With", "Eriner", "Anon", "Tion", "Nicht", "Eren", "License"]
 GOOD = ["erst", "elle", "with", "License", "Eriner"]
 BAD = ["nicht", "dans", "This", "entre", "heit"]
-SECTIONS = [f"src{i}" for i in range(20)]
 CAP = 30
 NOW = datetime(2024, 1, 15, 12, 0, tzinfo=timezone.utc)
 NOW_TEXT = "2024-01-15 12:00:00"
@@ -146,41 +145,36 @@ def name_dictionary(spark, sf_dir):
 
 # --- sections ------------------------------------------------------------------------
 
-RANKED = f"""ranked AS (
-  SELECT pos, url, section, list_position([{sql_list(SECTIONS)}], section) - 1 AS section_rank
-  FROM art WHERE section IN ({sql_list(SECTIONS)}))"""
-ROW = "section, section_rank, pos, url"
+# sections are ordered by name, null last
+RANKED = """ranked AS (
+  SELECT pos, url, section, dense_rank() OVER (ORDER BY section IS NULL, section) - 1 AS section_rank FROM art)"""
+ROW = "section, pos, url"
 
 
 @query(
-    f"""WITH {BASE}, {RANKED} SELECT url, section, section_rank, pos FROM (
+    f"""WITH {BASE}, {RANKED} SELECT url, section, pos FROM (
       SELECT *, row_number() OVER (PARTITION BY url ORDER BY section_rank, pos) AS r FROM ranked) WHERE r = 1"""
 )
 def first_seen_articles(spark, sf_dir):
-    ranked = articles.with_section_rank(section_table(spark, sf_dir), SECTIONS)
-    return articles.first_seen(ranked).select("url", "section", "section_rank", "pos")
-
-
-def _sequential_sql() -> str:
-    """The ordered choice, one CTE per section."""
-    parts = []
-    for i in range(len(SECTIONS)):
-        earlier = " UNION ALL ".join(f"SELECT url FROM k{j}" for j in range(i))
-        rest = f"AND url NOT IN ({earlier})" if i else ""
-        parts.append(
-            f"k{i} AS MATERIALIZED (SELECT url, min(pos) AS pos FROM ranked WHERE section_rank = {i} {rest} "
-            f"GROUP BY url ORDER BY min(pos) LIMIT {CAP})"
-        )
-    union = " UNION ALL ".join(
-        f"SELECT '{s}' AS section, {i} AS section_rank, pos, url FROM k{i}" for i, s in enumerate(SECTIONS)
-    )
-    return f"WITH {BASE}, {RANKED}, {', '.join(parts)} {union}"
+    ranked = articles.with_section_rank(section_table(spark, sf_dir))
+    return articles.first_seen(ranked).select("url", "section", "pos")
 
 
-@query(_sequential_sql())
+@query(
+    f"""WITH RECURSIVE {BASE}, {RANKED},
+    own AS MATERIALIZED (SELECT section, section_rank, url, min(pos) AS pos FROM ranked GROUP BY ALL),
+    step(r, kept, chosen) AS (
+      SELECT -1::BIGINT, []::VARCHAR[], []::STRUCT(section VARCHAR, pos BIGINT, url VARCHAR)[]
+      UNION ALL
+      SELECT s.r + 1, list_concat(s.kept, n.urls), n.chosen FROM step s, LATERAL (
+        SELECT coalesce(list(url), []) AS urls, coalesce(list({{section: section, pos: pos, url: url}}), []) AS chosen FROM (
+          SELECT * FROM own WHERE section_rank = s.r + 1 AND NOT list_contains(s.kept, url) ORDER BY pos, url LIMIT {CAP})) n
+      WHERE s.r < (SELECT max(section_rank) FROM own))
+    SELECT c.section, c.pos, c.url FROM step, unnest(chosen) AS u(c)"""
+)
 def section_dedupe_cap(spark, sf_dir):
-    kept = articles.dedupe_then_cap(section_table(spark, sf_dir), SECTIONS, CAP)
-    return kept.select("section", "section_rank", "pos", "url")
+    """The ordered choice, one step per section."""
+    return articles.dedupe_then_cap(section_table(spark, sf_dir), CAP).select("section", "pos", "url")
 
 
 CAPPED = f"""own AS (SELECT section, section_rank, url, min(pos) AS pos FROM ranked GROUP BY ALL),
@@ -192,18 +186,17 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY s
 
 @query(f"WITH {BASE}, {RANKED}, {CAPPED} SELECT {ROW} FROM kept")
 def section_cap_dedupe(spark, sf_dir):
-    kept = articles.cap_then_dedupe(section_table(spark, sf_dir), SECTIONS, CAP)
-    return kept.select("section", "section_rank", "pos", "url")
+    return articles.cap_then_dedupe(section_table(spark, sf_dir), CAP).select("section", "pos", "url")
 
 
 @query(
-    f"""WITH {BASE}, {RANKED}, {CAPPED}, listed(section) AS (SELECT unnest([{sql_list(SECTIONS + ['src99'])}]))
+    f"""WITH {BASE}, {RANKED}, {CAPPED}, listed(section) AS (SELECT section FROM kept UNION SELECT 'src99')
     SELECT l.section, count(k.url) AS n, CAST(count(k.url) < {CAP} AS INT) AS short
-    FROM listed l LEFT JOIN kept k ON l.section = k.section GROUP BY l.section"""
+    FROM listed l LEFT JOIN kept k ON l.section IS NOT DISTINCT FROM k.section GROUP BY l.section"""
 )
 def section_shortfall(spark, sf_dir):
-    kept = articles.cap_then_dedupe(section_table(spark, sf_dir), SECTIONS, CAP)
-    counts = articles.section_counts(kept, SECTIONS + ["src99"], CAP)
+    kept = articles.cap_then_dedupe(section_table(spark, sf_dir), CAP)
+    counts = articles.section_counts(kept, CAP, ["src99"])
     return counts.withColumn("short", F.col("short").cast("int"))
 
 
@@ -284,9 +277,19 @@ def mapped_text(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT doc_id, i AS window_no, md5(text[512 * i + 1:512 * i + 512]) AS window_md5
+       FROM documents, unnest(range(0, greatest(1, (length(text) + 511) // 512))) AS u(i)"""
+)
+def model_input_windows(spark, sf_dir):
+    """Every window of 512 characters that a model with that input limit is given, so whole texts."""
+    windows = F.posexplode(roster.windows(F.col("text"), 512)).alias("window_no", "part")
+    return table(spark, sf_dir, "documents").select("doc_id", windows).select("doc_id", "window_no", F.md5("part").alias("window_md5"))
+
+
 @query("SELECT doc_id, md5(text[1:512]) AS window_md5 FROM documents")
 def model_input_window(spark, sf_dir):
-    # the 512-character window is the operator itself
+    # the first window, the model input of the inventory; `model_input_windows` has all of a text
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.md5(roster.first_chars(F.col("text"), 512)).alias("window_md5")
     )
@@ -371,16 +374,12 @@ def stream_edge_counts(spark, sf_dir):
     return runs.edge_counts(spark, out)
 
 
-PAGE_SECTIONS = ["en", "fr", "de", "es"]
-
-
 @query(
     f"""WITH bodies AS ({page_text_sql()}),
     art AS (SELECT p.page_id, p.url, regexp_extract(p.url, '^https?://[^/]+/([a-z]+)/', 1) AS section, b.text AS content,
               list_sort([n FOR n IN [{sql_list(NAMES)}] IF contains(b.text, n)]) AS politicians
             FROM pages p JOIN bodies b ON b.page_id = p.page_id),
-    taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY page_id) AS r FROM art
-              WHERE section IN ({sql_list(PAGE_SECTIONS)})) WHERE r <= {CAP})
+    taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY page_id) AS r FROM art) WHERE r <= {CAP})
     SELECT row_number() OVER (ORDER BY page_id) AS id, url, section AS press, array_to_string(politicians, ',') AS politicians,
       CASE WHEN len(politicians) < 2 OR content = '' THEN '' WHEN {STARS} = 1 THEN '1 star'
         ELSE CAST({STARS} AS VARCHAR) || ' stars' END AS sentiment_label FROM taken"""
@@ -399,7 +398,7 @@ def news_run(spark, sf_dir):
     )
     out = scratch_path(spark, "news")
     news.run(
-        listed, fetched, names_table(spark), PAGE_SECTIONS, CAP, NOW, f"{out}/table", f"{out}/graph",
+        listed, fetched, names_table(spark), CAP, NOW, f"{out}/table", f"{out}/graph",
         positive=GOOD, negative=BAD,
     )
     return writers.read_articles(spark, f"{out}/table").select("id", "url", "press", "politicians", "sentiment_label")
