@@ -22,7 +22,7 @@ from relgraph.session import cut
 CHARS = 5
 """Characters of the shingles, of the signature and of the exact test."""
 
-BANDS, ROWS = 20, 6
+BANDS, ROWS = 28, 7
 SIMILARITY = 0.75
 SMALL = 32
 """Lines of a bucket that are all tested pair by pair at once; in larger buckets lines meet the bucket's
@@ -33,6 +33,7 @@ BROADCAST_ROWS = 1_000_000
 
 _FIRST = -(1 << 63)
 _POSTINGS = 1 << 21
+_BAND_BYTES, _KEY_BYTES = 5, 6
 _PIECE = 1 << 18
 _SEED = np.random.default_rng(11)
 _FACTOR = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -110,7 +111,7 @@ def band_values(texts: list[str]) -> np.ndarray:
 
 
 def _packed(keys: np.ndarray, bands: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    """For each group of bands its postings: 6 bytes of the band and 8 of the line's key each."""
+    """For each group of bands its postings: 5 bytes of the band and 6 of the line's key each."""
     flat, key = bands.ravel(), np.repeat(keys, bands.shape[1])
     group = ((flat >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
@@ -118,8 +119,17 @@ def _packed(keys: np.ndarray, bands: np.ndarray, groups: int) -> Iterator[tuple[
     for g, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
         if z > a:
             here = order[a:z]
-            low = np.ascontiguousarray(flat[here].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
-            yield g, low.tobytes() + key[here].astype("<i8").tobytes()
+            yield g, _low_bytes(flat[here], _BAND_BYTES) + _low_bytes(key[here], _KEY_BYTES)
+
+
+def _low_bytes(values: np.ndarray, n: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n].tobytes()
+
+
+def _from_low_bytes(data: list[bytes], n: int) -> np.ndarray:
+    wide = np.zeros((sum(map(len, data)) // n, 8), np.uint8)
+    wide[:, :n] = np.frombuffer(b"".join(data), np.uint8).reshape(-1, n)
+    return wide.view("<u8").ravel()
 
 
 def _postings(groups: int, banding: Callable) -> Callable:
@@ -151,11 +161,9 @@ def _met(small: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         """Pairs (a, b) of a group's buckets; of larger buckets pairs with the smallest key, and members (a, band)."""
         blobs = [b.as_py() for b in table.column("blob")]
-        low = np.concatenate([np.frombuffer(b, np.uint8, len(b) // 14 * 6).reshape(-1, 6) for b in blobs])
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :6] = low
-        band = wide.view("<u8").ravel()
-        key = np.concatenate([np.frombuffer(b, "<i8", len(b) // 14, len(b) // 14 * 6) for b in blobs])
+        ends = [len(b) // (_BAND_BYTES + _KEY_BYTES) * _BAND_BYTES for b in blobs]
+        band = _from_low_bytes([b[:e] for b, e in zip(blobs, ends)], _BAND_BYTES)
+        key = _from_low_bytes([b[e:] for b, e in zip(blobs, ends)], _KEY_BYTES).astype(np.int64)
         order = np.lexsort((key, band))
         band, key = band[order], key[order]
         new = np.ones(len(band), bool)
@@ -189,15 +197,16 @@ def _met(small: int) -> Callable:
 
 
 def buckets(found: DataFrame, groups: int, banding: Callable = band_values, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of keys to test first, and key, k1 of the lines of larger buckets.
+    """Pairs (a, b) of short keys to test first, and key, k of the lines of larger buckets.
 
-    Lines stay where they are; each task sends what it has for a group of bands as one row, 14
-    bytes for each line and band. A group has some two million postings.
+    Lines stay where they are; each task sends what it has for a group of bands as one row, 11
+    bytes for each line and band. A group has some two million postings. k: 6 bytes of k1;
+    unlike lines that share them are told apart when pairs meet their texts.
     """
     rows = found.select("k1", "line").mapInArrow(_postings(groups, banding), "g int, blob binary")
     met = cut(rows.groupBy("g").applyInArrow(_met(small), "a long, b long, band long"), "buckets")
     pairs = met.where("band is null").select("a", "b").distinct()
-    return pairs, met.where("band is not null").select(F.col("band").alias("key"), F.col("a").alias("k1"))
+    return pairs, met.where("band is not null").select(F.col("band").alias("key"), F.col("a").alias("k"))
 
 
 # --- pairs -------------------------------------------------------------------------------------
@@ -254,14 +263,7 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, by: str = "id
     sides = pairs.join(texts.select(F.col(by).alias("a"), F.col("id").alias("x"), F.col("line").alias("left")), "a").join(
         texts.select(F.col(by).alias("b"), F.col("id").alias("y"), F.col("line").alias("right")), "b"
     )
-    return sides.select("x", "y", "left", "right").mapInArrow(_alike(similarity), "a long, b long")
-
-
-def char_shingles(line: Column) -> Column:
-    """Runs of CHARS characters; a shorter line is its only one."""
-    return F.when(F.char_length(line) < CHARS, F.array(line)).otherwise(
-        F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))
-    )
+    return sides.where("x != y").select("x", "y", "left", "right").mapInArrow(_alike(similarity), "a long, b long")
 
 
 def mixed_keys(rows: DataFrame) -> DataFrame:
@@ -286,23 +288,33 @@ def cross_pairs(rows: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def other_pairs(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a larger bucket that may be alike and that are in different components.
+    """Pairs of lines of larger buckets that may be alike and that are in different components.
 
-    Both lines must also share one of their rarest shingles: of n shingles, all but
-    ceil(similarity * n) - 1, in an order that is the same for all lines. Lines that are alike
-    enough always do, so none is lost. rows: key, id, component.
+    Taken are the lines of buckets with several components. Two of them are a pair if they
+    share one of their rarest shingles: of n shingles, all but ceil(similarity * n) - 1, in an order
+    that is the same for all lines. Lines that are alike enough always do, so none is lost.
+    rows: key, id, component.
     """
-    open_rows = cut(rows.join(mixed_keys(rows).select("key"), "key"), "open")
-    sets = open_rows.select("id").distinct().join(texts.select("id", "line"), "id")
-    each = cut(sets.select("id", F.explode(F.array_distinct(F.transform(char_shingles(F.col("line")), lambda s: F.xxhash64(s)))).alias("s")), "sets")
+    open_rows = cut(rows.join(mixed_keys(rows).select("key"), "key").select("id", "component").distinct(), "open")
+    sets = open_rows.join(texts.select("id", "line"), "id")
+    each = cut(sets.select("id", "line").mapInArrow(_each_shingle, "id long, s long"), "sets")
     rarity = each.groupBy("s").agg(F.count("*").alias("df"))
     ordered = each.join(rarity, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
     needed = F.ceil(F.lit(similarity) * F.size("all") - 1e-9).cast("int")
-    prefix = ordered.select("id", F.explode(F.slice("all", F.lit(1), F.size("all") - needed + 1)).alias("x"))
-    refined = cut(open_rows.join(prefix, "id").select(F.xxhash64("key", "x.s").alias("key"), "id", "component").distinct(), "refined")
+    prefix = ordered.select("id", F.explode(F.slice("all", F.lit(1), F.size("all") - needed + 1)).alias("x")).where("x.df > 1")
+    refined = cut(open_rows.join(prefix, "id").select(F.col("x.s").alias("key"), "id", "component"), "refined")
     return cross_pairs(refined, mixed_keys(refined))
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            hashes, starts = shingle_sets(batch.column(1).to_pylist())
+            ids = np.repeat(batch.column(0).to_numpy(), np.diff(starts))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes.view(np.int64))], names=["id", "s"])
+
+
 def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -318,14 +330,15 @@ def groups_of_similar(found: DataFrame, first: DataFrame, similarity: float, ban
     pairs, members = buckets(found, groups, banding, small)
     pairs = cut(pairs, "pairs")
     # the text of each line in some pair, from the first document that has it
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
-    wanted = cut(first.join(keys, "k1", "left_semi"), "wanted")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    short = F.col("k1").bitwiseAND(F.lit((1 << 8 * _KEY_BYTES) - 1))
+    wanted = cut(first.withColumn("k", short).join(keys, "k", "left_semi"), "wanted")
     n = wanted.count()
-    texts = found.select("doc", "k1", "k2", "line").join(_checked(wanted, n), ["doc", "k1", "k2"]).select("id", "k1", "line")
+    texts = found.select("doc", "k1", "k2", "line").join(_checked(wanted, n), ["doc", "k1", "k2"]).select("id", "k", "line")
     texts = cut(texts.dropDuplicates(["id"]), "texts")
-    # unlike lines may share the first half of the key: then each of them is tested
-    grouped = cut(components(similar(pairs, texts, similarity, "k1")), "grouped")
-    rows = members.join(_checked(wanted.select("k1", "id"), n), "k1").select("key", "id")
+    same = texts.groupBy("k").count().where("count > 1").select(F.col("k").alias("a"), F.col("k").alias("b"))
+    grouped = cut(components(similar(pairs.unionByName(same), texts, similarity, "k")), "grouped")
+    rows = members.join(_checked(wanted.select("k", "id"), n), "k").select("key", "id")
     rows = rows.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     rows = cut(rows, "members")
     if mixed_keys(rows).isEmpty():

@@ -356,7 +356,7 @@ def test_recall_of_fuzzy_lines_by_length_and_likeness(low, high, least):
             pairs.append((x, y))
     placed = [set(row.tolist()) for row in line_dedup.band_values([line for pair in pairs for line in pair])]
     met = sum(bool(placed[2 * i] & placed[2 * i + 1]) for i in range(len(pairs)))
-    # at 0.75, 20 bands of 6 rows find 98.0 of 100 pairs
+    # at 0.75, 28 bands of 7 rows find 98.2 of 100 pairs
     assert met >= 0.955 * len(pairs), met
 
 
