@@ -115,17 +115,25 @@ def _windows(text: Column, n: int, initials: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=({initials}.{{{n - 1}}}))"), F.lit(1))
 
 
-def pairs_of(names: Column) -> Column:
-    """Array of ``struct(name1, name2)`` with name1 < name2, from a sorted array."""
-    return F.flatten(
-        F.transform(
-            names,
-            lambda a, i: F.transform(
-                F.slice(names, i + 2, F.size(names)),
-                lambda b: F.struct(a.alias("name1"), b.alias("name2")),
-            ),
-        )
-    )
+TILE = 256
+"""Names of a text that are paired with as many others in one row."""
+
+
+def pair_rows(df: DataFrame, names: str, keep: list[str]) -> DataFrame:
+    """``keep`` and name1 < name2 for every pair of a sorted array, one row each.
+
+    The names are cut into tiles and pairs of tiles become rows of their own, so no row holds
+    more than 2 * TILE names of the pairs it makes, and a text with very many names never
+    has its pairs in one array.
+    """
+    tiles = lambda c: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(c) / TILE), F.lit(1)).cast("int") - 1)
+    tile = lambda c, i: F.slice(c, F.col(i) * TILE + 1, F.lit(TILE))
+    rows = df.where(F.size(names) >= 2).select(*keep, F.col(names).alias("_names"), F.explode(tiles(names)).alias("_i"))
+    rest = F.slice("_names", F.col("_i") * TILE + 1, F.size("_names"))
+    rows = rows.select(*keep, tile("_names", "_i").alias("_left"), rest.alias("_rest"))
+    rows = rows.select(*keep, "_left", "_rest", F.explode(tiles("_rest")).alias("_j"))
+    rows = rows.select(*keep, F.explode("_left").alias("name1"), tile("_rest", "_j").alias("_right"))
+    return rows.select(*keep, "name1", F.explode("_right").alias("name2")).where("name1 < name2")
 
 
 def co_mentions(docs: DataFrame, names: str = "politicians") -> DataFrame:
@@ -134,12 +142,8 @@ def co_mentions(docs: DataFrame, names: str = "politicians") -> DataFrame:
     Equal name sets are counted first, so copies of a text are folded before any
     pair is made and only distinct sets are expanded.
     """
-    sets = docs.where(F.size(names) >= 2).groupBy(names).agg(F.count("*").alias("n"))
-    return (
-        sets.select(F.explode(pairs_of(F.col(names))).alias("p"), "n")
-        .groupBy("p.name1", "p.name2")
-        .agg(F.sum("n").alias("n_docs"))
-    )
+    sets = docs.where(F.size(names) >= 2).groupBy(names).agg(F.count("*").alias("_n"))
+    return pair_rows(sets, names, ["_n"]).groupBy("name1", "name2").agg(F.sum("_n").alias("n_docs"))
 
 
 def mention_edges(articles: DataFrame, url: str = "url", names: str = "politicians") -> DataFrame:

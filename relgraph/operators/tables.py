@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relgraph.functions.roster import or_blank
 from relgraph.functions.scores import polarity_edge
-from relgraph.operators.mentions import pairs_of
+from relgraph.operators.mentions import pair_rows
 
 # What the statistics report lists.
 NODE_LABELS = ["Member", "Party", "Region", "School"]
@@ -144,9 +144,7 @@ def sentiment_edges(scored: DataFrame, existing: DataFrame | None = None, mode:
     folded = typed.groupBy("politicians", "type", "url").agg(
         F.count("*").alias("n"), F.max("ordinal").alias("ordinal")
     )
-    paired = folded.select(
-        F.explode(pairs_of(F.col("politicians"))).alias("p"), "type", "url", "n", "ordinal"
-    ).select("p.name1", "p.name2", "type", "url", "n", "ordinal")
+    paired = pair_rows(folded, "politicians", ["type", "url", "n", "ordinal"])
     if mode == "idempotent":
         paired = (
             paired.groupBy("name1", "name2", "type", "url")

@@ -14,7 +14,7 @@ from relgraph.operators.articles import dedupe_then_cap, usable_articles
 from relgraph.operators.pages import article_text
 from relgraph.plans.roster_graph import Graph
 from relgraph.session import cut
-from relgraph.sources.writers import folder_exists, save_articles, write_graph
+from relgraph.sources.writers import folder_exists, save_articles
 
 
 def collected(articles: DataFrame, cap: int, now: Column, sections: list[str] = ()) -> DataFrame:
@@ -78,18 +78,41 @@ def run(
     return scored
 
 
-def merge_graph(spark: SparkSession, new: Graph, path: str) -> None:
+GRAPH_BUCKETS = 256
+
+
+def merge_graph(spark: SparkSession, new: Graph, path: str, buckets: int = GRAPH_BUCKETS) -> None:
     """Add a run's graph to the stored one.
 
     Nodes merge by id and take the newer properties, edges by their ends and type; counts
-    add up, and the other properties are the newer ones.
+    add up, and the other properties are the newer ones. Nodes lie in folders by a hash of
+    their id, edges by type and a hash of their source. A run reads and replaces only the
+    folders that it has rows for, so adding a few articles costs the same however much is
+    stored. ``buckets`` has to be the same for all runs on one path.
     """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    nodes = cut(new.nodes.withColumn("bucket", at("node_id")), "new-nodes")
+    edges = cut(new.edges.withColumn("bucket", at("src")), "new-edges")
     if folder_exists(spark, f"{path}/nodes"):
-        old = Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select(*new.edges.columns))
-        new = merged(old, new)
+        # at most `buckets` numbers, and that for each type of edge
+        mine = [r[0] for r in nodes.select("bucket").distinct().collect()]
+        spots = [tuple(r) for r in edges.select("type", "bucket").distinct().collect()]
+        old_nodes = spark.read.parquet(f"{path}/nodes").where(F.col("bucket").isin(mine)).select(*nodes.columns)
+        stored = spark.read.parquet(f"{path}/edges")
+        touched = F.lit(False)
+        for kind in sorted({t for t, _ in spots}):
+            touched |= (F.col("type") == kind) & F.col("bucket").isin([b for t, b in spots if t == kind])
+        both = merged(Graph(old_nodes, stored.where(touched).select(*edges.columns)), Graph(nodes, edges))
         # staged first: the files that are read are the ones that are replaced
-        new = Graph(cut(new.nodes, "merged-nodes"), cut(new.edges, "merged-edges"))
-    write_graph(new.nodes, new.edges, path)
+        nodes = cut(both.nodes.withColumn("bucket", at("node_id")), "merged-nodes")
+        edges = cut(both.edges.withColumn("bucket", at("src")), "merged-edges")
+
+    def put(rows: DataFrame, place: str, by: list[str]) -> None:
+        writer = rows.repartition(*by).write.option("partitionOverwriteMode", "dynamic")
+        writer.mode("overwrite").partitionBy(*by).parquet(f"{path}/{place}")
+
+    put(nodes, "nodes", ["bucket"])
+    put(edges, "edges", ["type", "bucket"])
 
 
 def merged(old: Graph, new: Graph) -> Graph:
@@ -98,7 +121,7 @@ def merged(old: Graph, new: Graph) -> Graph:
     def both(a: DataFrame, b: DataFrame) -> DataFrame:
         return a.withColumn("_age", F.lit(0)).unionByName(b.withColumn("_age", F.lit(1)))
 
-    nodes = tables.latest_rows(both(old.nodes, new.nodes), ["node_id"], ["_age"]).select(*new.nodes.columns)
+    nodes = tables.latest_rows(both(old.nodes, new.nodes), ["node_id"], ["_age"]).drop("_age")
     keyed = both(old.edges, new.edges).groupBy("src", "dst", "type").agg(
         F.max_by("props", "_age").alias("props"), F.sum(F.col("props")["count"].cast("long")).alias("n")
     )
@@ -106,7 +129,7 @@ def merged(old: Graph, new: Graph) -> Graph:
     counted = F.when(F.col("n").isNull(), F.col("props")).otherwise(
         F.map_concat(rest, F.create_map(F.lit("count"), F.col("n").cast("string")))
     )
-    return Graph(nodes, keyed.withColumn("props", counted).select(*new.edges.columns))
+    return Graph(nodes, keyed.withColumn("props", counted).select("src", "dst", "type", "props"))
 
 
 def mention_graph(scored: DataFrame, mode: str = "literal") -> Graph:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from relgraph.session import cut
+
 HOT_SHARE = 200
 """A key is hot when it holds more than 1/HOT_SHARE of all rows.
 
@@ -86,31 +88,33 @@ def first_n_per_group(
     )
 
 
+RANGE_ROWS = 200_000
+"""Keys that are sorted and numbered together."""
+
+
 def serial_ids(
-    df: DataFrame, order: str, start: int | Column = 0, name: str = "id", buckets: int = 200
+    df: DataFrame, order: str, start: int | Column = 0, name: str = "id", range_rows: int = RANGE_ROWS
 ) -> DataFrame:
-    """Consecutive ids ``start+1, start+2, …`` in the order of a unique numeric column.
+    """Consecutive ids ``start+1, start+2, …`` in the order of a column; rows with equal values in any order.
 
-    The column is cut at its quantiles into ranges; rows are numbered inside their
-    range and shifted by the count of all earlier ranges. Only the cut points and
-    one count per range leave the executors, and both are bounded by ``buckets``.
+    A prefix sum in two levels over the column alone: its distinct values are cut into ranges
+    of about ``range_rows``, as many as their count asks for; a value's place is the sum of
+    all earlier ranges (one row each) and of those before it in its range. The rows themselves
+    meet their ids by a hash join, so what else they hold is neither sorted nor in the ranges.
     """
-    probs = ", ".join(str(i / buckets) for i in range(1, buckets))
-    cuts = df.agg(F.expr(f"percentile_approx(`{order}`, array({probs}))")).first()[0]
-    kind = df.schema[order].dataType.simpleString()
-    points = F.expr(f"array({', '.join(str(c) for c in sorted(set(cuts or [])))})").cast(f"array<{kind}>")
-    position = F.size(F.filter(points, lambda c: c < F.col(order)))
-    ranged = df.withColumn("_range", position)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # at most `buckets` rows: one unpartitioned window over them is cheap
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
+    key = F.col(order).alias("_key")
+    values = cut(df.groupBy(key).agg(F.count("*").alias("_n")), "values")
+    known = values.agg(F.count("*"), F.max("_n")).first()
+    ranges = max(1, -(-known[0] // range_rows))
+    ranged = cut(values.repartitionByRange(ranges, "_key").withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("_range").agg(F.sum("_n").alias("_m")).select(
+        "_range", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_shift")
     )
-    inside = Window.partitionBy("_range").orderBy(order)
+    inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    places = ranged.withColumn("_inside", before).join(shifts, "_range").select("_key", (F.col("_shift") + F.col("_inside")).alias("_before"))
     base = F.lit(start) if isinstance(start, int) else start
-    return (
-        ranged.join(F.broadcast(shifts), "_range")
-        .withColumn(name, base + F.col("_shift") + F.row_number().over(inside))
-        .drop("_range", "_shift")
-    )
+    met = df.join(places.hint("shuffle_hash"), F.col(order).eqNullSafe(F.col("_key")))
+    twin = F.lit(1) if (known[1] or 1) == 1 else F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return met.withColumn(name, base + F.col("_before") + twin).drop("_key", "_before")

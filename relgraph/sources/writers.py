@@ -83,10 +83,13 @@ def save_articles(spark: SparkSession, batch: DataFrame, path: str, now: datetim
     """Replace the articles stored within the last hour by this batch.
 
     Rows of one run share their insertion time, so the table is laid out as
-    ``base_date/run`` (run = insertion second) and the replace drops whole run
-    folders; no stored row is read or rewritten. Ids go on after the largest id ever
-    given: each run leaves its last one as a folder name below ``_last_ids``. The batch is written before older runs go, and a repeated run overwrites
-    its own folder, so a retry after a lost driver ends in the same table.
+    ``base_date/run`` (run = insertion second) and the replace leaves out whole run
+    folders; no stored row is read or rewritten. Which folders make up the table is said by a
+    list, ``_live/<run>``, that is put in place by one rename after the run is written: a reader
+    sees the table before the run or after it, nothing between. Folders that neither this
+    list nor the one before names are deleted, so a reader of the table before can still
+    finish. Ids go on after the largest id ever given: each run leaves its last one as
+    a folder name below ``_last_ids``. A repeated run overwrites its own folder and list.
     """
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -94,40 +97,71 @@ def save_articles(spark: SparkSession, batch: DataFrame, path: str, now: datetim
     now = now.astimezone(timezone.utc) if now.tzinfo else now.replace(tzinfo=timezone.utc)
     run = int(now.timestamp())
     day = now.strftime("%Y%m%d")
-    runs = _run_folders(fs, jvm, root)
+    before = [f for f in live_runs(spark, path) if _run_of(f) != run]
     marks = jvm.org.apache.hadoop.fs.Path(root, "_last_ids")
     given = [s.getPath().getName().split("-") for s in fs.listStatus(marks)] if fs.exists(marks) else []
     last = max((int(n) for r, n in given if int(r) != run), default=0)
-    own = f"{path}/base_date={day}/run={run}"
+    own = f"base_date={day}/run={run}"
     rows = article_rows(serial_ids(batch, order, start=last), "id").withColumn(
         "inserted_at", F.timestamp_seconds(F.lit(run))
     )
-    rows.write.mode("overwrite").parquet(own)
-    reached = spark.read.parquet(own).agg(F.max("id")).first()[0] or last
+    rows.write.mode("overwrite").parquet(f"{path}/{own}")
+    reached = spark.read.parquet(f"{path}/{own}").agg(F.max("id")).first()[0] or last
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(marks, f"{run}-{reached}"))
     floor = int((now - timedelta(hours=1)).timestamp())
-    for folder, r in runs:
-        if r >= floor and r != run:
+    live = [f for f in before if _run_of(f) < floor] + [own]
+    _put(fs, jvm, f"{path}/_live/{run}", "\n".join(live))
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "base_date=*/run=*")):
+        folder = status.getPath()
+        if f"{folder.getParent().getName()}/{folder.getName()}" not in {*live, *before}:
             fs.delete(folder, True)
 
 
+def _run_of(folder: str) -> int:
+    return int(folder.rsplit("=", 1)[1])
+
+
+def _put(fs, jvm, path: str, text: str) -> None:
+    """A small file that is there whole or not at all."""
+    target, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.part"))
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
+
+
+def live_runs(spark: SparkSession, path: str) -> list[str]:
+    """The run folders that make up the stored table, as the newest list says."""
+    jvm = spark.sparkContext._jvm
+    lists = jvm.org.apache.hadoop.fs.Path(path, "_live")
+    fs = lists.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(lists)] if fs.exists(lists) else []
+    newest = max((p for p in found if p.getName().isdigit()), key=lambda p: int(p.getName()), default=None)
+    if newest is None:
+        return []
+    source = fs.open(newest)
+    try:
+        return str(jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")).split("\n")
+    finally:
+        source.close()
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def _run_folders(fs, jvm, root) -> list[tuple]:
-    if not fs.exists(root):
-        return []
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "base_date=*/run=*"))
-    folders = [s.getPath() for s in found]
-    return [(p, int(p.getName().split("=")[1])) for p in folders]
+ARTICLES = (
+    "id long, title string, url string, press string, date string, politicians string, "
+    "sentiment_label string, sentiment_score double, content string, inserted_at timestamp, "
+    "base_date string, run long"
+)
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """The stored articles; a filter on ``base_date`` prunes folders."""
-    return spark.read.option("basePath", path).schema(
-        "id long, title string, url string, press string, date string, politicians string, "
-        "sentiment_label string, sentiment_score double, content string, inserted_at timestamp, "
-        "base_date string, run long"
-    ).parquet(path)
+    folders = [f"{path}/{f}" for f in live_runs(spark, path)]
+    if not folders:
+        return spark.createDataFrame([], ARTICLES)
+    return spark.read.option("basePath", path).schema(ARTICLES).parquet(*folders)

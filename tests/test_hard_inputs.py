@@ -85,6 +85,52 @@ def test_news_graphs_add_up(spark, tmp_path):
     assert [r["props"]["count"] for r in edges if "count" in r["props"]] == ["2"]
 
 
+def test_a_run_of_one_article_touches_only_its_folders(spark, tmp_path):
+    path = tmp_path / "g"
+    many = spark.range(400).select(
+        F.col("id").alias("ordinal"), F.concat(F.lit("u"), "id").alias("url"), F.lit("t").alias("title"), F.lit("p").alias("press"),
+        F.lit("d").alias("date"), F.array(F.concat(F.lit("a"), F.col("id") % 90), F.concat(F.lit("b"), F.col("id") % 70)).alias("politicians"),
+        F.lit("5 stars").alias("sentiment_label"), F.lit(0.5).alias("sentiment_score"), F.lit("c").alias("content"), F.lit("20260101").alias("base_date"),
+    )
+    news.merge_graph(spark, news.mention_graph(many), str(path), buckets=64)
+    files = lambda: {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    before = files()
+    rows = {t: spark.read.parquet(f"{path}/{t}").count() for t in ("nodes", "edges")}
+    news.merge_graph(spark, news.mention_graph(article(spark, ["new"])), str(path), buckets=64)
+    after = files()
+    changed = {f.parent for f in before.keys() ^ after.keys()} | {f.parent for f in before.keys() & after.keys() if before[f] != after[f]}
+    # three nodes, two mentions, one pair, one counted edge
+    assert 0 < len(changed) <= 7 and len({f.parent for f in before}) > 100
+    assert spark.read.parquet(f"{path}/nodes").count() == rows["nodes"] + 3
+    assert spark.read.parquet(f"{path}/edges").count() == rows["edges"] + 4
+
+
+def test_a_run_appears_at_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writers.save_articles(spark, article(spark, ["old"]), path, datetime(2026, 1, 1, 10), "ordinal")
+    writers.save_articles(spark, article(spark, ["mid"]), path, datetime(2026, 1, 1, 12), "ordinal")
+    reader = writers.read_articles(spark, path)
+    # a run that is written but not yet on the list isn't there
+    reader.write.mode("overwrite").parquet(f"{path}/base_date=20260101/run=1767272400")
+    assert [u for _, u in readers_sorted(spark, path)] == ["old", "mid"]
+    writers.save_articles(spark, article(spark, ["new"]), path, datetime(2026, 1, 1, 12, 30), "ordinal")
+    assert [u for _, u in readers_sorted(spark, path)] == ["old", "new"]
+    # who began to read before the run can finish
+    assert sorted(r["url"] for r in reader.collect()) == ["mid", "old"]
+
+
+def test_all_pairs_of_a_text_with_very_many_names(spark):
+    wide = spark.range(1).select(F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.format_string("n%05d", i))).alias("names"))
+    rows = mentions.pair_rows(wide, "names", [])
+    found = rows.agg(F.count("*"), F.min("name1"), F.max("name2"), F.countDistinct("name1")).first()
+    assert tuple(found) == (3000 * 2999 // 2, "n00001", "n03000", 2999)
+    for n in (0, 1, 2, 3, mentions.TILE, mentions.TILE + 1, 2 * mentions.TILE + 5):
+        names = [f"n{i:05d}" for i in range(n)]
+        df = spark.createDataFrame([(7, names)], "k int, names array<string>")
+        got = {(r["k"], r["name1"], r["name2"]) for r in mentions.pair_rows(df, "names", ["k"]).collect()}
+        assert got == {(7, a, b) for i, a in enumerate(names) for b in names[i + 1 :]}
+
+
 def test_a_page_fetched_twice_is_one_article(spark):
     one = spark.createDataFrame([("u", 1)], "url string, pos int")
     fetched = spark.createDataFrame([("u", "<p>a</p>"), ("u", "<p>b</p>")], "url string, html string")

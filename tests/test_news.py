@@ -112,8 +112,8 @@ def test_windows_of_a_text(spark):
 
 def test_serial_ids_and_first_n(spark):
     df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"))
-    for buckets in (2, 40):
-        rows = skew.serial_ids(df, "k", start=100, buckets=buckets).collect()
+    for range_rows in (100, 3000):
+        rows = skew.serial_ids(df, "k", start=100, range_rows=range_rows).collect()
         assert {(r.k, r.id) for r in rows} == {(k, 101 + k) for k in range(5000)}
     one = skew.serial_ids(df.where("k = 3"), "k").collect()
     assert [(r.k, r.id) for r in one] == [(3, 1)]
@@ -287,6 +287,26 @@ def test_saved_runs(spark, tmp_path):
     assert (row.politicians, row.base_date) == ("a,b,c", "20240501")
 
 
+def test_edge_counts_of_many_batches_are_folded(spark, tmp_path):
+    src, out = str(tmp_path / "many"), str(tmp_path / "counts")
+    rng = random.Random(8)
+    rows = [(i, f"u{i}", sorted(rng.sample("가나다라", rng.randint(2, 4))), rng.choice(["5 stars", "1 star", "3 stars"])) for i in range(70)]
+    shape = "ordinal long, url string, politicians array<string>, sentiment_label string"
+    want = sorted(map(str, tables.sentiment_edges(spark.createDataFrame(rows, shape)).select("name1", "name2", "type", "count", "via_article", "seq").collect()))
+    for i in range(7):
+        spark.createDataFrame(rows[10 * i : 10 * i + 10], shape).coalesce(1).write.mode("append").parquet(src)
+    read = lambda: spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(src)
+    runs.start_edge_counts(read(), out, str(tmp_path / "progress"), fold=2).awaitTermination()
+    counts = lambda: sorted(map(str, runs.edge_counts(spark, out).select("name1", "name2", "type", "count", "via_article", "seq").collect()))
+    assert counts() == want
+    base, after = runs.stored_counts(spark, out)
+    assert base is not None and base >= 3 and len(after) <= 3
+    assert len(list((tmp_path / "counts").glob("b*=*"))) <= 8
+    # the whole stream comes again, from its first batch on
+    runs.start_edge_counts(read(), out, str(tmp_path / "again"), fold=2).awaitTermination()
+    assert counts() == want
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     df = scored(spark)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from relgraph.functions import roster, scores
 from relgraph.operators import articles, mentions, scoring, tables
 from relgraph.plans import news
-from relgraph.session import scratch_path
+from relgraph.session import cut, scratch_path
 from relgraph.skew import spread
 from relgraph.sources import writers
 from relgraph.streaming import runs
@@ -337,7 +337,8 @@ def together_edges(spark, sf_dir):
       GROUP BY type"""
 )
 def mention_graph(spark, sf_dir):
-    graph = news.mention_graph(scored_table(spark, sf_dir))
+    # all parts of the graph read the scored rows, which are worked out once
+    graph = news.mention_graph(cut(scored_table(spark, sf_dir).drop("content"), "scored"))
     nodes = graph.nodes.groupBy(F.col("labels")[0].alias("name")).agg(F.count("*").alias("n"))
     edges = graph.edges.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))
     return nodes.select(F.lit("node").alias("kind"), "name", "n").unionByName(
@@ -357,11 +358,30 @@ def article_nodes(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH {BASE}, each AS (
+      SELECT name1, name2, type, pos % 2 AS run, count(*) AS n, arg_max(url, pos) AS via FROM feel WHERE type IS NOT NULL GROUP BY ALL)
+    SELECT 'Politician:' || name1 AS src, 'Politician:' || name2 AS dst, type, sum(n)::BIGINT AS count, arg_max(via, run) AS via_article
+    FROM each GROUP BY name1, name2, type"""
+)
+def merged_graph_edges(spark, sf_dir):
+    """Counted edges and their properties after two runs, one for each half of the articles."""
+    scored = cut(scored_table(spark, sf_dir).drop("content"), "scored")
+    path = scratch_path(spark, "merged-graph")
+    for half in (0, 1):
+        news.merge_graph(spark, news.mention_graph(scored.where(F.col("pos") % 2 == half)), path)
+    counted = spark.read.parquet(f"{path}/edges").where(F.col("props")["count"].isNotNull())
+    props = (F.col("props")["count"].cast("long").alias("count"), F.col("props")["via_article"].alias("via_article"))
+    return counted.select("src", "dst", "type", *props)
+
+
 @query(f"WITH {BASE} {LITERAL}")
 def stream_edge_counts(spark, sf_dir):
-    """The stream over the document files ends in the same edges as the batch."""
-    schema = table(spark, sf_dir, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    """The stream over the documents, six files in six micro-batches, ends in the same edges as the batch."""
+    source = table(spark, sf_dir, "documents")
+    files = scratch_path(spark, "document-files")
+    source.repartition(6).write.parquet(files)
+    docs = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(files)
     named = docs.select(
         F.col("doc_id").alias("ordinal"),
         F.md5("text").alias("url"),
@@ -370,7 +390,7 @@ def stream_edge_counts(spark, sf_dir):
     )
     scored = scoring.score_articles(named, positive=GOOD, negative=BAD)
     out = scratch_path(spark, "edge-counts")
-    runs.start_edge_counts(scored, out, scratch_path(spark, "edge-counts-progress")).awaitTermination()
+    runs.start_edge_counts(scored, out, scratch_path(spark, "edge-counts-progress"), fold=2).awaitTermination()
     return runs.edge_counts(spark, out)
 
 
@@ -421,7 +441,8 @@ WHERE lang = 'en'
 @query(f"WITH {BASE} {STORED}")
 def stored_articles(spark, sf_dir):
     """Three runs at 10:00, 11:30 and 12:00: the last one replaces the second."""
-    scored = scored_table(spark, sf_dir)
+    # three sinks read the scored rows, which are worked out once
+    scored = cut(scored_table(spark, sf_dir), "scored")
     path = scratch_path(spark, "articles")
     writers.save_articles(spark, scored, path, NOW.replace(hour=10), "ordinal")
     writers.save_articles(spark, scored, path, NOW.replace(hour=11, minute=30), "ordinal")
