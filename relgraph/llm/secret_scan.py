@@ -1,9 +1,16 @@
-"""Secret scans: known patterns, and a battery of randomness tests with false-discovery control."""
+"""Secret scans: known patterns, and a battery of randomness tests with false-discovery control.
+
+Two hypotheses are tested with one battery (letter frequencies, runs, neighbouring letters):
+that a word is random over its inferred alphabet, and that it is text as the corpus writes it.
+The text hypothesis is measured on all words of the corpus: how often each letter follows
+each other. A word is a secret if being text is a discovery against, and being random isn't rejected.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,19 +34,81 @@ ENCODINGS = (
     ("decimal", "^[0-9]+$", _DIGITS),
     ("hex", "^[0-9a-f]+$", _DIGITS + "abcdef"),
     ("hex_upper", "^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    ("lower", "^[a-z]+$", _UPPER.lower()),
+    ("upper", "^[A-Z]+$", _UPPER),
     ("base32", "^[A-Z2-7]+$", _UPPER + "234567"),
+    ("base36", "^[a-z0-9]+$", _DIGITS + _UPPER.lower()),
+    ("base36_upper", "^[A-Z0-9]+$", _DIGITS + _UPPER),
     ("base62", "^[A-Za-z0-9]+$", _DIGITS + _UPPER + _UPPER.lower()),
     ("base64", "^[A-Za-z0-9+/]+$", _UPPER + _UPPER.lower() + _DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", _UPPER + _UPPER.lower() + _DIGITS + "-_"),
     ("mixed", "", _UPPER + _UPPER.lower() + _DIGITS + "+/-_"),
 )
 
-#: Character classes of ordinary text, for the null hypothesis of the discoveries.
-TEXT_CLASSES = (("[a-z]", 0.93), ("[A-Z]", 0.05), ("[0-9]", 0.01), ("[^a-zA-Z0-9]", 0.01))
-
 _BINS = 300
 
 
+#: What a corpus too small to measure is taken to be like: shares of the kinds of letters, as
+#: many pairs as are mixed into every corpus.
+PRIOR = ((0.01, 10), (0.05, 26), (0.93, 26), (0.01, 4))
+PRIOR_PAIRS = 2000
+
+_LETTERS = ENCODINGS[-1][2]
+_PAIR = r"(?=([A-Za-z0-9+/_-]{2}))"
+
+
+@dataclass(frozen=True)
+class TextModel:
+    """How surprising letters and pairs of letters are in the words of a corpus, in bits.
+
+    ``letter`` and ``pair`` (by first, then second letter) hold the surprises, ``*_mean`` and
+    ``*_spread`` what they are on average and how they vary; ``turn`` is the share of pairs whose
+    letters are of two kinds (digit, upper, lower, sign).
+    """
+
+    letter: list[float]
+    pair: list[float]
+    letter_mean: float
+    letter_spread: float
+    pair_mean: float
+    pair_spread: float
+    turn: float
+
+
+def _kind(c: str) -> int:
+    return 0 if c in _DIGITS else 1 if c in _UPPER else 2 if c.isalpha() else 3
+
+
+def text_model(docs: DataFrame) -> TextModel:
+    """The model of all words of all texts that are too short to be tested; docs: text.
+
+    At most one row for each pair of letters reaches the driver.
+    """
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), CANDIDATE, " ")
+    pairs = docs.select(F.explode(F.regexp_extract_all(words, F.lit(_PAIR), F.lit(1))).alias("p"))
+    counts = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    prior = {c: PRIOR[_kind(c)][0] / PRIOR[_kind(c)][1] for c in _LETTERS}
+    joint = {(a, b): counts.get(a + b, 0) + PRIOR_PAIRS * prior[a] * prior[b] for a in _LETTERS for b in _LETTERS}
+    total = sum(joint.values())
+    first = {a: sum(joint[a, b] for b in _LETTERS) for a in _LETTERS}
+    letter = [-math.log2(first[a] / total) for a in _LETTERS]
+    pair = [-math.log2(joint[a, b] / first[a]) for a in _LETTERS for b in _LETTERS]
+
+    def moments(surprise: list[float], weight: list[float]) -> tuple[float, float]:
+        mean = sum(x * w for x, w in zip(surprise, weight)) / total
+        return mean, math.sqrt(sum((x - mean) ** 2 * w for x, w in zip(surprise, weight)) / total + 1e-9)
+
+    turned = sum(n for (a, b), n in joint.items() if _kind(a) != _kind(b)) / total
+    return TextModel(
+        letter, pair, *moments(letter, [first[a] for a in _LETTERS]), *moments(pair, [joint[a, b] for a in _LETTERS for b in _LETTERS]), turned
+    )
+
+
+def _table(values: list[float]) -> Column:
+    """An array of constants; from one text, which is folded to a constant once."""
+    return F.split(F.lit(",".join(f"{v:.6f}" for v in values)), ",").cast("array<double>")
+
+
 def _tail(z: Column) -> Column:
     """1 - Phi(z), by a rational approximation with an error below 1e-7."""
     x = F.abs(z) / math.sqrt(2)
@@ -76,14 +145,16 @@ def spans(text: Column, pattern: str, value: Callable[[Column], Column]) -> Colu
     return F.when(text.rlike(pattern), native.let(parts, of)).otherwise(none)
 
 
-def battery(word: Column) -> Column:
-    """Tests of one word: stratum (of its length), text_bin and whether it may be random.
+def battery(word: Column, model: TextModel) -> Column:
+    """Tests of one word: stratum (of its length), text_bin and random_p.
 
     The encoding is the narrowest whose alphabet holds the word. Against the hypothesis that
     it is random over that alphabet stand a chi-squared test of uniform counts, a runs test of
-    low and high values, and the serial correlation of neighbours; with Bonferroni's
-    correction. ``text_bin`` is the p-value, in tenths of a decade, of the hypothesis that the
-    word's classes of characters are those of ordinary text.
+    low and high values, and the serial correlation of neighbours; ``random_p`` is their
+    p-value with Bonferroni's correction. Against the hypothesis that it is text stand the same three
+    things as ``model`` has measured them: how rare its letters are, how often it turns
+    from one kind of letter to another, and how rarely its letters follow each other.
+    ``text_bin`` is their p-value, corrected likewise, in tenths of a decade.
     """
     bare = F.rtrim(F.regexp_replace(word, "=+$", ""))
     alphabet = F.lit(ENCODINGS[-1][2])
@@ -131,12 +202,29 @@ def battery(word: Column) -> Column:
         paired = native.let(indexed, lambda v: native.let(
             F.struct(v.alias("v"), (F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / n).alias("mean")), of_values))
         random_p = F.least(F.lit(1.0), 3 * F.least(_tail(chi), paired))
-        surprise = [(-math.log(p), p, c) for c, p in TEXT_CLASSES]
-        mean = sum(p * s for s, p, _ in surprise)
-        spread = math.sqrt(sum(p * s * s for s, p, _ in surprise) - mean * mean)
-        of_class = lambda k: F.size(F.filter(chars, lambda c: c.rlike(k)))
-        total = sum((F.lit(s) * of_class(k) for s, _, k in surprise), F.lit(0.0))
-        text_p = F.greatest(_tail((total - n * mean) / (F.sqrt(n) * spread)), F.lit(10.0 ** (-_BINS / 10)))
+        letters, pairs = _table(model.letter), _table(model.pair)
+        kinds = F.lit("".join(str(_kind(c)) for c in _LETTERS))
+        coded = F.transform(chars, lambda c: F.call_function("instr", F.lit(_LETTERS), c) - 1)
+        none = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("rare"), F.lit(0.0).alias("unlikely"), F.lit(0.0).alias("turns"))
+
+        def see(acc: Column, v: Column) -> Column:
+            begun = acc["last"] >= 0
+            kind = lambda at: F.call_function("substring", kinds, at + 1, F.lit(1))
+            return F.struct(
+                v.alias("last"),
+                (acc["rare"] + F.get(letters, v)).alias("rare"),
+                (acc["unlikely"] + F.when(begun, F.get(pairs, acc["last"] * len(_LETTERS) + v)).otherwise(0.0)).alias("unlikely"),
+                (acc["turns"] + (begun & (kind(v) != kind(acc["last"]))).cast("double")).alias("turns"),
+            )
+
+        def as_text(acc: Column) -> Column:
+            rare = (acc["rare"] - n * model.letter_mean) / (F.sqrt(n) * model.letter_spread)
+            unlikely = (acc["unlikely"] - (n - 1) * model.pair_mean) / (F.sqrt(n - 1) * model.pair_spread)
+            spread = F.sqrt((n - 1) * model.turn * (1 - model.turn) + 0.25)
+            turns = (acc["turns"] - 0.5 - (n - 1) * model.turn) / spread
+            return F.least(F.lit(1.0), 3 * _tail(F.greatest(rare, unlikely, turns)))
+
+        text_p = F.greatest(F.aggregate(coded, none, see, as_text), F.lit(10.0 ** (-_BINS / 10)))
         return F.struct(
             F.floor(2 * F.log2(n)).cast("int").alias("stratum"),
             F.floor(-10 * F.log10(text_p) + 1e-9).cast("int").alias("text_bin"),
@@ -164,7 +252,7 @@ def thresholds(tested: DataFrame, rate: float) -> DataFrame:
     return met.groupBy("stratum").agg(F.min("text_bin").alias("least"))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, model: TextModel) -> DataFrame:
     """doc_id, base spans and tested words of every whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kind = lambda found, k: F.transform(
@@ -177,7 +265,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     itself = lambda m: m
     tested = F.transform(
         spans(text, CANDIDATE, itself),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["value"]).alias("test")),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["value"], model).alias("test")),
     )
     base = F.concat(kind(assigned, 0), kind(spans(text, ACCESS, itself), 1), kind(spans(text, HEX, itself), 2))
     return docs.select("doc_id", F.sort_array(base).alias("base"), tested.alias("tested"))
@@ -193,13 +281,13 @@ def _listed(found: Column) -> Column:
 def secret_scan(docs: DataFrame, alpha: float = 0.001, rate: float = 0.01) -> DataFrame:
     """Secrets in every whole text: counts of the base kinds, and all spans.
 
-    A tested word is a further secret ("random") if its text_bin is a discovery at the false
-    discovery rate ``rate`` within its stratum of length, randomness is not rejected at
+    A tested word is a further secret ("random") if its text_bin is a discovery, against its being
+    text, at the false discovery rate ``rate`` within its stratum of length, randomness is not rejected at
     ``alpha``, and no base span overlaps it. docs: doc_id, text; other columns are not read.
     A null text counts as empty and has no spans; repeated rows each get a row; an empty
     table gives no rows.
     """
-    rows = native.staged(scanned(docs))
+    rows = native.staged(scanned(docs, text_model(docs)))
     tests = rows.select(F.explode("tested.test").alias("t")).select("t.stratum", "t.text_bin")
     # some 40 strata at most: twice the logarithm of a text's length
     least = {r["stratum"]: r["least"] for r in thresholds(tests, rate).collect()}

@@ -49,7 +49,7 @@ def tokenizer(ranks: str) -> tiktoken.Encoding:
 class _Words(dict):
     """Ids of words, as two bytes each, behind a fixed beginning; the first KNOWN short ones are remembered."""
 
-    KNOWN, LONGEST = 400_000, 48
+    KNOWN, LONGEST = 800_000, 48
 
     def __init__(self, encode, before: str):
         super().__init__()

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -93,6 +95,73 @@ def test_random_tokens_are_told_from_words(spark):
     assert sum(rows[i] for i in range(200, 400)) <= 2
 
 
+def plain_model(texts):
+    """Counts of letter pairs in words too short to be tested, with the prior, by plain loops."""
+    letters = secret_scan._LETTERS
+    share = {c: secret_scan.PRIOR[secret_scan._kind(c)][0] / secret_scan.PRIOR[secret_scan._kind(c)][1] for c in letters}
+    joint = {(a, b): secret_scan.PRIOR_PAIRS * share[a] * share[b] for a in letters for b in letters}
+    for t in texts:
+        for word in re.findall("[A-Za-z0-9+/_-]+", re.sub(secret_scan.CANDIDATE, " ", t or "")):
+            for a, b in zip(word, word[1:]):
+                joint[a, b] += 1
+    return letters, joint
+
+
+def plain_text_bin(word, letters, joint):
+    """The battery against the text hypothesis, with the library's normal tail."""
+    total = sum(joint.values())
+    first = {a: sum(joint[a, b] for b in letters) for a in letters}
+    one = {a: -math.log2(first[a] / total) for a in letters}
+    two = {p: -math.log2(n / first[p[0]]) for p, n in joint.items()}
+
+    def z(sum_, n, surprise, weight):
+        mean = sum(surprise[k] * weight[k] for k in surprise) / total
+        spread = math.sqrt(sum((surprise[k] - mean) ** 2 * weight[k] for k in surprise) / total)
+        return (sum_ - n * mean) / (math.sqrt(n) * spread)
+
+    n = len(word)
+    turn = sum(c for (a, b), c in joint.items() if secret_scan._kind(a) != secret_scan._kind(b)) / total
+    turns = sum(secret_scan._kind(a) != secret_scan._kind(b) for a, b in zip(word, word[1:]))
+    top = max(
+        z(sum(one[c] for c in word), n, one, first),
+        z(sum(two[p] for p in zip(word, word[1:])), n - 1, two, joint),
+        (turns - 0.5 - (n - 1) * turn) / math.sqrt((n - 1) * turn * (1 - turn) + 0.25),
+    )
+    p = min(1.0, 3 * 0.5 * math.erfc(top / math.sqrt(2)))
+    return -10 * math.log10(max(p, 1e-30))
+
+
+def test_battery_against_text_equals_plain_python(spark):
+    rng = random.Random(7)
+    texts = [prose(rng, 400) for _ in range(20)] + ["Some CAPS and 12 34 a/b x_y token9"]
+    model = secret_scan.text_model(docs_of(spark, texts))
+    letters, joint = plain_model(texts)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(20, 60))) for _ in range(40)]
+    words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(20)]
+    words += ["".join(rng.choice(["ta", "re", "lo", "shi", "tion", "ing", "st"]) for _ in range(12)) for _ in range(40)]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", secret_scan.battery(F.col("w"), model).alias("t"))
+    for r in df.collect():
+        want = plain_text_bin(r.w, letters, joint)
+        # the approximated tail is off by less than 1e-7, so far tails differ a little
+        assert abs(r.t.text_bin - want) <= (1.1 if want < 60 else 0.03 * want + 1.1), (r.w, r.t.text_bin, want)
+
+
+def test_tokens_of_every_encoding_are_told_from_words(spark):
+    rng = random.Random(8)
+    kinds = {
+        "lower": ("abcdefghijklmnopqrstuvwxyz", 40), "lower and digits": ("abcdefghijklmnopqrstuvwxyz0123456789", 40), "hex": ("0123456789abcdef", 24),
+        "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40),
+        "base62 of 24": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 24),
+    }
+    tokens = [(k, "".join(rng.choice(a) for _ in range(n))) for k, (a, n) in kinds.items() for _ in range(100)]
+    long_words = ["".join(prose(rng, 6).replace("\n", "").split(" "))[:40] for _ in range(300)]
+    texts = [f"{prose(rng, 60)} {t} {prose(rng, 20)}" for _, t in tokens] + [f"{prose(rng, 60)} {w} {prose(rng, 20)}" for w in long_words]
+    rows = {r.doc_id: r for r in secret_scan.secret_scan(docs_of(spark, texts)).collect()}
+    found = Counter(k for i, (k, t) in enumerate(tokens) if f"random:{texts[i].index(t)}:{texts[i].index(t) + len(t)}" in rows[i].spans.split(","))
+    assert all(found[k] >= 95 for k in kinds), found
+    assert sum(rows[i].n_random for i in range(len(tokens), len(texts))) <= 3
+
+
 def test_tokens_after_an_equals_sign(spark):
     rng = random.Random(5)
     forms = ["AWS_SECRET_ACCESS_KEY={}", "key={}", "https://files.example.org/a?sig={}", 'key="{}"', "A=b=={}", "key={}=="]
