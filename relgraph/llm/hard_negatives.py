@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from relgraph.session import cut
@@ -116,7 +117,7 @@ def tiled(rows: DataFrame, trees: int) -> DataFrame:
     sample = sized.where(draw < SAMPLE / max(n, 1)).orderBy("vec_id").toArrow()
     cuts: dict[int, Slabs | int] = {}
     for dims in set(sample.column("dims").to_pylist()):
-        x = _with_label(sample.filter(pa.compute.equal(sample.column("dims"), dims)), dims)
+        x = _with_label(sample.filter(pc.equal(sample.column("dims"), dims)), dims)
         columns = [0, *(1 + np.argsort(-x[:, 1:].var(axis=0), kind="stable")).tolist()]
         cuts[dims] = _slabs(x, max(1, min(trees, len(x) // 16)), columns, [0])
 
@@ -301,7 +302,7 @@ def _blocks(tree_rows: pa.Table, anchors: pa.Table):
         return
     tree = Tree(tree_rows.slice(0, 1).to_pylist()[0])
     dims = tree.x.shape[1]
-    anchors = anchors.filter(pa.compute.equal(pa.compute.list_value_length(anchors.column("embedding")), dims))
+    anchors = anchors.filter(pc.equal(pc.list_value_length(anchors.column("embedding")), dims))
     anchors = anchors.sort_by([("anchor_label", "ascending"), ("anchor_id", "ascending")])
     for i in range(0, anchors.num_rows, _BLOCK):
         block = anchors.slice(i, _BLOCK)
@@ -337,7 +338,7 @@ def _negatives(trees: pa.Table, anchors: pa.Table) -> pa.Table:
     found = []
     for tree, block, q, ids, labels, hashes in _blocks(trees, anchors):
         lists = block.column("positive_scores").combine_chunks()
-        owner = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        owner = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         slot = np.concatenate([np.arange(n) for n in np.bincount(owner, minlength=len(ids))])
         cap = lists.flatten().to_numpy(zero_copy_only=False)
         wanted = Wanted(owner, np.ceil(80 * cap / 100), cap, False)
