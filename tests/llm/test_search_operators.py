@@ -75,6 +75,19 @@ def test_hard_negatives_of_little_or_nothing(spark):
     assert found_in(spark, [(0, [1.0], 1), (1, [-0.5], 2), (2, [-0.5], 3)]) == []
 
 
+def test_hard_negatives_of_large_components_are_exact(spark):
+    rng = random.Random(4)
+    # products beyond 2**53, where doubles are rounded, of vectors that differ little
+    centre = [rng.uniform(1e6, 2e6) for _ in range(6)]
+    rows = [(i, [float(np.float32(x + rng.uniform(-2, 2))) for x in centre], rng.randrange(3)) for i in range(400)]
+    want = mined(rows)
+    assert min(r[4] for r in want) > 2**53
+    assert found_in(spark, rows) == want and found_in(spark, rows, tree_rows=70) == want
+    # a component of any finite size takes part
+    huge = [(0, [1.0, 0.0], 1), (1, [0.5, 1e18], 2), (2, [0.45, -1e30], 3), (3, [0.1, 1e30], 3)]
+    assert found_in(spark, huge) == [(0, 1, 1, 2, 32768, 29440)]
+
+
 def test_boxes_hold_the_products_and_prune():
     rng = np.random.default_rng(1)
     x = np.floor(256 * (rng.normal(size=(40, 1, 8)) + 0.02 * rng.normal(size=(40, 50, 8)))).reshape(-1, 8)
