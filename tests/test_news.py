@@ -335,3 +335,12 @@ def test_stream_replace(spark, tmp_path):
     runs.start_article_replace(stream, out, str(tmp_path / "ck"), "ordinal", clock).awaitTermination(120)
     rows = writers.read_articles(spark, out).collect()
     assert len(rows) == 5 and {r.inserted_at.minute for r in rows} == {10}
+
+
+def test_stream_reads_a_table_of_one_file_and_of_many(spark, tmp_path):
+    from workload import QUERIES
+
+    of_file = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{of_file}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want, got = (sorted(tuple(r) for r in QUERIES["stream_article_replace"](spark, d).collect()) for d in (of_file, str(tmp_path)))
+    assert got == want and len(want) == 200

@@ -456,7 +456,8 @@ def stored_articles(spark, sf_dir):
 )
 def stream_article_replace(spark, sf_dir):
     source = table(spark, sf_dir, "documents")
-    docs = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # as a pattern the name fits a table that is one file and one that is a folder of files
+    docs = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/documents.parque[t]")
     named = docs.select(
         F.col("doc_id").alias("ordinal"),
         F.md5("text").alias("url"),
