@@ -308,3 +308,22 @@ def test_upsert_and_violations(spark):
     rows = {r.key: (r.v, r.w) for r in tables.upsert(old, new, ["key"], "ordinal").collect()}
     assert rows == {"k": ("n2", None), "m": ("old", "y")}
     assert [(r.key, r.n) for r in tables.key_violations(new, ["key"]).collect()] == [("k", 2)]
+
+
+def test_relations_of_many_chosen_people_equal_plain_loops(spark, monkeypatch):
+    rows = [(i, f"P{i // 2}", f"S{i % 3}" if i % 5 else "", f"B{i % 4}", [f"P{i // 3}", f"P{i // 2 + 1}", f"P{i // 3}"]) for i in range(60)]
+    people = spark.createDataFrame(rows, "pos long, name string, school string, birthplace string, family array<string>")
+    chosen = people.where("pos % 2 = 0")
+    want = sorted(
+        (a[0], b[0], kind, a[1], b[1], text)
+        for a in rows if a[0] % 2 == 0 for b in rows if a[0] != b[0]
+        for kind, text in [
+            *([("학연", a[2] + " 동문")] if a[2] == b[2] != "" else []), *([("지연", a[3] + " 출신")] if a[3] == b[3] else []),
+            *([("혈연", "가족")] if b[1] in a[4] else []),
+        ]
+    )
+    monkeypatch.setattr(relations, "BLOCK", 4)
+    for most in (0, 100):
+        monkeypatch.setattr(relations, "BROADCAST_STARTS", most)
+        found = relations.relations_from(people, chosen)
+        assert sorted((r.source_pos, r.target_pos, r.type, r.source, r.target, r.desc) for r in found.collect()) == want
