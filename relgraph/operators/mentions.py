@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relgraph.functions.roster import present
@@ -21,25 +21,34 @@ def name_dictionary(roster: DataFrame, column: str = "name") -> DataFrame:
     return roster.where(present(F.col(column))).select(F.col(column).alias("name")).distinct()
 
 
+SLICE = 64
+"""Texts that are Python strings at a time."""
+
+
 def names_contained(text: Column, names: list[str]) -> Column:
     """Sorted array of the names that occur in the text; overlapping names all count.
 
-    One automaton of all names passes over each text once, however many they are.
+    One automaton of all names passes over each text once, however many they are. A task holds
+    one Arrow batch, whose bytes are bounded, and SLICE of its texts as strings.
     """
     context = SparkSession.active().sparkContext
     sent = context.broadcast(sorted({n for n in names if n}))
 
-    @F.pandas_udf("array<string>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = ahocorasick.Automaton()
         for name in sent.value:
             automaton.add_word(name, name)
         automaton.make_automaton()
         for batch in batches:
             if not sent.value:
-                yield pd.Series([[] for _ in batch], index=batch.index)
-            else:
-                yield pd.Series([sorted({n for _, n in automaton.iter(t)}) if t else [] for t in batch], index=batch.index)
+                yield pa.array([[]] * len(batch), pa.list_(pa.string()))
+                continue
+            rows = []
+            for at in range(0, len(batch), SLICE):
+                texts = batch.slice(at, SLICE).to_pylist()
+                rows.append(pa.array([sorted({n for _, n in automaton.iter(t)}) if t else [] for t in texts], pa.list_(pa.string())))
+            yield pa.concat_arrays(rows) if rows else pa.array([], pa.list_(pa.string()))
 
     return found(text)
 

@@ -344,3 +344,13 @@ def test_stream_reads_a_table_of_one_file_and_of_many(spark, tmp_path):
     spark.read.parquet(f"{of_file}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     want, got = (sorted(tuple(r) for r in QUERIES["stream_article_replace"](spark, d).collect()) for d in (of_file, str(tmp_path)))
     assert got == want and len(want) == 200
+
+
+def test_names_of_more_texts_than_one_slice(spark):
+    n = 5 * mentions.SLICE + 7
+    texts = [(i, None if i % 11 == 0 else f"x{i} {'김민석' if i % 3 == 0 else ''} a{i % 5}") for i in range(n)]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(2)
+    names = ["김민석", "김민", "a3", "x1"]
+    got = {r.id: r.n for r in docs.select("id", mentions.names_contained(F.col("text"), names).alias("n")).collect()}
+    assert got == {i: sorted(x for x in names if x in (t or "")) for i, t in texts}
+    assert {tuple(r.n) for r in docs.select(mentions.names_contained(F.col("text"), []).alias("n")).collect()} == {()}
