@@ -9,6 +9,7 @@ from relgraph.functions.roster import or_blank, present
 from relgraph.operators.pages import (
     DOCUMENT,
     STRINGS,
+    around,
     at,
     attr,
     below,
@@ -149,10 +150,10 @@ def photo_cards(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """``(page, index, name, party, photo_url, photo_filename)`` of each card, 0-based index."""
     mine = F.col("tag").isin("a", "img", "span", "i", "div", "li", STRINGS) | own(step(cls="nassem_result_ul"))
     parts = with_text(elements.where(mine), F.col("tag").isin("span", "i"), key, others=True)
-    parts = below(at(parts, CARD, "is_card", key), CARD, "in_card", key)
+    parts = around(at(parts, CARD, "is_card", key), "is_card", "in_card", key)
     parts = outermost(parts, step("a", cls="nassem_reslut_pic"), "anchor", key)
-    parts = at(parts, inside(CARD, directly(step("div"), step("img"))), "is_photo", key)
-    parts = below(parts, inside(CARD, step("span")), "in_span", key)
+    parts = at(parts, directly(step("div"), step("img")), "is_photo", key, above="is_card")
+    parts = around(at(parts, step("span"), "is_span", key, above="is_card"), "is_span", "in_span", key)
     # the card itself opens its group; its parts follow
     card = F.when(F.col("is_card"), F.col("seq")).when(F.col("in_card"), F.col("anchor"))
     owned = parts.withColumn("card", card).where(F.col("card").isNotNull())

@@ -12,7 +12,7 @@ from relgraph.functions import web
 from relgraph.operators import pages as pg, profiles
 from relgraph.operators.pages import step
 from relgraph.session import cut
-from relgraph.skew import spread
+from relgraph.skew import TASK_ROWS, by_key, spread
 from workload.base import page_text_sql, query, table
 
 PREFIX = "https://members.example.org/22nd/"
@@ -205,6 +205,10 @@ m AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal, n_name, c_custkey // 20
 """
 
 
+MEMBER_ELEMENTS = 20
+"""Elements of a member on a list page that are kept, at most about."""
+
+
 def html(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -232,8 +236,8 @@ def list_pages(spark, sf_dir) -> DataFrame:
 
     # twenty customers per page; a given number of partitions is not put together again, and
     # parsing, the heavy part, follows in the same tasks
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = people.withColumn("page_id", F.floor(key / 20) + 1).repartition(tasks, "page_id")
+    rows = max(MEMBER_ELEMENTS * table(spark, sf_dir, "customer").count(), TASK_ROWS * spark.sparkContext.defaultParallelism)
+    placed = by_key(people.withColumn("page_id", F.floor(key / 20) + 1), "page_id", rows)
     pages = placed.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct(key, card.alias("card"), row.alias("row")))).alias("parts")
     )
@@ -246,8 +250,12 @@ def list_pages(spark, sf_dir) -> DataFrame:
     )
 
 
+def _by_page(spark, sf_dir, elements: DataFrame) -> DataFrame:
+    return by_key(elements, "page_id", MEMBER_ELEMENTS * table(spark, sf_dir, "customer").count())
+
+
 def _list_elements(spark, sf_dir, tags) -> DataFrame:
-    return pg.html_elements(list_pages(spark, sf_dir), set(tags))
+    return _by_page(spark, sf_dir, pg.html_elements(list_pages(spark, sf_dir), set(tags)))
 
 
 @query(
@@ -284,7 +292,8 @@ ASSEMBLED_COLUMNS = [
 
 def _assembled(spark, sf_dir) -> DataFrame:
     # cards and list rows come from one parse
-    elements = cut(_list_elements(spark, sf_dir, profiles.LIST_TAGS | profiles.CARD_TAGS))
+    parsed = pg.html_elements(list_pages(spark, sf_dir), profiles.LIST_TAGS | profiles.CARD_TAGS)
+    elements = _by_page(spark, sf_dir, cut(parsed))
     return profiles.cards_with_list(
         profiles.photo_cards(elements),
         profiles.member_list(elements, PREFIX, by_anchor=True),
