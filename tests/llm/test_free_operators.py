@@ -371,3 +371,22 @@ def test_edges_of_joins(spark):
     by_id = {r.doc_id: r for r in ngram_join.jaccard_components(docs).collect()}
     assert by_id[5].component_id == by_id[6].component_id == 5 and by_id[None].component_id is None
     assert all(by_id[i].n_shingles == 0 and by_id[i].component_id == i for i in (0, 1, 2))
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    k = len(quality_rank.FEATURES)
+    rows = [(i, int(i % 5 > 0), rng.normal(i % 5 > 0, 1, k).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, quality int, x array<double>").repartition(3)
+    # every document stands in a pair: the good are four times the bad, and all of them are in the sums
+    gaps = quality_rank._pairs(df, np.zeros(k), np.ones(k), 2).collect()
+    x, label = np.clip([r[2] for r in rows], -8, 8), np.array([r[1] for r in rows])
+    near = {tuple(np.round(g - b, 6)) for g in x[label == 1] for b in x[label == 0]}
+    assert len(gaps) == 720 and {tuple(np.round(g[0], 6)) for g in gaps} <= near
+    monkeypatch.setattr(quality_rank, "RANGE_ROWS", 100)
+    found = quality_rank.rank(df)
+    assert np.allclose(found.mean, np.mean([r[2] for r in rows], 0)) and np.allclose(found.spread, np.std([r[2] for r in rows], 0), atol=1e-5)
+    raw = found.raw(np.array([r[2] for r in rows]))
+    wrong = lambda cut: (raw[label == 1] < cut).sum() + (raw[label == 0] > cut).sum()
+    ordered = np.sort(raw)
+    assert wrong(found.cut) == min(wrong(c) for c in (ordered[1:] + ordered[:-1]) / 2)
