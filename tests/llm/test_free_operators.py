@@ -241,6 +241,24 @@ def test_mixed_rows_keep_their_own_columns(spark):
     assert set(each) <= set("kmn") and max(each.values()) - min([each[x] for x in "kmn"]) <= 1
 
 
+def test_texts_of_a_batch_look_a_word_up_once():
+    odd = ["", " a", "a ", "a\nb", "a\n b", "x  y", "it's the dogs' 'tis don't'", "a.b.c,d!? $$$", "na\u00efve fa\u00e7ade's\u2014x 42 a1b2 \u00c9.\n\u00c0!!", "\u65e5\u672c\u8a9e x", "a\u00a0b", "\nb", "b\n", "a'll x's.' y", "x\ty", "\u02b0a \u2167 \u00d7 cafe\u0301 \ud7cbx"]
+    texts = odd + ["the same words. again and again,\nthe same words"] * 300
+    ids, whole = token_shards.TextIds(token_shards.RANKS), token_shards.tokenizer(token_shards.RANKS)
+    asked = []
+
+    class Counting(token_shards._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    ids.behind_blank = Counting(whole, " ")
+    found = list(ids.of_texts(texts))
+    assert [np.frombuffer(x, "<u2").tolist() for x in found] == [whole.encode_ordinary(t) for t in texts]
+    assert len(asked) < 100
+    assert list(ids.of_texts(["a \ud800 b", "c"])) == [ids("a \ud800 b"), ids("c")]
+
+
 def line_sets(texts):
     order = [(d, i, x) for d, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
     names = list(dict.fromkeys(x for _, _, x in order))
