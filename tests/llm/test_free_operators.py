@@ -325,6 +325,25 @@ def test_pairs_of_large_buckets_leave_out_what_cannot_be_alike(spark):
     assert found == alike
 
 
+def test_arrow_batches_are_small_inside_and_as_before_outside(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), native.arrow_rows(spark, 100):
+        assert spark.conf.get(name) == "100"
+        raise ValueError
+    assert spark.conf.get(name) == before
+    plain, most = ngram_join._sizes_and_keys, ngram_join._COMBINE
+
+    def checked(batches):
+        for batch in batches:
+            assert batch.num_rows <= most
+            yield from plain(iter([batch]))
+
+    monkeypatch.setattr(ngram_join, "_sizes_and_keys", checked)
+    docs = docs_of(spark, [f"some words of text number {i}" for i in range(3000)]).withColumnRenamed("doc_id", "doc").coalesce(1)
+    assert ngram_join.links(docs)[0].count() == 3000 and spark.conf.get(name) == before
+
+
 def test_shingles_of_lines():
     texts = ["abcdefg", "abc", "abc\0\0", "abcd", "", "漢字😀漢字😀漢字", "abcde", "xabcde"]
     hashes, starts = line_dedup.shingle_hashes(texts)
