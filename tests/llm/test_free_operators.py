@@ -366,6 +366,19 @@ def test_rows_without_an_identity_of_their_own_lose_no_line(spark):
     assert sorted((r.doc_id, r.removed) for r in twice) == [(2, []), (2, []), (3, [0])]
 
 
+def test_texts_meet_their_removed_lines_without_a_forced_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        kept = line_dedup.without_repeated_lines(docs_of(spark, ["one line of text\nsome other", "one line of text", None]))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(0, "one line of text\nsome other"), (1, ""), (2, None)]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lines_of_unlike_texts_with_one_half_of_the_key(spark, monkeypatch):
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(60)) for _ in range(6)]
