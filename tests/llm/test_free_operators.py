@@ -356,6 +356,42 @@ def test_shingles_of_lines():
     assert (whole == np.concatenate([line_dedup.band_values([t]) for t in many])).all()
 
 
+def test_extremes_are_those_of_all_shingles_of_a_line():
+    # a piece with lines of every number of columns; each of the four orders by brute force
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdefgh äß漢") for _ in range(n)) for n in (0, 3, 5, 70, 200, 1, 900, 64, 5000, 40_000, 68, 2200)]
+    found, many = line_dedup._extremes(texts), line_dedup.BANDS * line_dedup.ROWS // 4
+    hashes, starts = line_dedup.shingle_hashes(texts)
+    for i, (a, z) in enumerate(zip(starts[:-1], starts[1:])):
+        x = hashes[a:z].copy()
+        parts = [x.astype(np.uint32)]
+        for odd in line_dedup._ODDS:
+            parts.append((x >> np.uint64(32)).astype(np.uint32))
+            x = x * odd
+        value, want = parts[3].copy(), []
+        for k in range(many):
+            value = value + parts[k % 4]
+            want.append([value.min(), value.max(), value.view(np.int32).min().astype(np.uint32), value.view(np.int32).max().astype(np.uint32)])
+        assert (found[i].ravel() == np.array(want, np.uint32).T.ravel()).all()
+
+
+def test_only_shared_bands_are_looked_at():
+    band = np.array([9, 4, 9, 7, 1, 4, 9], np.uint64)
+    values, places = line_dedup._shared(band)
+    assert values.tolist() == [4, 4, 9, 9, 9] and sorted(places.tolist()) == [0, 1, 2, 5, 6] and (band[places] == values).all()
+    assert all(len(x) == 0 for x in line_dedup._shared(np.array([3, 2], np.uint64)))
+
+
+def test_lines_are_counted_and_placed_by_one_pass_over_the_texts(spark):
+    docs = docs_of(spark, ["one line\n \nof text", "one line\nof text\nof text", None, ""])
+    rows = line_dedup.line_dedup(docs)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "text" not in plan
+    assert sorted((r.doc_id, r.n_lines, r.removed) for r in rows.collect()) == [(0, 2, []), (1, 3, [0, 1, 2]), (2, 0, []), (3, 0, [])]
+    known = {(r.doc_id, p.line_no, p.k1, p.k2) for r in line_dedup.documents(docs).collect() for p in r.places}
+    assert known == {(r.doc, r.line_no, r.k1, r.k2) for r in line_dedup.lines(docs).collect()}
+
+
 def test_rows_without_an_identity_of_their_own_lose_no_line(spark):
     older, other, alone = ("the line that stands in an older text", "a line that only the second one has", "nobody else says this at all")
     docs = docs_of(spark, [older, f"{older}\nfirst of seven", f"{other}\nsecond of seven", None, alone, f"{older}\nno id here"], ids=[1, 7, 7, 7, None, None])
