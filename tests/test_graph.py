@@ -327,3 +327,22 @@ def test_relations_of_many_chosen_people_equal_plain_loops(spark, monkeypatch):
         monkeypatch.setattr(relations, "BROADCAST_STARTS", most)
         found = relations.relations_from(people, chosen)
         assert sorted((r.source_pos, r.target_pos, r.type, r.source, r.target, r.desc) for r in found.collect()) == want
+
+
+def test_relations_of_many_chosen_people_are_not_broadcast(spark, monkeypatch):
+    names = F.concat(F.lit("p"), (F.col("id") % 40).cast("string"))
+    people = spark.range(60).select(
+        F.col("id").alias("pos"),
+        names.alias("name"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("school"),
+        F.lit("here").alias("birthplace"),
+        F.array(F.concat(F.lit("p"), (F.col("id") % 5).cast("string"))).alias("family"),
+    )
+    chosen = people.where("pos % 2 = 0")
+    few = relations.relations_from(people, chosen).collect()
+    monkeypatch.setattr(relations, "BROADCAST_STARTS", 0)
+    many = relations.relations_from(people, chosen)
+    # what is repeated for the salted joins is as small to the planner as it was before
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    assert sorted(many.collect()) == sorted(few) and len(few) > 30 * 59
